@@ -28,7 +28,7 @@ SEED = "mix-1"
 GOLDEN = 2654435769
 CHUNK = 65_536
 #: Documents in one cell of the layout, about.
-CELL_ROWS = 20_000
+CELL_ROWS = 1_000
 #: Cells that the line of cumulative targets is cut into, to find a slot's source by an equi-join.
 LINE_CELLS = 4096
 MAX_BROADCAST_SOURCES = 100_000

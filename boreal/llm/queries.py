@@ -1,10 +1,20 @@
 """The registered queries of the training-data operators and their SQL."""
 
 from boreal.llm.bpe import op9_bpe
+from boreal.llm.langid import op8_language_id
 from boreal.llm.mixing import OP5_SQL, op5_mix
 from boreal.llm.quality import OP6_SQL, op6_quality_rules
 from boreal.llm.token_files import op10_token_files
+from boreal.llm.toxicity import op4_toxicity
 from boreal.llm.url_filter import OP3_SQL, op3_url_filter
 
-QUERIES = {"op3_url_filter": op3_url_filter, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op9_bpe": op9_bpe, "op10_token_files": op10_token_files}
+QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
+    "op5_mix": op5_mix,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_language_id": op8_language_id,
+    "op9_bpe": op9_bpe,
+    "op10_token_files": op10_token_files,
+}
 ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL, "op6_quality_rules": OP6_SQL}
