@@ -3,12 +3,14 @@
 from boreal.llm.bpe import op9_bpe
 from boreal.llm.langid import op8_language_id
 from boreal.llm.mixing import OP5_SQL, op5_mix
+from boreal.llm.ngram_join import op2_ngram_join
 from boreal.llm.quality import OP6_SQL, op6_quality_rules
 from boreal.llm.token_files import op10_token_files
 from boreal.llm.toxicity import op4_toxicity
 from boreal.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op5_mix": op5_mix,
