@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,10 +41,16 @@ def remove(spark: SparkSession, *folders: str) -> None:
 def stage(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that outlive any executor."""
     folder = new_folder(df.sparkSession, tag)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(doc_id: Column | str, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n

@@ -5,6 +5,7 @@ from boreal.llm.langid import op8_language_id
 from boreal.llm.mixing import OP5_SQL, op5_mix
 from boreal.llm.ngram_join import op2_ngram_join
 from boreal.llm.quality import OP6_SQL, op6_quality_rules
+from boreal.llm.substring_dedup import op7_substring_dedup
 from boreal.llm.token_files import op10_token_files
 from boreal.llm.toxicity import op4_toxicity
 from boreal.llm.url_filter import OP3_SQL, op3_url_filter
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_mix": op5_mix,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
