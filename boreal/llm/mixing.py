@@ -44,8 +44,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_SPLIT)), F.lit(0)).cast("long")
 
 
-def sized(docs: DataFrame, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """doc_id, source, size and the shuffle key of each document."""
+def sized(docs: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size and the shuffle key of each document, and the columns in extra."""
     return docs.select(
         "doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"), *extra
     )
@@ -107,10 +107,10 @@ def pieces(docs: DataFrame, block: int, keep: list[str]) -> DataFrame:
     return d.select(*keep, "block", "pass", first.alias("first"), end.alias("end"))
 
 
-def mix(docs: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The laid-out documents (a row each) and the pieces that the schedule takes, joined to them by (ordinal, start)."""
+def mix(docs: DataFrame, block: int | None = None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The laid-out documents (a row each, with the columns in extra) and the pieces that the schedule takes, joined to them by (ordinal, start)."""
     spark = docs.sparkSession
-    sizes = stage(sized(docs), "mix-sizes")
+    sizes = stage(sized(docs, extra), "mix-sizes")
     shares = stage(targets(sizes).coalesce(1), "mix-shares")
     total, n = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
     block = block or block_words(total)
@@ -119,6 +119,16 @@ def mix(docs: DataFrame, block: int | None = None) -> tuple[DataFrame, DataFrame
     return placed, pieces(placed, block, ["ordinal", "start"]).join(taken, ["ordinal", "block"])
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text, lang, source, n_chars) that the mix consists of: a row for each pass that takes words of a document, with the whole text or, where the schedule ends within it, the words taken."""
+    placed, parts = mix(docs, extra=("text", "lang"))
+    taken = parts.groupBy(F.col("ordinal").alias("o"), F.col("start").alias("p"), "pass").agg(F.min("first").alias("a"), F.max("end").alias("b"))  # a pass takes blocks that follow each other
+    rows = placed.filter("size > 0").join(taken, (F.col("ordinal") == F.col("o")) & (F.col("start") == F.col("p")))
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_SPLIT), F.lit(0)), F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")), " ")
+    text = F.when((F.col("a") == 0) & (F.col("b") == F.col("size")), F.col("text")).otherwise(part)
+    return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, parts = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     taken = parts.groupBy(F.col("ordinal").alias("o"), F.col("start").alias("p")).agg(F.sum(F.col("end") - F.col("first")).alias("n"))

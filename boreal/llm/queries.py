@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators and their SQL."""
 
+from boreal.llm.ann import op1_nearest
 from boreal.llm.bpe import op9_bpe
 from boreal.llm.langid import op8_language_id
 from boreal.llm.mixing import OP5_SQL, op5_mix
@@ -11,6 +12,7 @@ from boreal.llm.toxicity import op4_toxicity
 from boreal.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
     "op2_ngram_join": op2_ngram_join,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,

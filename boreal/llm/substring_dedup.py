@@ -185,7 +185,7 @@ def spans_of(docs: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def deduplicate(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """docs' columns but text, with n_words, n_removed and kept_sha256, and text, the kept words joined by spaces (if asked for)."""
+    """docs' columns but text, with n_words, n_removed and kept_sha256, the digest of the kept words joined by spaces; if asked for with that as text, or the text as it was if nothing is removed."""
     added = ["n_words", "n_removed", "kept_sha256", *["text"] * keep_text]
     rest = [c for c in docs.columns if c not in (*added, "text")]
     spans, _ = spans_of(docs)
@@ -207,7 +207,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = True) -> DataFrame:
                         gone = removed_words(len(ws), s)
                         n, left = int(gone.sum()), [w for w, g in zip(ws, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(left)
-                out.append((len(ws), n, sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
+                out.append((len(ws), n, sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if n else t))
             columns = list(zip(*out, strict=True)) or [()] * 4
             arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *arrays[: len(added)]], schema.names)
