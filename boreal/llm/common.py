@@ -66,3 +66,22 @@ def batches(it, rows: int = 256):
     for batch in it:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+class Stages:
+    """The written steps of one query, each under a name, so that a step's files can go once nothing reads them."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.tag, self.folders = spark, tag, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df, let its shuffle files go, and read it back. A step written twice under a name replaces the first, which must not be read again."""
+        folder = new_folder(self.spark, f"{self.tag}-{name}")
+        df.write.parquet(folder, compression="zstd")
+        release(self.spark)
+        self.drop(name)
+        self.folders[name] = folder
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def drop(self, *names: str) -> None:
+        remove(self.spark, *[self.folders.pop(n) for n in names if n in self.folders])

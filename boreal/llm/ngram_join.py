@@ -23,15 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreal.llm.common import batches, stage, table, words
+from boreal.llm.common import Stages, batches, table, words
 from boreal.llm.components import components
 from boreal.llm.shingles import mix, shingle_set
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9998
 #: Sets sample 1 / (SPREAD * THRESHOLD) shingles at each step, on average.
-SPREAD, LIMIT, DEPTH, BLOCK = 0.625, 200, 3, 400
+SPREAD, LIMIT, DEPTH, BLOCK = 0.625, 200, 2, 400
 #: Bins of the sketch, and how many standard errors below the threshold it may estimate.
-BINS, ERRORS = 128, 5.0
+BINS, ERRORS = 128, 4.5
 
 
 def survival(threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
@@ -46,6 +46,17 @@ def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold)))
 
 
+def pack(s: np.ndarray) -> bytes:
+    """A set in five bytes a shingle: the upper 40 bits of its hash. Two different shingles of two texts of n words agree in these with a probability of n^2 / 2^40."""
+    return (s >> np.uint64(32)).astype(np.uint32).tobytes() + (s >> np.uint64(24)).astype(np.uint8).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    """Ascending 40-bit numbers."""
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(raw, np.uint8, n, 4 * n)
+
+
 def split(s: np.ndarray, paths: np.ndarray, threshold: float) -> list[np.ndarray]:
     """For each path the paths of the buckets that the set s goes on to."""
     bound = min(float(2**64 - 1025), 2.0**64 / (SPREAD * threshold * len(s)))
@@ -88,13 +99,13 @@ def prepared(docs: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
 
 
 def shingled(docs: DataFrame, n: int) -> DataFrame:
-    """key and set (hashes, ascending, 8 bytes each) of rows (doc_id, text, key)."""
+    """key and packed set of rows (doc_id, text, key)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             sets = [shingle_set(words(t), n) for t in batch.column("text").to_pylist()]
             keep = [k for k, (s, key) in enumerate(zip(sets, batch.column("key").to_pylist(), strict=True)) if len(s) and xxhash.xxh64_intdigest(s.tobytes()) - 2**63 == key]
-            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keep, pa.int64())), pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["key", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keep, pa.int64())), pa.array([pack(sets[k]) for k in keep], pa.binary())], ["key", "set"])
 
     return docs.select("text", "key").mapInArrow(run, "key long, set binary")
 
@@ -119,7 +130,7 @@ def deeper(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches(it):
             out = [np.empty(0, np.uint64)]
             for path, s in zip(batch.column("path").to_pylist(), batch.column("set").to_pylist(), strict=True):
-                out += split(np.frombuffer(s, np.uint64), np.array([path], np.int64).view(np.uint64), threshold)
+                out += split(unpack(s), np.array([path], np.int64).view(np.uint64), threshold)
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in out[1:]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column("key").take(at), batch.column("size").take(at)], ["path", "key", "above"])
 
@@ -190,8 +201,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches(it):
             good = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = unpack(x), unpack(y)
+                both = len(np.intersect1d(x, y))
                 good.append(both >= threshold * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
@@ -230,7 +241,7 @@ def compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
         x, y = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
         out: list[tuple[int, int, int | None]] = []
         if len(x) and len(y):
-            sx, sy = ([np.frombuffer(s, np.uint64) for s in q["set"]] for q in (x, y))
+            sx, sy = ([unpack(s) for s in q["set"]] for q in (x, y))
             both = overlaps(sx, sy)
             alike = both >= threshold * (x["n"].to_numpy()[:, None] + y["n"].to_numpy()[None, :] - both)
             if i == j:
@@ -259,34 +270,36 @@ def compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
 
 def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row per document (doc_id, class_id, n_links): the least id of its connected component, and the number of other documents similar to it."""
-    spark = docs.sparkSession
-    base = stage(prepared(docs, n, threshold, n_runs(threshold, recall)), "join-docs")
-    classes = stage(
-        base.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "join-classes"
+    steps = Stages(docs.sparkSession, "join")
+    keep = steps.keep
+    base = keep(prepared(docs, n, threshold, n_runs(threshold, recall)), "docs")
+    classes = keep(
+        base.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes"
     )
-    rows = stage(shared(exploded(classes.withColumn("above", F.lit(0).cast("long")))), "join-rows")
+    rows = keep(shared(exploded(classes.withColumn("above", F.lit(0).cast("long")))), "rows-0")
     needed = rows.select("key").distinct().join(classes.select("key", "first_id"), "key")
-    sets = stage(shingled(docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("first_id")), n).dropDuplicates(["key"]), "join-sets")
-    final = [rows.filter(F.col("size") <= LIMIT)]
+    sets = keep(shingled(docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("first_id")), n).dropDuplicates(["key"]), "sets")
+    placed = rows.filter(F.col("size") <= LIMIT)
     for depth in range(1, DEPTH + 1):
         large = rows.filter(F.col("size") > LIMIT)
         if large.isEmpty():
             break
-        split_on = F.col("size") <= 0.5 * F.col("above") if depth > 1 else F.lit(True)
-        if depth == DEPTH:
-            split_on = F.lit(False)
-        final.append(large.filter(~split_on))
-        rows = stage(shared(deeper(large.filter(split_on), sets, threshold)), "join-rows")
-        final.append(rows.filter(F.col("size") <= LIMIT))
-    placed = final[0]
-    for more in final[1:]:
-        placed = placed.union(more)
-    placed = stage(placed.select("path", "key", "size"), "join-placed")
+        loose = F.lit(False) if depth == DEPTH else F.lit(True) if depth == 1 else F.col("size") <= 0.5 * F.col("above")  # of alike sets, splits leave most together
+        placed = placed.union(large.filter(~loose))
+        if depth < DEPTH:
+            rows = keep(shared(deeper(large.filter(loose), sets, threshold)), f"rows-{depth}")
+            placed = placed.union(rows.filter(F.col("size") <= LIMIT))
+    placed = keep(placed.select("path", "key", "size"), "placed")
+    steps.drop(*[f"rows-{d}" for d in range(DEPTH)])
     lists = placed.groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("list"))
-    known = stage(packed(lists).join(classes.select("key", "n", "copies", "sketch"), "key"), "join-known")
+    known = keep(packed(lists).join(classes.select("key", "n", "copies", "sketch"), "key"), "known")
     full = placed.join(known, "key")
-    links = stage(verified(candidates(full.filter(F.col("size") <= LIMIT), threshold), sets, threshold), "join-links")
-    blocks = stage(compare_blocks(full.filter(F.col("size") > LIMIT).drop("sketch").join(sets, "key"), threshold), "join-blocks")
+    pairs = keep(candidates(full.filter(F.col("size") <= LIMIT), threshold), "pairs")
+    paired = keep(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi"), "paired")
+    links = keep(verified(pairs, paired, threshold), "links")
+    steps.drop("pairs", "paired")
+    blocks = keep(compare_blocks(full.filter(F.col("size") > LIMIT).drop("sketch").join(sets, "key"), threshold), "blocks")
+    steps.drop("sets", "placed", "known")
     copies = classes.select("key", "copies")
     ends = links.select(F.col("a").alias("to"), F.col("b").alias("key")).union(links.select("b", "a"))
     counts = ends.join(copies, "key").select(F.col("to").alias("key"), F.col("copies").alias("links")).union(blocks.select("key", "links")).groupBy("key").agg(F.sum("links").alias("links"))
