@@ -27,7 +27,7 @@ from boreal.llm.common import batches, crc_mod, stage, table
 
 TRAIN_ROWS = 40_000
 BITS, PREFIX, MIN_Z, MIN_ROWS = 18, 5, 3.5, 5
-FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 25, 256, 0.05, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, L2 = 8, 20, 512, 0.05, 1e-4
 THRESHOLD = 0.3
 CACHE = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -90,13 +90,13 @@ def fit(chosen: list[int], rows: list[list[int]], y: np.ndarray) -> Machine:
             of = np.repeat(np.arange(len(take)), sizes)
             i = flat[np.repeat(at[take] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())]
             v = m.v[i]
-            total = np.zeros((len(take), FACTORS))
-            np.add.at(total, of, v)
+            total = np.stack([np.bincount(of, v[:, f], len(take)) for f in range(FACTORS)], 1)
             square = np.bincount(of, (v**2).sum(1), len(take))
             raw = w0[0] + np.bincount(of, m.w[i], len(take)) + 0.5 * ((total**2).sum(1) - square)
             error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[take]) / len(take)
-            grad_w, grad_v = np.bincount(i, error[of], len(m.w)) + L2 * m.w, L2 * m.v
-            np.add.at(grad_v, i, error[of, None] * (total[of] - v))
+            pull = error[of, None] * (total[of] - v)
+            grad_w = np.bincount(i, error[of], len(m.w)) + L2 * m.w
+            grad_v = np.stack([np.bincount(i, pull[:, f], len(m.w)) for f in range(FACTORS)], 1) + L2 * m.v
             t += 1
             for p, g, a, b in ((w0, np.array([error.sum()]), *moments[:2]), (m.w, grad_w, *moments[2:4]), (m.v, grad_v, *moments[4:])):
                 a += 0.1 * (g - a)
