@@ -17,6 +17,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from boreal.llm.common import batches, new_folder, stage, table
 #: Vocabulary of op10, a file of the public tokenizers, and the id that ends a document.
 VOCABULARY, END = "word_bpe_49k.json", 1
 BLOCK, PERCENTILE, MAGIC = 4096, 95, b"PFR1"
-#: Chunks of text whose ids a worker keeps.
-CACHE = 400_000
+#: Chunks of text whose ids a worker keeps, and how many go through the library as one text.
+CACHE, TOGETHER = 1_200_000, 200
 PUNCTUATION = b".,;:!?%*$&#|()"
 
 
@@ -114,47 +115,90 @@ class Reader:
         yield from zip([0, *self.ends[:-1].tolist()], self.ends.tolist(), strict=False)
 
 
-class Chunks(dict):
-    """White-space-delimited chunk of a text, as bytes -> its ids. The vocabulary drops white space, and neither its normaliser nor its pattern looks beyond it, so a text's ids are its chunks' in a row."""
+class Chunks:
+    """White-space-delimited chunk of a text, as bytes -> its ids. The vocabulary drops white space, and neither its normaliser nor its pattern looks beyond it, so a text's ids are its chunks' in a row. Ids lie in one array: known gives a chunk's number, start and n its place."""
 
     def __init__(self, vocabulary: str):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.start, self.n, self.ids, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.int32), 0
+
+    def put(self, chunks: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        """Chunks that are new, with their ids in a row and how many each has."""
+        first, end = len(self.known), len(self.known) + len(chunks)
+        while end > len(self.n):
+            self.start, self.n = np.concatenate([self.start, self.start]), np.concatenate([self.n, self.n])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n[first:end], self.start[first:end] = n, self.used + np.cumsum(n) - n
+        self.used += len(ids)
+        self.known.update(zip(chunks, range(first, end), strict=True))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks by number, in a row, and how many each has."""
+        n = self.n[at]
+        return self.ids[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Words of small letters go through the library many at a time, as each is one pretoken and ends with one end-of-word id."""
+        texts = [c.decode("utf-8", "surrogatepass") for c in chunks]
+        plain = [k for k, t in enumerate(texts) if t.isalpha() and t.islower() and max(t) < "\u0300"]
+        rest = set(range(len(texts))).difference(plain)
+        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+        for group, e in zip(groups, self.library.encode_batch([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(group):
+                self.put([chunks[k] for k in group], ids, np.diff(ends, prepend=0))
+            else:
+                rest.update(group)
+        if rest := sorted(rest):
+            found = self.library.encode_batch([texts[k] for k in rest], add_special_tokens=False)
+            self.put([chunks[k] for k in rest], np.array([i for e in found for i in e.ids], np.int32), np.array([len(e.ids) for e in found], np.int64))
 
     def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids with their end ids, in one array, and where each text ends."""
-        if len(self) > CACHE:
-            self.clear()
+        if len(self.known) > CACHE:
+            self.forget()
         split = [self.chunks(t) for t in texts]
-        new = list({c for s in split for c in s if c not in self})
-        if new:
-            simple = [(c, w) for c in new if len(w := c.rstrip(PUNCTUATION)) < len(c) and w.isalpha() and w.islower()]
-            apart = {c for c, _ in simple}
-            wanted = list(dict.fromkeys([*(c for c in new if c not in apart), *(x for c, w in simple for x in (w, c[len(w) :]) if x not in self)]))
-            for c, e in zip(wanted, self.library.encode_batch([c.decode("utf-8", "surrogatepass") for c in wanted], add_special_tokens=False), strict=True):
-                self[c] = tuple(e.ids)
-            for c, w in simple:  # a run of letters, then one of marks: two pretokens
-                self[c] = self[w] + self[c[len(w) :]]
-        out, ends = [], []
-        for s in split:
-            for c in s:
-                out += self[c]
-            out.append(END)
-            ends.append(len(out))
-        return np.array(out, np.int64), np.array(ends, np.int64)
+        flat = [c for s in split for c in s]
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        new = list({flat[k] for k in missing})
+        two = [(c, w, c[len(w) :]) for c in new if len(w := c.rstrip(PUNCTUATION)) < len(c) and w.isalpha() and w.islower()]
+        apart = {c for c, _, _ in two}
+        parts = {x for _, w, p in two for x in (w, p)}.union(c for c in new if c not in apart).difference(self.known)
+        if parts:
+            self.learn(list(parts))
+        if two:  # a run of letters, then one of marks: two pretokens
+            ids, n = self.take(np.array([self.known[x] for _, w, p in two for x in (w, p)], np.int64))
+            self.put([c for c, _, _ in two], ids, n.reshape(-1, 2).sum(1))
+        at[missing] = [self.known[flat[k]] for k in missing]
+        ids, n = self.take(at)
+        text_of = np.repeat(np.repeat(np.arange(len(split)), [len(s) for s in split]), n)
+        out = np.full(len(ids) + len(split), END, np.int64)
+        out[np.arange(len(ids)) + text_of] = ids
+        return out, np.cumsum(np.bincount(text_of, minlength=len(split)) + 1)
 
     @staticmethod
     def chunks(text: str | None) -> list[bytes]:
         if not text:
             return []
         raw = text.encode("utf-8", "surrogatepass")
-        # lower case first, if nothing can compose with a letter or be an added token
-        return (raw.lower() if "<|" not in text and (text.isascii() or max(text) < "̀") else raw).split()
+        # lower case first, if nothing can compose with a letter (from U+0300 on, whose first byte is 0xCC) or be an added token
+        return (raw.lower() if b"<|" not in raw and (text.isascii() or np.frombuffer(raw, np.uint8).max() < 0xCC) else raw).split()
 
 
 _loaded: dict[str, Chunks] = {}
