@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boreal.functions import fire_weather as fw
 from boreal.functions import forest as fo
 from boreal.functions import geo
-from boreal.operators import costs, fire, fleet, graph, grid, montecarlo, sequence, spatial, text, trees, weather
+from boreal.operators import costs, fire, fleet, graph, grid, montecarlo, plan, sequence, site, spatial, text, trees, weather
 from boreal.sources.fixtures import source, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -668,3 +668,78 @@ def inventory(spark, sf):
     """Counts by species and health with subtotals."""
     t = source(spark, sf, "v_trees").rollup("species", "health").agg(F.count(F.lit(1)).alias("n"))
     return t.select(F.lit("inventory").alias("mode"), big(F.coalesce("species", F.lit(-1))).alias("species"), big(F.coalesce("health", F.lit(-1))).alias("health"), "n")
+
+
+# ---- sites
+SPREAD = """WITH RECURSIVE c AS (SELECT y, x, y*10+x AS id, 1+(x*7+y*3)%5 AS ros, (x+2*y)::DOUBLE AS z FROM (SELECT unnest(range(0,10)) AS y) a CROSS JOIN (SELECT unnest(range(0,10)) AS x) b),
+ k AS (SELECT sqrt(1-1/(lb*lb)) AS ecc FROM (SELECT 1+8.729*pow(1-exp(-0.03*20),2.155) AS lb) q),
+ e AS (SELECT a.id AS s, b.id AS d, 0.5*len*(1/a.ros::DOUBLE+1/b.ros::DOUBLE)/((1-ecc)/(1-ecc*cos(atan2(b.y-a.y,b.x-a.x)-radians(0)))*CASE WHEN b.z>a.z THEN exp(3.533*pow(least(1,(b.z-a.z)/len),1.2)) ELSE exp(-0.5*abs((b.z-a.z)/len)) END) AS w
+   FROM (SELECT a.id AS ai, b.id AS bi, 20*sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS len FROM c a JOIN c b ON a.id<>b.id AND abs(a.x-b.x)<=2 AND abs(a.y-b.y)<=2 AND (greatest(abs(a.x-b.x),abs(a.y-b.y))=1 OR abs(a.x-b.x)+abs(a.y-b.y)=3)) p JOIN c a ON a.id=ai JOIN c b ON b.id=bi CROSS JOIN k),
+ r(k, id, dist) AS (SELECT 0, 33, 0e0 UNION ALL (SELECT k+1, d, min(dist+w) FROM r JOIN e ON r.id=e.s WHERE k<40 AND dist+w<=240 GROUP BY k+1, d)), m AS (SELECT id, min(dist) AS arrival FROM r GROUP BY id)"""
+
+
+def spreading(spark: SparkSession) -> DataFrame:
+    c = grid.full_grid(spark, 10, 10).withColumns({"ros": (1 + (F.col("ix") * 7 + F.col("iy") * 3) % 5).cast("double"), "z": (F.col("ix") + 2 * F.col("iy")).cast("double")})
+    return site.fire_arrival(c, 10, 20.0, 20.0, 270.0, [(3, 3)])
+
+
+@query(SPREAD + " SELECT CAST(id//10 AS BIGINT) AS iy, CAST(id%10 AS BIGINT) AS ix, round(arrival,6) AS arrival, CAST(floor(arrival/30)*30 AS BIGINT) AS band FROM m")
+def fire_spread(spark, sf):
+    """Wind-driven spread over sixteen neighbours, and its isochrones."""
+    a = spreading(spark)
+    return a.select(big("iy").alias("iy"), big("ix").alias("ix"), r6("arrival").alias("arrival"), big(fire.isochrone(F.col("arrival"))).alias("band"))
+
+
+@query(SPREAD + ", b AS (SELECT building_id AS asset_id, x/2 AS x, y/2 AS y, 30e0 AS r FROM v_buildings) SELECT asset_id, round(min(arrival),6) AS minutes FROM b LEFT JOIN (SELECT id%10 AS ix, id//10 AS iy, arrival FROM m) m ON pow((ix+0.5)*20-b.x,2)+pow((iy+0.5)*20-b.y,2)<=900 GROUP BY asset_id")
+def fire_impacts(spark, sf):
+    """H11, A26, O03."""
+    b = source(spark, sf, "v_buildings").select(F.col("building_id").alias("asset_id"), (F.col("x") / 2).alias("x"), (F.col("y") / 2).alias("y"), F.lit(30.0).alias("r"))
+    return site.fire_impacts(spreading(spark), b, 20.0).select("asset_id", r6("minutes").alias("minutes"))
+
+
+@query(SPREAD + " SELECT h::DOUBLE AS hours, round(count(*)*0.04e0,6) AS ha FROM m JOIN (SELECT unnest([0.5,1,2,4]) AS h) t ON ceil(arrival)<=h*60 GROUP BY h")
+def burned_area(spark, sf):
+    """H11."""
+    return site.burned_area(spreading(spark), 20.0).select("hours", r6("ha").alias("ha"))
+
+
+@query(f"""WITH t AS (SELECT *, {DBH} AS dbh FROM v_trees), f AS (SELECT *, h/greatest(dbh/100,0.02) AS hd, (tree_id%8)/16e0 AS wp, (tree_id%4)/16e0 AS wb FROM t), p AS (SELECT *, {FAIL.format(g=25, soil="0.6*0.9")} AS p FROM f)
+ SELECT count(*) AS trees, sum((health=2)::INT)::BIGINT AS dead, sum((health=1)::INT)::BIGINT AS stressed, sum((wp>0)::INT)::BIGINT AS reach_line, count(*) AS reach_any, round(avg(h),6) AS mean_h, round(quantile_cont(h,0.95),6) AS h_p95, round(sum(p),6) AS expected_falls, round(1-exp(sum(ln(1-least(p*wp,0.999999)))),6) AS p_outage FROM p""")
+def site_summary(spark, sf):
+    """A23, A13."""
+    out = site.summary(stormy(spark, sf))
+    return out.select("trees", "dead", "stressed", "reach_line", "reach_any", *[r6(c).alias(c) for c in ("mean_h", "h_p95", "expected_falls", "p_outage")])
+
+
+@query("""WITH s AS (SELECT building_id, kind, CASE kind WHEN 'care_home' THEN 3.0 WHEN 'school' THEN 2.5 WHEN 'cabin' THEN 0.8 ELSE 1.0 END AS sens, (building_id*13)%100 AS fr, (building_id%7)/100e0 AS st, (building_id%40)::DOUBLE AS rm, (building_id*11)%300 AS rd FROM v_buildings),
+ q AS (SELECT *, 0.35*least(sens/3,1)+0.65*(0.4*greatest(0,least(1,(fr-20)/60e0))+0.35*least(st/0.05,1)+0.25*(least(greatest(rm-3,0)/15,1)*0.5+CASE WHEN rd>150 THEN 0.5 ELSE 0 END)) AS score FROM s) SELECT building_id, round(score,6) AS score, CASE WHEN score>=0.55 THEN 'high' WHEN score>=0.35 THEN 'medium' ELSE 'low' END AS level FROM q""")
+def structure_ranking(spark, sf):
+    """G16."""
+    k = F.col("building_id")
+    b = source(spark, sf, "v_buildings").withColumns({"weight": F.lit(0.0), "fire_risk": ((k * 13) % 100).cast("double"), "strikes": (k % 7) / 100, "trees_in_reach": F.lit(1), "response_min": (k % 40).cast("double"), "road_dist": ((k * 11) % 300).cast("double")})
+    return plan.structure_scores(b).select("building_id", r6("score").alias("score"), "level")
+
+
+@query("""WITH v(vehicle, m, c, d, s, suits) AS (VALUES ('fire_engine',12e0,2e0,20e0,0e0,true),('ambulance',9e0,0e0,15e0,0.3e0,false),('pickup_4x4',11e0,3e0,30e0,0e0,true),('atv',15e0,1e0,10e0,0e0,true),('forwarder',40e0,0.5e0,12e0,0e0,true),('foot',25e0,0e0,8e0,0e0,true)),
+ q AS (SELECT *, (m+c)*(1+d/40)*(1+3*s)*CASE WHEN suits THEN 1 ELSE 1e6 END AS score FROM v) SELECT vehicle, true AS ok, suits, round(m+c,6) AS expected_minutes, round(score,6) AS score, vehicle='fire_engine' AS is_best, vehicle=(SELECT arg_min(vehicle,m+c) FROM q WHERE suits) AS is_fastest, vehicle=(SELECT arg_min(vehicle,d) FROM q WHERE suits) AS is_safest FROM q""")
+def emergency_plan(spark, sf):
+    """The engine built for the mission goes where it gets through."""
+    rows = [("fire_engine", 12.0, 2.0, 20.0, 0.0), ("ambulance", 9.0, 0.0, 15.0, 0.3), ("pickup_4x4", 11.0, 3.0, 30.0, 0.0), ("atv", 15.0, 1.0, 10.0, 0.0), ("forwarder", 40.0, 0.5, 12.0, 0.0), ("foot", 25.0, 0.0, 8.0, 0.0)]
+    o = spark.createDataFrame([(v, True, m, c, d, s) for v, m, c, d, s in rows], "vehicle string, ok boolean, minutes double, clearing double, danger double, stuck double")
+    return plan.plan_emergency(o, "fire").select("vehicle", "ok", "suits", r6("expected_minutes").alias("expected_minutes"), r6("score").alias("score"), "is_best", "is_fastest", "is_safest")
+
+
+@query("""WITH n AS (SELECT sum((cls=14)::INT) AS w, median(z) FILTER (cls=2) AS g FROM v_points), s AS (SELECT ax,ay,bx,by_ FROM v_segments), p AS (SELECT src_key, ret_no, x, y, z, cls FROM v_points WHERE src_key % 5 = 0),
+ h AS (SELECT p.*, EXISTS (SELECT 1 FROM s WHERE sqrt(pow(x-(ax+greatest(0,least(1,((x-ax)*(bx-ax)+(y-ay)*(by_-ay))/1600e0))*(bx-ax)),2)+pow(y-(ay+greatest(0,least(1,((x-ax)*(bx-ax)+(y-ay)*(by_-ay))/1600e0))*(by_-ay)),2))<=2.5) AS near FROM p)
+ SELECT CAST(CASE WHEN near AND cls NOT IN (2,9) AND z-g>4 AND z-g<40 THEN 14 ELSE cls END AS BIGINT) AS cls, count(*) AS n FROM h CROSS JOIN (SELECT median(z) FILTER (cls=2) AS g FROM p) m GROUP BY 1""")
+def wire_labels(spark, sf):
+    """W05, V11."""
+    p = source(spark, sf, "v_points").filter("src_key % 5 = 0").select("x", "y", "z", "cls")
+    return site.label_wires(p, source(spark, sf, "v_segments"), 2.5, 10**9).groupBy(big("cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT tree_id, CAST(c.n AS BIGINT) AS n, c.z_max FROM v_trees t JOIN v_cells c ON c.iy=CAST(floor(t.y/2/5) AS INT) AND c.ix=CAST(floor(t.x/2/5) AS INT)")
+def tree_cells(spark, sf):
+    """Equi-join on derived cells."""
+    t = source(spark, sf, "v_trees").select("tree_id", F.floor(F.col("y") / 10).cast("int").alias("iy"), F.floor(F.col("x") / 10).cast("int").alias("ix"))
+    return t.join(source(spark, sf, "v_cells"), ["iy", "ix"]).select("tree_id", "n", "z_max")
