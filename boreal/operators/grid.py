@@ -48,10 +48,13 @@ def lookup(points: DataFrame, cells: DataFrame, x0: float, y0: float, res: float
 
 def stencil(cells: DataFrame, offsets: list[tuple[int, int]], agg: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
     """Aggregates over each existing cell's neighbours at the offsets: a neighbour sends its values to the cells that look at it."""
+    if (0, 0) not in offsets:
+        raise ValueError("a stencil holds its own cell")
     arms = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    sent = cells.withColumn("o", F.explode(arms)).withColumns({"iy": F.col("iy") - F.col("o.dy"), "ix": F.col("ix") - F.col("o.dx")}).drop("o")
+    sent = cells.withColumn("o", F.explode(arms)).withColumns({"iy": F.col("iy") - F.col("o.dy"), "ix": F.col("ix") - F.col("o.dx"), "own": (F.col("o.dy") == 0) & (F.col("o.dx") == 0)}).drop("o")
     keys = [*by, "iy", "ix"]
-    return sent.groupBy(*keys).agg(*[c.alias(k) for k, c in agg.items()]).join(cells.select(*keys), keys, "left_semi")
+    # a cell exists if it sent to itself: no join back, so that chains of stencils stay as long as they are
+    return sent.groupBy(*keys).agg(*[c.alias(k) for k, c in agg.items()], F.bool_or("own").alias("own")).filter("own").drop("own")
 
 
 def square(r: int) -> list[tuple[int, int]]:
@@ -83,7 +86,7 @@ def gaussian(cells: DataFrame, value: str, sigma: float, by: tuple[str, ...] = (
         axis = "ix" if horizontal else "iy"
         keys = [*by, "iy", "ix"]
         sent = sent.withColumn(axis, F.col(axis) + F.col("o.d"))
-        return sent.groupBy(*keys).agg((F.sum(F.col(value) * F.col("o.w")) / F.sum("o.w")).alias(value)).join(df.select(*keys), keys, "left_semi")
+        return sent.groupBy(*keys).agg((F.sum(F.col(value) * F.col("o.w")) / F.sum("o.w")).alias(value), F.bool_or(F.col("o.d") == 0).alias("own")).filter("own").drop("own")
 
     return pass_(pass_(cells.select(*by, "iy", "ix", value), True), False)
 
