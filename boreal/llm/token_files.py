@@ -206,7 +206,7 @@ _loaded: dict[str, Chunks] = {}
 
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Encode docs into the folder's shard files. The manifest: shard, file, bytes, n_docs, n_tokens, and first (ids in the shards before)."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
