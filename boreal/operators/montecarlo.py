@@ -58,10 +58,20 @@ def noisy_or(df: DataFrame, keys: list[str], p: str) -> DataFrame:
     return df.groupBy(*keys).agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col(p), F.lit(0.999999)))))).alias("p"))
 
 
-def pareto(df: DataFrame, value: str, tie: str, shares=(0.5, 0.8)) -> DataFrame:
-    """How many rows, greatest first, make up each share of the whole."""
+def pareto(df: DataFrame, value: str, tie: str, shares=(0.5, 0.8), bins: int = 4096) -> DataFrame:
+    """How many rows, greatest first, make up each share of the whole. Sums per bin of values find the bin in which a share is reached; only that bin's rows are ranked."""
     from pyspark.sql import Window
 
-    w = Window.orderBy(F.desc(value), tie)
-    rows = df.filter(F.col(value) > 0).select(F.row_number().over(w).alias("k"), F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum(value).over(Window.partitionBy()).alias("whole"))
-    return rows.agg(*[F.min(F.when(F.col("upto") >= s * F.col("whole"), F.col("k"))).alias(f"n_{round(100 * s)}") for s in shares], F.count(F.lit(1)).alias("n"))
+    rows = df.filter(F.col(value) > 0).select(F.col(value).alias("v"), F.col(tie).alias("t"))
+    top = rows.agg(F.max("v").alias("top"))
+    rows = rows.crossJoin(F.broadcast(top)).select("v", "t", F.floor((1 - F.col("v") / F.col("top")) * bins).alias("bin"))  # one row
+    per = rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))  # at most bins + 1 rows
+    w = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    per = per.select("bin", "n", "s", F.sum("n").over(w).alias("rank"), F.sum("s").over(w).alias("upto"), F.sum("s").over(Window.partitionBy()).alias("whole"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    named = F.explode(F.array(*[F.struct(F.lit(f"n_{round(100 * s)}").alias("name"), F.lit(float(s)).alias("share")) for s in shares])).alias("q")
+    cut = per.select("*", named).filter((F.col("upto") >= F.col("q.share") * F.col("whole")) & (F.col("upto") - F.col("s") < F.col("q.share") * F.col("whole")))
+    cut = cut.groupBy("q.name").agg(F.min_by(F.struct("bin", (F.col("rank") - F.col("n")).alias("before"), (F.col("upto") - F.col("s")).alias("sum"), (F.col("q.share") * F.col("whole")).alias("goal"), "all"), "bin").alias("c")).select("name", "c.*")
+    near = rows.join(F.broadcast(cut), "bin")  # a row per share
+    o = Window.partitionBy("name").orderBy(F.desc("v"), "t")
+    near = near.withColumns({"k": F.row_number().over(o) + F.col("before"), "reached": F.sum("v").over(o.rowsBetween(Window.unboundedPreceding, 0)) + F.col("sum")}).filter(F.col("reached") >= F.col("goal"))
+    return near.agg(*[F.min(F.when(F.col("name") == f"n_{round(100 * s)}", F.col("k"))).alias(f"n_{round(100 * s)}") for s in shares], F.max("all").alias("n"))
