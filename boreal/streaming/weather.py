@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,7 +63,7 @@ def fwi_stream(days: DataFrame) -> DataFrame:
     """The fire weather fold as a stream keyed by series: three numbers of state, and days that came early wait for those before them. days: series, seq, t_c, rh, w_kmh, rain, mon."""
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         nxt, *last, wait = state.get if state.exists else (0, 85.0, 6.0, 15.0, "[]")
-        held = pd.read_json(__import__("io").StringIO(wait)) if wait != "[]" else pd.DataFrame()
+        held = pd.read_json(io.StringIO(wait)) if wait != "[]" else pd.DataFrame()
         rows = pd.concat([held, *batches]).drop_duplicates("seq").sort_values("seq")
         out, last = [], tuple(last)
         for d in rows[rows["seq"] >= nxt].itertuples():

@@ -1,5 +1,7 @@
 import time
 
+from pyspark.sql import functions as F
+
 from boreal.operators import weather
 from boreal.sources.fixtures import source
 from boreal.streaming import weather as stream
@@ -25,7 +27,7 @@ def test_fwi_stream_equals_batch(spark, tmp_path):
 
 
 def test_latest_and_windows(spark, tmp_path):
-    obs = source(spark, SF, "v_obs").withColumn("ts", __import__("pyspark.sql.functions", fromlist=["col"]).col("ts").cast("timestamp"))
+    obs = source(spark, SF, "v_obs").withColumn("ts", F.col("ts").cast("timestamp"))
     obs.repartition(2).write.parquet(str(tmp_path / "o"))
     live = spark.readStream.schema(obs.schema).parquet(str(tmp_path / "o"))
     got = {(r.station_id, r.param): r.value for r in drained(stream.latest(live), "latest", "complete").collect()}
