@@ -9,7 +9,8 @@ forest, not the pairs. Runs are repeated until a pair at the threshold is met wi
 A pair that shares several buckets counts in the least of them.
 
 Links are pairs of documents of Jaccard similarity >= threshold. A null text, an empty one or one without words has no shingles and no links; a text of 1 to 4 words
-is one shingle; repeated rows are copies. A class's id is its least doc_id. A table without rows gives none; other columns are ignored.
+is one shingle; repeated rows are copies. A class's id is its least doc_id; rows without an id
+belong to the class of their text, if a row with an id has it, and are compared with no other text. A table without rows gives none; other columns are ignored.
 """
 
 from __future__ import annotations

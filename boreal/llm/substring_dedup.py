@@ -8,8 +8,8 @@ equal segments collapse to one with its least document before they meet. Per min
 of document: each is first streamed against it for matching statistics, then added unless it holds nothing new.
 Minimizers with over `HOT` different segments are dealt out again window by window, by the window's first words.
 
-A document of the same text as one with a smaller id loses all its words if it has `WINDOW` at least. A null text is empty. Rows that share an
-id never remove each other's words; repeated rows get the same result. Texts of under `WINDOW` words stay
+A document of the same text as one with a smaller id loses all its words if it has `WINDOW` at least. A null text is empty. A row without an id is no reference
+and loses what the first document of its text loses. Rows that share an id never remove each other's words; repeated rows get the same result. Texts of under `WINDOW` words stay
 whole, a table without rows gives none, other columns are ignored.
 """
 
