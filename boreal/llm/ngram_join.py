@@ -30,7 +30,9 @@ from boreal.llm.shingles import mix, shingle_set
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9998
 #: Sets sample 1 / (SPREAD * THRESHOLD) shingles at each step, on average.
-SPREAD, LIMIT, DEPTH, BLOCK = 0.625, 200, 2, 400
+SPREAD, LIMIT, DEPTH = 0.625, 200, 2
+#: Sets, and shingles, in one block of a large bucket, about.
+BLOCK, BLOCK_SHINGLES = 1200, 4_000_000
 #: Bins of the sketch, and how many standard errors below the threshold it may estimate.
 BINS, ERRORS = 128, 4.5
 
@@ -227,10 +229,12 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return np.rint(out)
 
 
-def compare_blocks(rows: DataFrame, threshold: float) -> DataFrame:
-    """Links within large buckets, from rows (path, key, size, n, copies, all_paths, set): (key, links, other). links: the copies of sets first met here that are similar to key; other: a neighbour in a spanning forest, or null."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+def compare_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links within large buckets, from rows (path, key, size, n, copies, all_paths) and sets (key, set): (key, links, other). links: the copies of sets first met here that are similar to key; other: a neighbour in a spanning forest, or null."""
+    volume = rows.groupBy("path").agg(F.sum("n").alias("volume"))
+    rows = rows.join(volume, "path")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("volume") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.join(sets, "key").withColumn("blk", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     rows = rows.withColumn("other_blk", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.withColumns({"i": F.least("blk", "other_blk"), "j": F.greatest("blk", "other_blk")})
 
@@ -299,7 +303,7 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     paired = keep(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi"), "paired")
     links = keep(verified(pairs, paired, threshold), "links")
     steps.drop("pairs", "paired")
-    blocks = keep(compare_blocks(full.filter(F.col("size") > LIMIT).drop("sketch").join(sets, "key"), threshold), "blocks")
+    blocks = keep(compare_blocks(full.filter(F.col("size") > LIMIT).drop("sketch"), sets, threshold), "blocks")
     steps.drop("sets", "placed", "known")
     copies = classes.select("key", "copies")
     ends = links.select(F.col("a").alias("to"), F.col("b").alias("key")).union(links.select("b", "a"))
