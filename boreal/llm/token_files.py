@@ -204,6 +204,13 @@ class Chunks:
 _loaded: dict[str, Chunks] = {}
 
 
+def chunks_of(vocabulary: str) -> Chunks:
+    """One for each Python worker. Tasks must reach it through this function: a closure that names _loaded itself carries a copy."""
+    if vocabulary not in _loaded:
+        _loaded[vocabulary] = Chunks(vocabulary)
+    return _loaded[vocabulary]
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Encode docs into the folder's shard files. The manifest: shard, file, bytes, n_docs, n_tokens, and first (ids in the shards before)."""
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -211,8 +218,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        chunks = _loaded.setdefault(vocabulary, None) or Chunks(vocabulary)
-        _loaded[vocabulary] = chunks
+        chunks = chunks_of(vocabulary)
         shard = TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
