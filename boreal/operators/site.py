@@ -19,7 +19,7 @@ def label_wires(points: DataFrame, segments: DataFrame, near: float = 2.5, known
     """points with class 14 for unclassified or vegetation returns within `near` of a line and 4 to 40 m above the median ground; unchanged if over `known` wire points are there already."""
     n = points.agg(F.count_if(F.col("cls") == 14).alias("n_wire"), F.median(F.when(F.col("cls") == 2, F.col("z"))).alias("ground"))
     box = segments.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by_")).alias("y0"), F.max(F.greatest("ay", "by_")).alias("y1"))
-    p = points.withColumn("pid", F.xxhash64("x", "y", "z")).crossJoin(F.broadcast(n.crossJoin(box)))  # one row
+    p = points.withColumn("pid", F.xxhash64("x", "y", "z", "cls")).crossJoin(F.broadcast(n.crossJoin(box)))  # one row
     high = F.col("z") - F.col("ground")
     maybe = p.filter((F.col("n_wire") <= known) & ~F.col("cls").isin(2, 9) & (high > 4) & (high < 40) & F.col("x").between(F.col("x0") - near, F.col("x1") + near) & F.col("y").between(F.col("y0") - near, F.col("y1") + near))
     hit = nearest_segment(maybe, "pid", segments, near).select("pid", F.lit(True).alias("hit")).dropDuplicates(["pid"])

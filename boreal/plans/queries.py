@@ -734,7 +734,7 @@ def emergency_plan(spark, sf):
  SELECT CAST(CASE WHEN near AND cls NOT IN (2,9) AND z-g>4 AND z-g<40 THEN 14 ELSE cls END AS BIGINT) AS cls, count(*) AS n FROM h CROSS JOIN (SELECT median(z) FILTER (cls=2) AS g FROM p) m GROUP BY 1""")
 def wire_labels(spark, sf):
     """W05, V11."""
-    p = source(spark, sf, "v_points").filter("src_key % 5 = 0").select("x", "y", "z", "cls")
+    p = source(spark, sf, "v_points").select("x", "y", "z", "cls")
     return site.label_wires(p, source(spark, sf, "v_segments"), 2.5, 10**9).groupBy(big("cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,12 +1,15 @@
 """Queries that once covered part of their tables, over whole ones, against brute force."""
 
+import math
 import os
-from collections import defaultdict
+import statistics
+from collections import Counter, defaultdict
 
 import pytest
 
-from boreal.operators import fleet
-from boreal.plans.queries import QUERIES
+from boreal.operators import fleet, site
+from boreal.plans.queries import QUERIES, travel
+from boreal.sources.fixtures import source
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -90,8 +93,6 @@ def test_fleet_plan_takes_every_task_and_operator(spark, tmp_path):
     """120 orders, few of them with an id that 50 divides; 25 operators."""
     for name in ("nation", "orders"):
         spark.read.parquet(f"{SF}/{name}.parquet").orderBy("n_nationkey" if name == "nation" else "o_orderkey").limit(120).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
-    from boreal.plans.queries import travel
-    from boreal.sources.fixtures import source
 
     links = {(r.f, r.t): r.minutes for r in QUERIES["travel_matrix"](spark, str(tmp_path)).collect()}
     known = {(r["from"], r["to"]): r.minutes for r in travel(spark, str(tmp_path)).collect()}
@@ -108,3 +109,28 @@ def test_fleet_plan_takes_every_task_and_operator(spark, tmp_path):
         assert r.on_time == pytest.approx(sum(p[0] <= tasks[p[2]][2] for p in plan) / len(plan))
         assert r.mean_late == pytest.approx(sum(max(0, p[0] - tasks[p[2]][2]) for p in plan) / len(plan))
         assert r.travel_share == pytest.approx(sum(p[4] for p in plan) / sum(p[4] + p[5] for p in plan), abs=1e-6)
+
+
+def wired(points, segments, near=2.5):
+    ground = statistics.median(p.z for p in points if p.cls == 2)
+
+    def d(p, s):
+        dx, dy = s.bx - s.ax, s.by_ - s.ay
+        t = max(0, min(1, ((p.x - s.ax) * dx + (p.y - s.ay) * dy) / max(dx * dx + dy * dy, 1e-9)))
+        return math.hypot(p.x - s.ax - t * dx, p.y - s.ay - t * dy)
+
+    hit = lambda p: p.cls not in (2, 9) and 4 < p.z - ground < 40 and any(d(p, s) <= near for s in segments)
+    return Counter(14 if hit(p) else p.cls for p in points)
+
+
+def test_wire_labels_of_all_points(spark):
+    points = source(spark, SF, "v_points").select("x", "y", "z", "cls").collect()
+    got = {r.cls: r.n for r in QUERIES["wire_labels"](spark, SF).collect()}
+    assert got == wired(points, source(spark, SF, "v_segments").collect())
+    assert sum(got.values()) == len(points)
+
+
+def test_water_and_ground_stay_where_a_wire_point_lies_too(spark):
+    p = spark.createDataFrame([(5.0, 0.0, 100.0, 2), (5.0, 1.0, 110.0, 5), (5.0, 1.0, 110.0, 9), (5.0, 1.0, 110.0, 2), (5.0, 9.0, 110.0, 5), (6.0, 0.0, 100.0, 2)], "x double, y double, z double, cls int")
+    s = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0)], "seg_id int, ax double, ay double, bx double, by_ double")
+    assert Counter(r.cls for r in site.label_wires(p, s).collect()) == {2: 3, 9: 1, 14: 1, 5: 1}
