@@ -110,7 +110,7 @@ def tree_scalars(spark, sf):
  FROM (SELECT l_orderkey, l_linenumber, l_extendedprice/10 AS v, l_quantity AS q FROM lineitem WHERE l_orderkey % 10 = 0) t GROUP BY ALL""")
 def bands(spark, sf):
     """F18 intensity, F19 danger, F20 levels."""
-    l = source(spark, sf, "lineitem").filter("l_orderkey % 10 = 0")
+    l = source(spark, sf, "lineitem")
     v, q = F.col("l_extendedprice") / 10, F.col("l_quantity")
     return l.select(F.col("l_orderkey").alias("k"), big("l_linenumber").alias("n"), big(fo.intensity_class(v)).alias("intensity"), fo.danger_class(q).alias("danger"), fo.route_level(q).alias("route"), fo.structure_level(q / 50).alias("structure")).groupBy("k", "n", "intensity", "danger", "route", "structure").agg(F.count(F.lit(1)).alias("c"))
 
@@ -182,7 +182,7 @@ def coarse_cells(spark, sf):
 @query("SELECT a.src_key, CAST(a.ret_no AS BIGINT) AS ret_no, count(*) AS c, round(sum(a.z - c.z_max),6) AS below FROM v_points a JOIN v_cells c ON c.ix = CAST(greatest(0,least(40,trunc(a.x/5))) AS INT) AND c.iy = CAST(greatest(0,least(40,trunc(a.y/5))) AS INT) WHERE a.src_key % 20 = 0 GROUP BY 1,2")
 def cell_lookup(spark, sf):
     """J01, P05."""
-    p = grid.lookup(source(spark, sf, "v_points").filter("src_key % 20 = 0"), source(spark, sf, "v_cells"), 0.0, 0.0, 5.0, 41, 41)
+    p = grid.lookup(source(spark, sf, "v_points"), source(spark, sf, "v_cells"), 0.0, 0.0, 5.0, 41, 41)
     return p.groupBy("src_key", big("ret_no").alias("ret_no")).agg(F.count(F.lit(1)).alias("c"), r6(F.sum(F.col("z") - F.col("z_max"))).alias("below"))
 
 

@@ -134,3 +134,25 @@ def test_water_and_ground_stay_where_a_wire_point_lies_too(spark):
     p = spark.createDataFrame([(5.0, 0.0, 100.0, 2), (5.0, 1.0, 110.0, 5), (5.0, 1.0, 110.0, 9), (5.0, 1.0, 110.0, 2), (5.0, 9.0, 110.0, 5), (6.0, 0.0, 100.0, 2)], "x double, y double, z double, cls int")
     s = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 0.0)], "seg_id int, ax double, ay double, bx double, by_ double")
     assert Counter(r.cls for r in site.label_wires(p, s).collect()) == {2: 3, 9: 1, 14: 1, 5: 1}
+
+
+def test_bands_of_all_lines(spark):
+    def row(r):
+        v, q = r.l_extendedprice / 10, r.l_quantity
+        level = lambda x, medium, high: "high" if x >= high else "medium" if x >= medium else "low"
+        danger = ("low", "moderate", "high", "very high", "extreme")[sum(q >= b for b in (5, 10, 20, 30))]
+        return r.l_orderkey, r.l_linenumber, sum(v >= b for b in (10, 500, 2000, 4000, 10000)), danger, level(q, 25, 50), level(q / 50, 0.35, 0.55)
+
+    want = Counter(map(row, source(spark, SF, "lineitem").collect()))
+    got = {(r.k, r.n, r.intensity, r.danger, r.route, r.structure): r.c for r in QUERIES["bands"](spark, SF).collect()}
+    assert got == want
+
+
+def test_cell_lookup_of_all_points(spark):
+    top = {(r.iy, r.ix): r.z_max for r in source(spark, SF, "v_cells").collect()}
+    count, below = Counter(), Counter()
+    for p in source(spark, SF, "v_points").collect():
+        count[p.src_key, p.ret_no] += 1
+        below[p.src_key, p.ret_no] += p.z - top[max(0, min(40, int(p.y / 5))), max(0, min(40, int(p.x / 5)))]
+    got = {(r.src_key, r.ret_no): (r.c, r.below) for r in QUERIES["cell_lookup"](spark, SF).collect()}
+    assert got == {k: (n, below[k]) for k, n in count.items()}
