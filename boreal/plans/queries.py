@@ -244,7 +244,7 @@ def distance_map(spark, sf):
  SELECT CAST(iy AS BIGINT) AS iy, CAST(ix AS BIGINT) AS ix, CAST(min(label) AS BIGINT) AS label FROM r GROUP BY 1,2""")
 def regions(spark, sf):
     """4-connected components."""
-    m = source(spark, sf, "v_cells").filter("iy < 20 AND ix < 20 AND z_max > 118")
+    m = source(spark, sf, "v_cells").filter("z_max > 118")
     return graph.label_cells(m, 64).select(big("iy").alias("iy"), big("ix").alias("ix"), "label")
 
 

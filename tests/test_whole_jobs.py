@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from boreal.operators import fleet, site
+from boreal.operators import fleet, graph, site
 from boreal.plans.queries import QUERIES, travel
 from boreal.sources.fixtures import source
 
@@ -156,3 +156,35 @@ def test_cell_lookup_of_all_points(spark):
         below[p.src_key, p.ret_no] += p.z - top[max(0, min(40, int(p.y / 5))), max(0, min(40, int(p.x / 5)))]
     got = {(r.src_key, r.ret_no): (r.c, r.below) for r in QUERIES["cell_lookup"](spark, SF).collect()}
     assert got == {k: (n, below[k]) for k, n in count.items()}
+
+
+def labelled(cells, nx=64):
+    """(iy, ix) -> the least id of its 4-connected region, by flood fill."""
+    rest, out = set(cells), {}
+    while rest:
+        todo = [rest.pop()]
+        region = set(todo)
+        while todo:
+            y, x = todo.pop()
+            near = {(y, x + 1), (y, x - 1), (y + 1, x), (y - 1, x)} & rest
+            rest -= near
+            region |= near
+            todo += near
+        out |= dict.fromkeys(region, min(y * nx + x for y, x in region))
+    return out
+
+
+def test_regions_of_all_cells(spark):
+    mask = {(r.iy, r.ix) for r in source(spark, SF, "v_cells").collect() if r.z_max > 118}
+    assert any(y >= 20 or x >= 20 for y, x in mask)
+    assert {(r.iy, r.ix): r.label for r in QUERIES["regions"](spark, SF).collect()} == labelled(mask)
+
+
+def test_label_cells_of_scattered_regions(spark):
+    import random
+
+    rng = random.Random(4)
+    mask = {(y, x) for y in range(25) for x in range(30) if rng.random() < 0.55}
+    got = graph.label_cells(spark.createDataFrame(sorted(mask), "iy int, ix int"), 64).collect()
+    want = labelled(mask)
+    assert len(set(want.values())) > 10 and {(r.iy, r.ix): r.label for r in got} == want
