@@ -181,14 +181,43 @@ def nearest_fill(cells: DataFrame, value: str, reach: int = 8) -> DataFrame:
     return cells.join(near, ["iy", "ix"], "left").withColumn(value, F.coalesce(value, "fill")).drop("fill")
 
 
-def distance_to(cells: DataFrame, mask: str, reach: int, res: float, beyond: float = 1000.0) -> DataFrame:
-    """Distance to the nearest cell of the mask, exact up to `reach` cells; `beyond` farther away. The row pass keeps one candidate per cell and column offset, the column pass adds the other axis."""
-    keys = ["iy", "ix"]
-    rows = cells.filter(F.col(mask)).select("iy", "ix", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("d")).select("iy", (F.col("ix") + F.col("d")).alias("ix"), (F.col("d") * F.col("d")).alias("d2"))
-    rows = rows.groupBy(*keys).agg(F.min("d2").alias("d2"))
-    both = rows.select("ix", "d2", "iy", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("e")).select((F.col("iy") + F.col("e")).alias("iy"), "ix", (F.col("d2") + F.col("e") * F.col("e")).alias("d2"))
-    near = both.groupBy(*keys).agg(F.min("d2").alias("d2")).filter(F.col("d2") <= reach * reach)
-    return cells.join(near, keys, "left").select(*cells.columns, F.coalesce(F.sqrt(F.col("d2").cast("double")) * res, F.lit(beyond)).alias("distance"))
+def distance_to(cells: DataFrame, mask: str, res: float, beyond: float = 1000.0) -> DataFrame:
+    """Exact distance to the nearest cell of the mask; `beyond` only if the mask is empty. Each row's columns go to the nearest mask cell of the row; then the cells of a column, one column a task, are read off the lower envelope of the rows' parabolas."""
+    import numpy as np
+    import pandas as pd
+
+    def envelope(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(c) or not len(m):
+            return pd.DataFrame({"iy": [], "ix": [], "d2": []})
+        m = m.sort_values("iy")
+        best, begin = [], []  # the rows on the envelope, and the first cell of which each is the nearest
+        for y, g in zip(m["iy"].tolist(), m["g"].tolist(), strict=True):
+            at = None
+            while best:
+                v, h = best[-1]
+                at = (y * y - v * v + g - h) // (2 * (y - v)) + 1
+                if at > begin[-1]:
+                    break
+                best.pop()
+                begin.pop()
+                at = None
+            best.append((y, g))
+            begin.append(-math.inf if at is None else at)
+        q = c["iy"].to_numpy(np.int64)
+        y, g = np.array(best, np.int64)[np.searchsorted(np.array(begin), q, side="right") - 1].T
+        return pd.DataFrame({"iy": q, "ix": c["ix"], "d2": (q - y) ** 2 + g})
+
+    kind = dict(cells.dtypes)
+    w = Window.partitionBy("iy").orderBy("ix")
+    ends = cells.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
+    lo = F.coalesce(F.floor((F.lag("ix").over(w) + F.col("ix")) / 2) + 1, F.col("x0").cast("long"))
+    hi = F.coalesce(F.floor((F.col("ix") + F.lead("ix").over(w)) / 2), F.col("x1").cast("long"))
+    rows = cells.filter(F.col(mask)).select("iy", "ix").distinct().crossJoin(F.broadcast(ends)).select("iy", F.col("ix").alias("at"), F.sequence(lo, hi).alias("c"))  # one row
+    rows = rows.select("iy", "at", F.explode("c").alias("ix")).select(F.col("iy").cast("long").alias("iy"), "ix", ((F.col("ix") - F.col("at")) * (F.col("ix") - F.col("at"))).cast("long").alias("g"))
+    keyed = cells.select("iy", F.col("ix").cast("long").alias("ix")).distinct()
+    near = keyed.groupBy("ix").cogroup(rows.groupBy("ix")).applyInPandas(envelope, "iy long, ix long, d2 long")
+    near = near.select(F.col("iy").cast(kind["iy"]).alias("iy"), F.col("ix").cast(kind["ix"]).alias("ix"), "d2")
+    return cells.join(near, ["iy", "ix"], "left").select(*cells.columns, F.coalesce(F.sqrt(F.col("d2").cast("double")) * res, F.lit(beyond)).alias("distance"))
 
 
 def canopy_change(pre: DataFrame, post: DataFrame, pixel_m: float) -> DataFrame:

@@ -233,11 +233,11 @@ def tree_tops(spark, sf):
 @query("""WITH m AS (SELECT iy, ix FROM v_cells WHERE n_veg >= (SELECT quantile_cont(n_veg, 0.9) FROM v_cells)), d AS (SELECT a.iy, a.ix, min((a.iy-b.iy)*(a.iy-b.iy)+(a.ix-b.ix)*(a.ix-b.ix)) AS d2 FROM v_cells a JOIN m b ON abs(a.iy-b.iy)<=4 AND abs(a.ix-b.ix)<=4 GROUP BY 1,2)
  SELECT CAST(c.iy AS BIGINT) AS iy, CAST(c.ix AS BIGINT) AS ix, round(CASE WHEN d2<=16 THEN sqrt(d2)*5 ELSE 1000 END,6) AS distance FROM v_cells c LEFT JOIN d ON d.iy=c.iy AND d.ix=c.ix""")
 def distance_map(spark, sf):
-    """Exact within four cells."""
+    """R11."""
     c = source(spark, sf, "v_cells")
     cut = c.agg(F.percentile("n_veg", 0.9).alias("cut"))
     m = c.crossJoin(F.broadcast(cut)).select("iy", "ix", (F.col("n_veg") >= F.col("cut")).alias("m"))  # one row
-    return grid.distance_to(m, "m", 4, 5.0).select(big("iy").alias("iy"), big("ix").alias("ix"), r6("distance").alias("distance"))
+    return grid.distance_to(m, "m", 5.0).select(big("iy").alias("iy"), big("ix").alias("ix"), r6("distance").alias("distance"))
 
 
 @query("""WITH RECURSIVE m AS (SELECT iy, ix, iy*64+ix AS id FROM v_cells WHERE iy<20 AND ix<20 AND z_max>118), r AS (SELECT id AS label, iy, ix FROM m UNION SELECT r.label, m.iy, m.ix FROM r JOIN m ON abs(m.iy-r.iy)+abs(m.ix-r.ix)=1)

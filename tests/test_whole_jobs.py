@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from boreal.operators import fleet, graph, site
+from boreal.operators import fleet, graph, grid, site
 from boreal.plans.queries import QUERIES, travel
 from boreal.sources.fixtures import source
 
@@ -188,3 +188,35 @@ def test_label_cells_of_scattered_regions(spark):
     got = graph.label_cells(spark.createDataFrame(sorted(mask), "iy int, ix int"), 64).collect()
     want = labelled(mask)
     assert len(set(want.values())) > 10 and {(r.iy, r.ix): r.label for r in got} == want
+
+
+def nearest(cells, mask, res):
+    return {(y, x): res * math.sqrt(min((y - b) ** 2 + (x - a) ** 2 for b, a in mask)) for y, x in cells}
+
+
+def test_distance_map_of_all_cells(spark):
+    cells = source(spark, SF, "v_cells").collect()
+    veg = sorted(r.n_veg for r in cells)
+    at = 0.9 * (len(veg) - 1)
+    cut = veg[int(at)] + (at - int(at)) * (veg[math.ceil(at)] - veg[int(at)])
+    want = nearest([(r.iy, r.ix) for r in cells], [(r.iy, r.ix) for r in cells if r.n_veg >= cut], 5.0)
+    got = {(r.iy, r.ix): r.distance for r in QUERIES["distance_map"](spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("share,holes", [(0.002, 0.0), (0.02, 0.4), (0.5, 0.2)])
+def test_distance_far_from_a_sparse_mask(spark, share, holes):
+    """Cells may be missing; negative ids occur."""
+    import random
+
+    rng = random.Random(5)
+    cells = [(y - 20, x - 7) for y in range(45) for x in range(60) if rng.random() >= holes]
+    mask = {c for c in cells if rng.random() < share} | {cells[3]}
+    t = spark.createDataFrame([(*c, c in mask) for c in cells], "iy int, ix int, m boolean")
+    got = {(r.iy, r.ix): r.distance for r in grid.distance_to(t, "m", 2.0).collect()}
+    assert got == pytest.approx(nearest(cells, mask, 2.0))
+
+
+def test_distance_without_a_mask(spark):
+    t = spark.createDataFrame([(0, 0, False), (0, 1, None)], "iy int, ix int, m boolean")
+    assert [r.distance for r in grid.distance_to(t, "m", 2.0).collect()] == [1000.0, 1000.0]
