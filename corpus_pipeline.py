@@ -2,13 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame; run() writes each to
 the shared folder as Parquet and reads it again. All but the last return the columns of documents. Nulls: a null text has no language
-and goes in the first stage; rows with a null id are never each other's duplicates; a null source is a source. An empty table gives
+and goes in the first stage; rows with a null id, and rows that share one, are documents of their own; a null source is a source. An empty table gives
 an empty result. Columns besides those of documents are dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boreal.llm import bpe, langid, mixing, ngram_join, substring_dedup
@@ -27,12 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each connected group of similar documents stays; of rows that share that id, the one with the least text."""
-    found = ngram_join.similarity_join(docs.select("doc_id", "text"))
-    kept = found.filter("doc_id = class_id").select("doc_id").distinct()
-    stay = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
-    first = stay.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))).filter("r = 1")
-    return first.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    """One row of each connected group of similar rows stays: the one with the least id, null last; of rows that share it, the one with the least digest of its text."""
+    rows = stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+    found = ngram_join.similarity_join(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.sha1("text").alias("digest"), "row")
+    kept = found.join(rows.select("row", order.alias("order")), "row").groupBy("class_id").agg(F.min("order").alias("order")).select("order.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
