@@ -3,13 +3,14 @@
 Documents of equal shingle sets form a class, and classes are joined. In each run a set goes into the buckets of shingles
 that it samples: shingle s by set x if hash(path, s) < 1 / (`SPREAD` * threshold * |x|), the same hash for all
 sets, so that two similar sets share a bucket with a known probability. A bucket of up to `LIMIT` sets is compared by brute force: sizes, one-permutation
-sketches, then the shingles themselves. A larger one is split again by shingles sampled anew, up to `DEPTH`
-times; what stays large, being alike, is compared whole in blocks of shingle sets, which return each set's number of links and a spanning
-forest, not the pairs. Runs are repeated until a pair at the threshold is met with probability `RECALL`.
+sketches, then the shingles themselves. A larger one is split again by shingles sampled anew, as often as it takes: sets of which a share o of shingles is
+common meet o / (`SPREAD` * threshold) times again on average, so what merely shares a passage dies out. Where a bucket's mean similarity, estimated from its sketches, is
+so high that this is 1 or more, no split shrinks it; such a bucket is compared whole in blocks of shingle sets, which return each set's number of links and a spanning
+forest, not the pairs. Runs are repeated until a pair at the threshold is met with probability `RECALL` at any depth (the sketches' bound loses under one pair in 100,000 more).
 A pair that shares several buckets counts in the least of them.
 
 Links are pairs of documents of Jaccard similarity >= threshold. A null text, an empty one or one without words has no shingles and no links; a text of 1 to 4 words
-is one shingle; repeated rows are copies. A class's id is its least doc_id; rows without an id
+is one shingle; a very long text is one set, read whole; repeated rows are copies. A class's id is its least doc_id; rows without an id
 belong to the class of their text, if a row with an id has it, and are compared with no other text. A table without rows gives none; other columns are ignored.
 """
 
@@ -29,35 +30,41 @@ from boreal.llm.components import components
 from boreal.llm.shingles import mix, shingle_set
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9998
-#: Sets sample 1 / (SPREAD * THRESHOLD) shingles at each step, on average.
-SPREAD, LIMIT, DEPTH = 0.625, 200, 2
+#: Sets sample 1 / (SPREAD * THRESHOLD) shingles at each step, on average. DEPTH only ends what chance keeps large for ever.
+SPREAD, LIMIT, DEPTH = 0.5, 200, 24
 #: Sets, and shingles, in one block of a large bucket, about.
 BLOCK, BLOCK_SHINGLES = 1200, 4_000_000
 #: Bins of the sketch, and how many standard errors below the threshold it may estimate.
 BINS, ERRORS = 128, 4.5
 
 
-def survival(threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
-    """Least probability that two sets of similarity `threshold` share a bucket of one run after `depth` splits."""
+def survival() -> float:
+    """Least probability that two sets at the threshold share a bucket of one run, however often it is split: a branching process of 1 / SPREAD common children on average."""
     s = 1.0
-    for _ in range(depth):
+    for _ in range(200):
         s = 1 - math.exp(-s / SPREAD)
     return s
 
 
-def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold)))
+def n_runs(recall: float = RECALL) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival()))
+
+
+def alike_from(threshold: float) -> float:
+    """The similarity from which sets of one size have one common child or more on average: o = 2 J / (1 + J) reaches SPREAD * threshold."""
+    o = SPREAD * threshold
+    return o / (2 - o)
 
 
 def pack(s: np.ndarray) -> bytes:
-    """A set in five bytes a shingle: the upper 40 bits of its hash. Two different shingles of two texts of n words agree in these with a probability of n^2 / 2^40."""
-    return (s >> np.uint64(32)).astype(np.uint32).tobytes() + (s >> np.uint64(24)).astype(np.uint8).tobytes()
+    """A set in six bytes a shingle: the upper 48 bits of its hash. Two different shingles of two texts of n words agree in these with a probability of n^2 / 2^48."""
+    return (s >> np.uint64(32)).astype(np.uint32).tobytes() + (s >> np.uint64(16)).astype(np.uint16).tobytes()
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    """Ascending 40-bit numbers."""
-    n = len(raw) // 5
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(raw, np.uint8, n, 4 * n)
+    """Ascending 48-bit numbers."""
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) << np.uint64(16) | np.frombuffer(raw, np.uint16, n, 4 * n)
 
 
 def split(s: np.ndarray, paths: np.ndarray, threshold: float) -> list[np.ndarray]:
@@ -147,6 +154,15 @@ def shared(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "path")
 
 
+def likeness(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(path, alike): the mean similarity of pairs in a bucket, from how often sketches agree in a quarter of their bins; counts only, whatever the bucket's size."""
+    bins = large.select("path", "key").join(classes.select("key", "sketch"), "key").select("path", "sketch", F.explode(F.sequence(F.lit(1), F.lit(BINS), F.lit(4))).alias("bin"))
+    cells = bins.select("path", "bin", F.substring("sketch", F.col("bin"), F.lit(1)).alias("v")).filter(F.col("v") != F.lit(b"\x00"))
+    counts = cells.groupBy("path", "bin", "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    per_bin = counts.groupBy("path", "bin").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")).filter("n > 1")
+    return per_bin.groupBy("path").agg((F.sum("same") / F.sum(F.col("n") * (F.col("n") - 1))).alias("alike"))
+
+
 def first_shared(a: np.ndarray, b: np.ndarray) -> int:
     """The least of the paths of both."""
     return int(np.intersect1d(a, b, assume_unique=True)[0])
@@ -229,6 +245,16 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return np.rint(out)
 
 
+def elsewhere(px: list[np.ndarray], py: list[np.ndarray], path: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of two blocks are in the bucket before `path` that most of them share: their pairs among each other count there."""
+    before = np.concatenate([p[p < path] for p in (*px, *py)])
+    if not len(before):
+        return np.zeros(len(px), bool), np.zeros(len(py), bool)
+    known, count = np.unique(before, return_counts=True)
+    most = known[count.argmax()]
+    return tuple(np.array([most in p for p in q], bool) for q in (px, py))
+
+
 def compare_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links within large buckets, from rows (path, key, size, n, copies, all_paths) and sets (key, set): (key, links, other). links: the copies of sets first met here that are similar to key; other: a neighbour in a spanning forest, or null."""
     volume = rows.groupBy("path").agg(F.sum("n").alias("volume"))
@@ -246,12 +272,16 @@ def compare_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFr
         x, y = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
         out: list[tuple[int, int, int | None]] = []
         if len(x) and len(y):
-            sx, sy = ([unpack(s) for s in q["set"]] for q in (x, y))
-            both = overlaps(sx, sy)
-            alike = both >= threshold * (x["n"].to_numpy()[:, None] + y["n"].to_numpy()[None, :] - both)
-            if i == j:
-                alike &= np.triu(np.ones_like(alike), 1)
             px, py = ([np.frombuffer(s, np.int64) for s in q["all_paths"]] for q in (x, y))
+            old_x, old_y = elsewhere(px, py, path)
+            nx, ny = x["n"].to_numpy(), y["n"].to_numpy()
+            alike = np.zeros((len(x), len(y)), bool)
+            for rows, columns in ((np.flatnonzero(~old_x), np.arange(len(y))), (np.flatnonzero(old_x), np.flatnonzero(~old_y))):
+                if len(rows) and len(columns):
+                    both = overlaps(*([unpack(q["set"].iat[k]) for k in at] for q, at in ((x, rows), (y, columns))))
+                    alike[np.ix_(rows, columns)] = both >= threshold * (nx[rows][:, None] + ny[columns][None, :] - both)
+            if i == j:
+                alike = np.triu(alike, 1)
             for a, b in zip(*np.nonzero(alike), strict=True):
                 if first_shared(px[a], py[b]) != path:
                     alike[a, b] = False
@@ -277,33 +307,35 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     """A row per document (doc_id, class_id, n_links): the least id of its connected component, and the number of other documents similar to it."""
     steps = Stages(docs.sparkSession, "join")
     keep = steps.keep
-    base = keep(prepared(docs, n, threshold, n_runs(threshold, recall)), "docs")
+    base = keep(prepared(docs, n, threshold, n_runs(recall)), "docs")
     classes = keep(
         base.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes"
     )
-    rows = keep(shared(exploded(classes.withColumn("above", F.lit(0).cast("long")))), "rows-0")
+    pairable = classes.filter(F.col("n") >= threshold / (1 - threshold) - 1e-9)  # a smaller set is similar to equal ones alone
+    rows = keep(shared(exploded(pairable.withColumn("above", F.lit(0).cast("long")))), "rows-0")
     needed = rows.select("key").distinct().join(classes.select("key", "first_id"), "key")
     sets = keep(shingled(docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("first_id")), n).dropDuplicates(["key"]), "sets")
-    placed = rows.filter(F.col("size") <= LIMIT)
+    placed, whole, written = rows.filter(F.col("size") <= LIMIT), rows.limit(0), ["rows-0"]
     for depth in range(1, DEPTH + 1):
         large = rows.filter(F.col("size") > LIMIT)
         if large.isEmpty():
             break
-        loose = F.lit(False) if depth == DEPTH else F.lit(True) if depth == 1 else F.col("size") <= 0.5 * F.col("above")  # of alike sets, splits leave most together
-        placed = placed.union(large.filter(~loose))
-        if depth < DEPTH:
-            rows = keep(shared(deeper(large.filter(loose), sets, threshold)), f"rows-{depth}")
-            placed = placed.union(rows.filter(F.col("size") <= LIMIT))
-    placed = keep(placed.select("path", "key", "size"), "placed")
-    steps.drop(*[f"rows-{d}" for d in range(DEPTH)])
+        judged = keep(large.join(likeness(large, classes), "path", "left").withColumn("alike", F.coalesce("alike", F.lit(0.0))), f"large-{depth}")
+        alike = (F.col("alike") >= alike_from(threshold)) | F.lit(depth == DEPTH)
+        whole = whole.union(judged.filter(alike).select(*whole.columns))
+        rows = keep(shared(deeper(judged.filter(~alike), sets, threshold)), f"rows-{depth}")
+        placed = placed.union(rows.filter(F.col("size") <= LIMIT))
+        written += [f"large-{depth}", f"rows-{depth}"]
+    placed = keep(placed.withColumn("whole", F.lit(False)).union(whole.withColumn("whole", F.lit(True))).select("path", "key", "size", "whole"), "placed")
+    steps.drop(*written)
     lists = placed.groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("list"))
     known = keep(packed(lists).join(classes.select("key", "n", "copies", "sketch"), "key"), "known")
     full = placed.join(known, "key")
-    pairs = keep(candidates(full.filter(F.col("size") <= LIMIT), threshold), "pairs")
+    pairs = keep(candidates(full.filter(~F.col("whole")), threshold), "pairs")
     paired = keep(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi"), "paired")
     links = keep(verified(pairs, paired, threshold), "links")
     steps.drop("pairs", "paired")
-    blocks = keep(compare_blocks(full.filter(F.col("size") > LIMIT).drop("sketch"), sets, threshold), "blocks")
+    blocks = keep(compare_blocks(full.filter("whole").drop("sketch"), sets, threshold), "blocks")
     steps.drop("sets", "placed", "known")
     copies = classes.select("key", "copies")
     ends = links.select(F.col("a").alias("to"), F.col("b").alias("key")).union(links.select("b", "a"))
