@@ -1,12 +1,12 @@
 """URL filters: host-suffix and path-prefix expressions, joined with rules on hash prefixes.
 
 A URL is expanded into the expressions that some rule could equal: its last k host labels with the
-first n characters of its path, for each (k, n) that occurs among the rules. Each expression's SHA-256
-is joined with the rules' on its first `prefix_bytes` bytes; the full digest then confirms, and
+first n characters of its path, for each (k, n) that occurs among the rules, a table joined on k. Each expression's SHA-256
+is joined with the rules' on its first `prefix_bytes` bytes alone; among these candidates the full digest then confirms, and
 the longest rule wins. Only DataFrame functions run on this path.
 
-Nulls, URLs without `://` and empty URLs have an empty host and path and get the default verdict.
-Repeated rows give repeated results, a table without rows gives none, other columns are ignored.
+Nulls, URLs without `://` and empty URLs have an empty host and path and get the default verdict; a row without an id is judged like others. URLs of any length are read whole.
+Repeated rows give repeated results, a table without rows gives none, other columns are kept, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Rules up to this many are broadcast (under 200 bytes each); more are joined by shuffle.
 MAX_BROADCAST_RULES = 50_000
-MAX_SHAPES = 4096
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -46,21 +45,19 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", prefix_bytes: in
     pages = pages.withColumns({"__host": host, "__path": path})
     labels = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit(""))) + 1
     rules = rules.select("verdict", F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), "rule")
-    shapes = rules.select(labels(F.col("r_host")).alias("k"), F.length("r_path").alias("n")).distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"rules have over {MAX_SHAPES} pairs of label count and path length")
-    n_rules = rules.count()
-    if not shapes:
-        return pages.select(*[c for c in pages.columns if c[:2] != "__"], F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    shapes = rules.select(labels(F.col("r_host")).alias("k"), F.length("r_path").alias("n")).distinct()
+    n_rules, deepest = rules.agg(F.count(F.lit(1)), F.max(labels(F.col("r_host")))).first()
+    if not n_rules:
+        return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in ("__host", "__path", "host", "path", "rule", "verdict")], F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    small = F.broadcast if n_rules <= MAX_BROADCAST_RULES else lambda df: df  # there are no more shapes than rules
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\u0000"), p), 256)
     rules = rules.withColumn("r_digest", digest(F.col("r_host"), F.col("r_path"))).withColumn("r_prefix", F.substring("r_digest", 1, 2 * prefix_bytes))
     urls = pages.select("__host", "__path").distinct()
-    fits = [
-        F.when((labels(F.col("__host")) >= r.k) & (F.length("__path") >= r.n), digest(F.substring_index("__host", ".", -r.k), F.substring("__path", 1, r.n)))
-        for r in shapes
-    ]
-    expressions = urls.select("__host", "__path", F.explode(F.array_compact(F.array(*fits))).alias("digest")).withColumn("prefix", F.substring("digest", 1, 2 * prefix_bytes))
-    found = expressions.join(F.broadcast(rules) if n_rules <= MAX_BROADCAST_RULES else rules, (F.col("prefix") == F.col("r_prefix")) & (F.col("digest") == F.col("r_digest")))
+    suffixes = urls.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(labels(F.col("__host")), F.lit(deepest)))))
+    expressions = suffixes.join(small(shapes), "k").filter(F.length("__path") >= F.col("n"))
+    expressions = expressions.select("__host", "__path", digest(F.expr("substring_index(__host, '.', -k)"), F.substring("__path", F.lit(1), F.col("n"))).alias("digest")).withColumn("prefix", F.substring("digest", 1, 2 * prefix_bytes))
+    candidates = expressions.join(small(rules), F.col("prefix") == F.col("r_prefix"))
+    found = candidates.filter(F.col("digest") == F.col("r_digest"))
     best = found.groupBy(F.col("__host").alias("m_host"), F.col("__path").alias("m_path")).agg(
         F.max_by(F.struct("rule", "verdict"), F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), "verdict")).alias("m")
     )
