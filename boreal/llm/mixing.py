@@ -9,12 +9,17 @@ A third of all rows may share one source, so no window spans a source: slots are
 consecutive slots and documents summed within (source, hash bucket) cells of bounded size, and only the cells'
 totals are summed across.
 
+Blocks grow with the corpus. Sources whose target is under `FEW` blocks have a schedule among themselves with a finer block, down to
+64 words, so that how near a source comes to its target does not depend on the size of the corpus.
+
 A null text has size 0 and takes nothing; a null source is a source, last in the order. Repeated rows
-and repeated ids are laid out one after the other (equal rows are interchangeable). A table without rows gives none.
+and repeated or null ids are laid out one after the other (equal rows are interchangeable). A very long text lies in many blocks and may be taken in part. A table without rows gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +37,8 @@ CELL_ROWS = 1_000
 #: Cells that the line of cumulative targets is cut into, to find a slot's source by an equi-join.
 LINE_CELLS = 4096
 MAX_BROADCAST_SOURCES = 100_000
+#: Blocks that a source has at least in its schedule, unless blocks are at their least.
+FEW = 100
 WORD_SPLIT = r"[^\x20\x09-\x0D]+"
 
 
@@ -96,27 +103,49 @@ def layout(sizes: DataFrame, shares: DataFrame) -> DataFrame:
     return docs.join(sums, (F.col("ordinal") == F.col("o")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("local")).drop("o", "b", "before", "local", "bucket", "docs")
 
 
-def pieces(docs: DataFrame, block: int, keep: list[str]) -> DataFrame:
-    """A row per document, pass and block that it lies in, with the piece's first and end word in the document."""
+def pieces(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """A row per document, pass and block that it lies in and the schedule takes, with the piece's first and end word in the document. docs: laid out, with step (words a block) and n_slots (blocks that the source's slots take)."""
     d = docs.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))))
     d = d.withColumn("from", F.col("pass") * F.col("source_size") + F.col("start"))
-    d = d.filter(F.col("from") < F.col("target") + 4 * block + F.col("target") * 0.01)  # beyond what any slot reaches
-    d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block))))
-    first = F.greatest(F.lit(0), F.col("block") * block - F.col("from"))
-    end = F.least(F.col("size"), (F.col("block") + 1) * block - F.col("from"))
+    d = d.filter(F.col("from") < F.col("n_slots") * F.col("step"))
+    last = F.least(F.floor((F.col("from") + F.col("size") - 1) / F.col("step")), F.col("n_slots") - 1)
+    d = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / F.col("step")), last)))
+    first = F.greatest(F.lit(0), F.col("block") * F.col("step") - F.col("from"))
+    end = F.least(F.col("size"), (F.col("block") + 1) * F.col("step") - F.col("from"))
     return d.select(*keep, "block", "pass", first.alias("first"), end.alias("end"))
 
 
+def levels(shares: DataFrame) -> list[tuple[float, float, int, int]]:
+    """The schedules: least target, target that is too large for it, words in all, words a block. Sources of under FEW blocks go on to the next, finer one."""
+    out, upto = [], float("inf")
+    while True:
+        total = round(shares.filter(F.col("target") < upto).agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
+        block = block_words(total)
+        least = 0.0 if block == 64 else float(FEW * block)
+        held = round(shares.filter((F.col("target") >= least) & (F.col("target") < upto)).agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
+        if held:
+            out.append((least, upto, held, block))
+        if not least or held == total:
+            return out
+        upto = least
+
+
 def mix(docs: DataFrame, block: int | None = None, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The laid-out documents (a row each, with the columns in extra) and the pieces that the schedule takes, joined to them by (ordinal, start)."""
     spark = docs.sparkSession
     sizes = stage(sized(docs, extra), "mix-sizes")
     shares = stage(targets(sizes).coalesce(1), "mix-shares")
     total, n = shares.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
-    block = block or block_words(total)
     placed = stage(layout(sizes, shares), "mix-placed")
-    taken = slots(spark, shares.select("ordinal", "target"), n, total, block)
-    return placed, pieces(placed, block, ["ordinal", "start"]).join(taken, ["ordinal", "block"])
+    small = F.broadcast if n <= MAX_BROADCAST_SOURCES else lambda df: df
+    parts = []
+    for least, upto, words, step in [(0.0, float("inf"), total, block)] if block else levels(shares):
+        held = shares.filter((F.col("target") >= least) & (F.col("target") < upto)).select("ordinal", "target")
+        taken = stage(slots(spark, held, n, words, step), "mix-slots")  # some four million rows at most
+        counts = taken.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_slots")).withColumn("step", F.lit(step).cast("long"))
+        parts.append(pieces(placed.join(small(counts), "ordinal"), ["ordinal", "start"]).join(taken, ["ordinal", "block"]))
+    empty = pieces(placed.limit(0).withColumns({"n_slots": F.lit(0).cast("long"), "step": F.lit(64).cast("long")}), ["ordinal", "start"])
+    return placed, reduce(DataFrame.union, [p.select(*empty.columns) for p in parts] or [empty])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
