@@ -4,14 +4,15 @@ Each rule's running time and the share it rejects are measured on a sample of do
 in the order of rejections per second, and a document that one rule rejects meets no other. The order changes
 the time only: a document is kept if and only if every rule keeps it.
 
-A null text counts as empty: it has no words, and the base rule of 50 words rejects it. Repeated
-rows give repeated results and a table without rows gives none; other columns are ignored.
+A null text counts as empty: it has no words, and the base rule of 50 words rejects it. Texts are read whole, whatever their length. Repeated
+rows, and rows without an id, give results of their own and a table without rows gives none; other columns are kept, but for those named like a result.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -95,8 +96,8 @@ def first_rejection(m: Measures, order: list[str], rules: dict[str, Callable] =
 
 def cascade(docs: DataFrame, order: list[str], text: str = "text", measure_all: bool = False) -> DataFrame:
     """docs' columns but text, with kept and rejected_by (the first rule of the order that rejects, else null); with measure_all also every measure."""
-    rest = [c for c in docs.columns if c != text]
     kinds = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean"} if measure_all else {}
+    rest = [c for c in docs.columns if c not in (text, "kept", "rejected_by", *kinds)]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema
     for name, kind in (kinds | {"kept": "boolean", "rejected_by": "string"}).items():
         schema = schema.add(name, kind)
@@ -114,12 +115,16 @@ def cascade(docs: DataFrame, order: list[str], text: str = "text", measure_all:
             types = {"long": pa.int64(), "boolean": pa.bool_()}
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + [pa.array(v, types.get(kinds.get(c, "boolean" if c == "kept" else ""), pa.string())) for c, v in found.items()], rest + list(found))
 
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in (*rest, text)]).mapInArrow(run, schema)
 
 
-def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str | None]:
-    """Texts to order the rules by; of a text its first 20,000 characters, which bounds what reaches the driver."""
-    return [r[0] for r in docs.select(F.substring("text", 1, 20_000)).limit(rows).collect()]
+def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, files: int = 16) -> list[str | None]:
+    """Texts to order the rules by, from up to `files` files spread evenly over the table docs; of a text its first 20,000 characters, which bounds what reaches the driver."""
+    names = sorted(docs.inputFiles())
+    picked = names[:: -(-len(names) // files)] if names else []
+    parts = [docs.sparkSession.read.schema(docs.schema).parquet(f) for f in picked] or [docs]
+    parts = [p.select(F.substring("text", 1, 20_000)).limit(-(-rows // len(parts))) for p in parts]
+    return [r[0] for r in reduce(DataFrame.union, parts).collect()]
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
