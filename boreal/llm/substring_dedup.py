@@ -6,11 +6,11 @@ minimizer, the least hash among its `K`-grams, and equal windows have equal mini
 their words, are segments. Only segments whose minimizer occurs in two different texts are kept;
 equal segments collapse to one with its least document before they meet. Per minimizer an automaton takes the segments in ascending order
 of document: each is first streamed against it for matching statistics, then added unless it holds nothing new.
-Minimizers with over `HOT` different segments are dealt out again window by window, by the window's first words.
+Minimizers with over `HOT` different segments are dealt out again window by window, by the whole window: equal windows then collapse to one row before any shuffle, however many there are.
 
 A document of the same text as one with a smaller id loses all its words if it has `WINDOW` at least. A null text is empty. A row without an id is no reference
-and loses what the first document of its text loses. Rows that share an id never remove each other's words; repeated rows get the same result. Texts of under `WINDOW` words stay
-whole, a table without rows gives none, other columns are ignored.
+and loses what the first document of its text loses, nothing where no row with an id has its text. Rows that share an id never remove each other's words; repeated rows get the same result. Texts of under `WINDOW` words stay
+whole, very long ones are read whole, a table without rows gives none, other columns are kept, but for those named like a result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from boreal.llm.shingles import hashes, ngrams
 
 WINDOW, K = 13, 6
 #: Different segments that one minimizer may have in an automaton.
-HOT = 5_000
+HOT = 1_000
 
 
 def segments(ws: list[bytes], window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,18 +83,18 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def by_window(found: DataFrame) -> DataFrame:
-    """Segments cut into single windows, under a minimizer of their own: of the old one and the window's first words."""
+    """Segments cut into single windows, each under a key of its own, the hash of the whole window."""
     names = found.columns
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             at, rows = [], []
-            for k, (h, start, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("h", "start", "content")), strict=True)):
+            for k, (start, content) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start", "content")), strict=True)):
                 ws = content.split(b" ")
                 for i in range(len(ws) - WINDOW + 1):
                     part = b" ".join(ws[i : i + WINDOW])
                     at.append(k)
-                    rows.append((content_hash(b"%d %s" % (h, b" ".join(ws[i : i + 4]))), content_hash(part), start + i, 1, part))
+                    rows.append((content_hash(part), content_hash(part), start + i, 1, part))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             at = pa.array(at, pa.int64())
