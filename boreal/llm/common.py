@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor reaches; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which every executor reaches. Where that is unset, a temporary one, on a local master alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="boreal-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

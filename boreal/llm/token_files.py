@@ -7,7 +7,8 @@ ids less the minimum, packed at that width, the least that holds `PERCENTILE` pe
 and whole values of those that need more bits. Any block can be read by itself through its start.
 
 Documents are range-partitioned and sorted by id, so shards and their contents ascend; equal ids are
-ordered by text, null ids come first. A null text is empty and holds the end id alone. A task that is run again
+ordered by text, null ids come first, repeated rows are written one after the other. A null text is empty and holds the end id alone; a very long one
+spans as many blocks as it takes. A table without rows gives no documents; other columns are ignored. Ids of documents lie beside a shard in a file of their own. A task that is run again
 writes another file; only files named in the manifest, which finished tasks return, are read.
 """
 

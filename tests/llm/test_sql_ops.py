@@ -44,6 +44,32 @@ def test_url_edges(spark):
     assert url_filter.judge(df.limit(0), url_filter.rule_table(spark)).count() == 0
 
 
+def test_many_rule_shapes(spark):
+    """Any number of label counts and path lengths; candidates of a short prefix are confirmed by their digests."""
+    rules = [("block", f"h{k}.net", "/" + "p" * k) for k in range(600)] + [("allow", "x." * k + "org", "/") for k in range(1, 60)]
+    urls = [f"http://a.h{k}.net/{'p' * (k + d)}" for k in range(0, 600, 37) for d in (-1, 0, 1)] + ["http://" + "x." * k + "org/y" for k in (0, 1, 30, 59, 80)]
+    df = spark.createDataFrame(list(enumerate(urls)) + [(None, "http://h0.net/")], "page_id long, url string")
+    listed = spark.createDataFrame([(v, h, p, h + p) for v, h, p in rules], "verdict string, host string, path string, rule string")
+    for size in (1, 4):
+        got = {r.url: (r.rule, r.verdict) for r in url_filter.judge(df, listed, prefix_bytes=size).collect()}
+        for u in urls:
+            host, path = u[7:].split("/", 1)
+            fits = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+            assert got[u] == max(fits, default=(0, None, "allow"))[1:], u
+    assert got["http://h0.net/"] == ("h0.net/", "block")
+
+
+def test_small_sources_have_finer_blocks(spark, monkeypatch):
+    """With blocks of a large corpus, sources of a few blocks come as near their target as in a small one."""
+    monkeypatch.setattr(mixing, "block_words", lambda total: max(64, min(65_536, total >> 8)))
+    docs = [(k, "big", "w " * 997) for k in range(400)] + [(1000 + k, "mid", "w " * 301) for k in range(40)] + [(2000 + k, f"tail{k % 3}", "w " * 50) for k in range(90)]
+    placed, parts = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"))
+    shares = placed.groupBy("source").agg(F.first("target").alias("target"), F.first("ordinal").alias("o"))
+    got = shares.join(parts.groupBy("ordinal").agg(F.sum(F.col("end") - F.col("first")).alias("n")), F.col("o") == F.col("ordinal"), "left").na.fill(0).collect()
+    assert len(mixing.levels(shares)) > 1
+    assert all(abs(r.n - r.target) <= max(0.02 * r.target, 256) for r in got), got
+
+
 def test_mix_edges(spark):
     long = "w " * 20_000
     docs = [(k, f"s{k % 3}", "a b c " * (10 + k % 7)) for k in range(300)] + [(400, None, "x y"), (401, None, None), (402, "s1", ""), (403, "s2", long), (404, "big", long), (1, "s1", "again again"), (1, "s1", "again again"), (None, "s0", "null id")]
@@ -65,10 +91,12 @@ def test_mix_edges(spark):
 
 def test_cascade(spark):
     texts = [None, "", "a " * 60, " ".join(f"w{k}" for k in range(80)), " ".join(f"w{k}##%" for k in range(80)), "\n".join(["same line of text here"] * 5 + [f"u{k} v{k} w{k}" for k in range(40)])]
-    df = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)] * 2, "doc_id long, text string, kept boolean").drop("kept").withColumn("n", F.lit(1))
+    df = spark.createDataFrame([(k, t, True) for k, t in enumerate(texts)] * 2, "doc_id long, text string, kept boolean").withColumn("n", F.lit(1)).withColumn("n_words", F.lit("clash"))
     for order in (list(quality.RULES), list(quality.RULES)[::-1], quality.order_rules(texts)):
         got = {r.doc_id: r.kept for r in quality.cascade(df, order).collect()}
         assert got == {0: False, 1: False, 2: False, 3: True, 4: False, 5: True}
+    odd = spark.createDataFrame([(None, "w " * 200_000), (None, None)], "doc_id long, text string")
+    assert [(r.n_words, r.kept) for r in quality.cascade(odd, list(quality.RULES), measure_all=True).collect()] == [(200_000, False), (0, False)]
     m = quality.Measures("a b c a b c d")
     assert (m.n_words, m.n_repeat_words, m.word_chars, m.n_dup_lines) == (7, 6, 7, 0)
     assert quality.Measures("x\n\nx\n \ny").n_dup_lines == 1

@@ -50,6 +50,16 @@ def test_edges(spark, monkeypatch, hot):
     assert sd.deduplicate(df.limit(0)).count() == 0
 
 
+def test_null_ids_and_long_texts(spark):
+    """A row without an id is no reference, loses what the first document of its text loses, and stays whole where no row with an id has its text."""
+    rng = np.random.default_rng(3)
+    vocab = [f"w{k}" for k in range(5000)]
+    passage, long = " ".join(rng.choice(vocab, 40)), " ".join(rng.choice(vocab, 120_000))
+    rows = [(1, passage), (2, f"x {passage} y"), (3, f"{long} {passage}"), (None, f"z {passage}"), (None, passage)]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in sd.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 40, 0), (0, 41, 0), (1, 40, 0), (2, 42, 40), (3, 120_040, 40)]
+
+
 def test_automaton():
     rng = np.random.default_rng(4)
     for _ in range(60):

@@ -59,6 +59,20 @@ def test_token_files_equal_library(spark):
     assert token_files.read(token_files.write(docs(spark).limit(0), folder), folder).count() == 0
 
 
+def test_token_files_null_and_repeated_ids(spark):
+    """Null ids come first, repeated ids by text, and a document may span blocks."""
+    long = " ".join(f"word{k % 977}" for k in range(9000))
+    rows = [(None, "null id"), (5, "b"), (5, "a"), (5, "a"), (1, long), (None, None)]
+    folder = new_folder(spark, "pfr")
+    got = token_files.read(token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), folder), folder).orderBy("start").collect()
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    ids = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x in order]
+    assert [r.doc_id for r in got] == [k for k, _ in order] and max(map(len, ids)) > 2 * token_files.BLOCK
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
+
+
 def test_token_files_on_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
