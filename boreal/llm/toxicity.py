@@ -122,10 +122,12 @@ def training(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tupl
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([terms.of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], schema.names)
 
     found = stage(known.mapInArrow(run, schema), "toxicity-terms")
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic"), F.xxhash64("terms")]
-    upto = F.sum(F.size("terms")).over(Window.orderBy("h", "doc_id", "toxic", "k").rowsBetween(Window.unboundedPreceding, 0))
-    found = found.select("doc_id", "toxic", "terms", order[0].alias("h"), order[3].alias("k")).orderBy("h", "doc_id", "toxic", "k").limit(rows)  # ids may repeat in docs
-    found = stage(found.withColumn("upto", upto).filter(F.col("upto") <= TRAIN_TERMS).drop("upto"), "toxicity-rows")
+    order = ["h", "doc_id", "toxic", "k"]
+    found = found.select("doc_id", "toxic", "terms", F.xxhash64("doc_id").alias("h"), F.xxhash64("terms").alias("k")).dropDuplicates(order)  # ids may repeat in docs
+    upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = found.select(*order, F.size("terms").alias("size")).orderBy(*order).limit(rows).withColumn("upto", upto)  # four numbers for each of `rows` rows
+    last = sizes.filter(F.col("upto") <= TRAIN_TERMS).agg(F.max(F.struct(*order)).alias("m")).first().m
+    found = stage(found.filter(F.struct(*order) <= F.struct(*[F.lit(last[c]).cast(found.schema[c].dataType) for c in order])) if last else found.limit(0), "toxicity-rows")
     n1, n = found.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.lit(1))).first()
     if not 0 < n1 < n:
         return [], [np.empty(0, np.int32)] * n, np.r_[np.ones(n1), np.zeros(n - n1)]
