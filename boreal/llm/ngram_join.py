@@ -3,7 +3,7 @@
 Documents of equal shingle sets form a class, and classes are joined. In each run a set goes into the buckets of shingles
 that it samples: shingle s by set x if hash(path, s) < 1 / (`SPREAD` * threshold * |x|), the same hash for all
 sets, so that two similar sets share a bucket with a known probability. A bucket of up to `LIMIT` sets is compared by brute force: sizes, one-permutation
-sketches, then the shingles themselves. A larger one is split again by shingles sampled anew, as often as it takes: sets of which a share o of shingles is
+sketches, then the shingles themselves; one of up to `BLOCK` by the shingles in one task. A larger one is split again by shingles sampled anew, as often as it takes: sets of which a share o of shingles is
 common meet o / (`SPREAD` * threshold) times again on average, so what merely shares a passage dies out. Where a bucket's mean similarity, estimated from its sketches, is
 so high that this is 1 or more, no split shrinks it; such a bucket is compared whole in blocks of shingle sets, which return each set's number of links and a spanning
 forest, not the pairs. Runs are repeated until a pair at the threshold is met with probability `RECALL` at any depth (the sketches' bound loses under one pair in 100,000 more).
@@ -317,7 +317,8 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     sets = keep(shingled(docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("first_id")), n).dropDuplicates(["key"]), "sets")
     placed, whole, written = rows.filter(F.col("size") <= LIMIT), rows.limit(0), ["rows-0"]
     for depth in range(1, DEPTH + 1):
-        large = rows.filter(F.col("size") > LIMIT)
+        whole = whole.union(rows.filter((F.col("size") > LIMIT) & (F.col("size") <= BLOCK)))
+        large = rows.filter(F.col("size") > F.greatest(F.lit(LIMIT), F.lit(BLOCK)))
         if large.isEmpty():
             break
         judged = keep(large.join(likeness(large, classes), "path", "left").withColumn("alike", F.coalesce("alike", F.lit(0.0))), f"large-{depth}")
