@@ -126,15 +126,14 @@ def exploded(df: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             paths = [np.frombuffer(p, np.int64) for p in batch.column("paths").to_pylist()]
-            sizes = [len(p) for p in paths]
-            at = np.repeat(np.arange(len(paths)), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths) if paths else np.empty(0, np.int64)), *(batch.column(c).take(pa.array(at)) for c in ("key", "above"))], ["path", "key", "above"])
+            at = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths) if paths else np.empty(0, np.int64)), batch.column("key").take(pa.array(at))], ["path", "key"])
 
-    return df.select("key", "above", "paths").mapInArrow(run, "path long, key long, above long")
+    return df.select("key", "paths").mapInArrow(run, "path long, key long")
 
 
 def deeper(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The next step's rows (path, key, above: the size of the bucket that was split) of rows (path, key, size)."""
+    """The next step's rows (path, key) of rows (path, key)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
@@ -142,9 +141,9 @@ def deeper(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             for path, s in zip(batch.column("path").to_pylist(), batch.column("set").to_pylist(), strict=True):
                 out += split(unpack(s), np.array([path], np.int64).view(np.uint64), threshold)
             at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in out[1:]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column("key").take(at), batch.column("size").take(at)], ["path", "key", "above"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column("key").take(at)], ["path", "key"])
 
-    return rows.join(sets, "key").select("path", "key", "size", "set").mapInArrow(run, "path long, key long, above long")
+    return rows.join(sets, "key").select("path", "key", "set").mapInArrow(run, "path long, key long")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -312,9 +311,14 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
         base.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes"
     )
     pairable = classes.filter(F.col("n") >= threshold / (1 - threshold) - 1e-9)  # a smaller set is similar to equal ones alone
-    rows = keep(shared(exploded(pairable.withColumn("above", F.lit(0).cast("long")))), "rows-0")
-    needed = rows.select("key").distinct().join(classes.select("key", "first_id"), "key")
-    sets = keep(shingled(docs.select("doc_id", "text").join(needed, F.col("doc_id") == F.col("first_id")), n).dropDuplicates(["key"]), "sets")
+    rows = keep(shared(exploded(pairable)), "rows-0")
+    needed = keep(rows.select("key").distinct().join(classes.select("key", "first_id"), "key"), "needed")
+    texts = docs.select("doc_id", "text").join(needed.hint("merge"), F.col("doc_id") == F.col("first_id"))  # a plan for every size
+    sets = shingled(texts, n)
+    if base.join(needed.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("first_id"))).count() > needed.count():
+        sets = sets.dropDuplicates(["key"])  # rows that share an id and a text
+    sets = keep(sets, "sets")
+    steps.drop("needed")
     placed, whole, written = rows.filter(F.col("size") <= LIMIT), rows.limit(0), ["rows-0"]
     for depth in range(1, DEPTH + 1):
         whole = whole.union(rows.filter((F.col("size") > LIMIT) & (F.col("size") <= BLOCK)))
