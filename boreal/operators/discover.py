@@ -10,57 +10,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boreal.operators import grid
-from boreal.operators.kernels import EIGHT, distance, label, per_tile, thinned
+from boreal.operators.graph import dijkstra
+from boreal.operators.kernels import EIGHT, distance, label, per_tile, shifted, thinned
 from boreal.operators.spatial import unmapped
 
 
+def neighbour_edges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directed edges between adjacent cells of a mask, as cell numbers in row order."""
+    cell = np.arange(mask.size).reshape(mask.shape)
+    src, dst = [], []
+    for dy, dx in EIGHT:
+        there = shifted(np.where(mask, cell, -1), dy, dx, -1)
+        both = mask & (there >= 0)
+        src.append(cell[both])
+        dst.append(there[both])
+    return np.concatenate(src), np.concatenate(dst)
+
+
 def longest_path(mask: np.ndarray) -> list[tuple[int, int]]:
-    """The longest shortest path of a thin region: a walk to the farthest cell, and from there to the farthest again."""
-    cells = set(zip(*map(lambda a: a.tolist(), np.nonzero(mask)), strict=True))
-
-    def walk(start):
-        before, queue = {start: None}, [start]
-        for c in queue:
-            for dy, dx in EIGHT:
-                n = (c[0] + dy, c[1] + dx)
-                if n in cells and n not in before:
-                    before[n] = c
-                    queue.append(n)
-        return before, queue[-1]
-
-    if not cells:
+    """The longest shortest path of a thin region, by two relaxations over its edge table: from any cell to the farthest, and from there."""
+    if not mask.any():
         return []
-    _, a = walk(min(cells))
-    before, b = walk(a)
+    src, dst = neighbour_edges(mask)
+    end = int(np.flatnonzero(mask)[0])
+    for _ in range(2):
+        dist, before = dijkstra(src, dst, np.ones(len(src)), {end: 0.0})
+        end = max(dist, key=lambda n: (dist[n], -n))
     path = []
-    while b is not None:
-        path.append(b)
-        b = before[b]
+    while end != -1:
+        path.append(divmod(end, mask.shape[1]))
+        end = before[end]
     return path
 
 
-def pruned(skeleton: np.ndarray, least: int) -> np.ndarray:
-    """A skeleton without spurs shorter than `least` cells."""
-    s = skeleton.copy()
-    for _ in range(least):
-        n = sum(np.roll(np.roll(np.pad(s, 1), dy, 0), dx, 1)[1:-1, 1:-1] for dy, dx in EIGHT)
-        ends = s & (n <= 1)
-        if not ends.any():
-            break
-        s &= ~ends
-    grown = s.copy()
-    for _ in range(least):  # ends that are left grow back along the skeleton
-        n = sum(np.roll(np.roll(np.pad(grown, 1), dy, 0), dx, 1)[1:-1, 1:-1] for dy, dx in EIGHT)
-        grown |= skeleton & (n == 1) & ~grown
-    return grown
+#: For each of the 256 rings of neighbours the number of branches that leave a cell: runs of set bits around the ring.
+BRANCHES = np.array([(ring ^ ((ring << 1 | ring >> 7) & 255)).bit_count() // 2 for ring in range(256)])
+RING = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+
+
+def branches(skeleton: np.ndarray) -> np.ndarray:
+    """How many branches leave each cell of a skeleton; 0 elsewhere."""
+    code = sum(shifted(skeleton, dy, dx, False).astype(np.int64) << k for k, (dy, dx) in enumerate(RING))
+    return np.where(skeleton, BRANCHES[code], 0)
 
 
 def junctions(skeleton: np.ndarray) -> np.ndarray:
-    """Skeleton cells where three branches or more meet, by the crossing number."""
-    p = np.pad(skeleton, 1)
-    ring = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
-    v = [np.roll(np.roll(p, -dy, 0), -dx, 1)[1:-1, 1:-1] for dy, dx in ring]
-    return skeleton & (sum((~v[k] & v[(k + 1) % 8]).astype(int) for k in range(8)) >= 3)
+    """Skeleton cells where three branches or more meet."""
+    return branches(skeleton) >= 3
+
+
+def pruned(skeleton: np.ndarray, least: int) -> np.ndarray:
+    """A skeleton without spurs: pieces between an end and a junction of fewer than `least` cells. Pieces are what is left between junctions and the cells around them."""
+    meet = junctions(skeleton)
+    knots = meet.copy()
+    for dy, dx in RING:
+        knots |= shifted(meet, dy, dx, False)
+    pieces, n = label(skeleton & ~knots, EIGHT)
+    near_knot = np.zeros(skeleton.shape, bool)
+    for dy, dx in RING:
+        near_knot |= shifted(skeleton & knots, dy, dx, False)
+    size = np.bincount(pieces.ravel(), minlength=n + 1)
+    held = np.bincount(pieces[near_knot], minlength=n + 1) > 0
+    ends = np.bincount(pieces[branches(skeleton) == 1], minlength=n + 1) > 0
+    spur = held & ends & (size + 1 < least)  # the junction's own neighbour belongs to the spur
+    spur[0] = False
+    return skeleton & ~spur[pieces]
 
 
 def find_tracks(cells: DataFrame, res: float, known: DataFrame, tile: int = 400, least_m: float = 50.0) -> DataFrame:
