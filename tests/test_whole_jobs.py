@@ -220,19 +220,3 @@ def test_distance_far_from_a_sparse_mask(spark, share, holes):
 def test_distance_without_a_mask(spark):
     t = spark.createDataFrame([(0, 0, False), (0, 1, None)], "iy int, ix int, m boolean")
     assert [r.distance for r in grid.distance_to(t, "m", 2.0).collect()] == [1000.0, 1000.0]
-
-
-def test_near_duplicates_keep_a_row_of_each_group(spark):
-    """Whether ids collide or are null."""
-    import random
-
-    import corpus_pipeline
-
-    rng = random.Random(6)
-    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(4))
-    rows = [(3, b + " end"), (7, "zz " + a), (7, b), (None, c), (None, c + " more"), (None, d), (9, d + " last"), (11, "short"), (11, "brief")]
-    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
-    assert Counter(k for k, _ in got) == {3: 1, 7: 1, None: 1, 9: 1, 11: 2}
-    assert (7, "zz " + a) in got and (3, b + " end") in got and (9, d + " last") in got
-    assert {t for k, t in got if k is None} <= {c, c + " more"}
