@@ -219,3 +219,8 @@ def auto_depot(roads: DataFrame, nx: int, ny: int) -> DataFrame:
     best = w.orderBy(F.desc("weight"), "label").limit(1)
     edge = F.least(F.col("iy"), F.col("ix"), ny - 1 - F.col("iy"), nx - 1 - F.col("ix"))
     return roads.join(F.broadcast(best), "label").orderBy(edge, "iy", "ix").limit(1).select("iy", "ix")
+
+
+def united(mapped: DataFrame, discovered: DataFrame) -> DataFrame:
+    """Mapped and discovered features in one table, with a flag; columns that only one side has are null on the other."""
+    return mapped.withColumn("discovered", F.lit(False)).unionByName(discovered.withColumn("discovered", F.lit(True)), allowMissingColumns=True)

@@ -233,3 +233,8 @@ def run_lengths(cells: DataFrame, mask: str, by: list[str], order: str) -> DataF
     w = Window.partitionBy(*by).orderBy(order)
     island = F.col(order) - F.row_number().over(w)
     return cells.filter(F.col(mask)).withColumn("island", island).groupBy(*by, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n")).drop("island")
+
+
+def colour_scale(cells: DataFrame, value: str, low: float = 0.02, high: float = 0.98, accuracy: int = 10_000) -> DataFrame:
+    """One row: the ends of a colour scale, as percentiles by a sketch that merges across tasks."""
+    return cells.agg(F.percentile_approx(value, low, accuracy).alias("low"), F.percentile_approx(value, high, accuracy).alias("high"))

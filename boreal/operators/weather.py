@@ -66,3 +66,8 @@ def scenario_days(spark, scenario: str, n: int = 45) -> DataFrame:
         F.when(last, t).otherwise(t + 6 * (F.col("u1") - 0.5)).alias("t_c"), F.when(last, rh).otherwise(rh + 20 * (F.col("u2") - 0.5)).alias("rh"),
         F.when(last, w).otherwise(w * (0.6 + 0.8 * F.col("u3"))).alias("w_kmh"), F.when(last | (F.col("u4") >= p), 0.0).otherwise(12 * F.col("u4") / p).alias("rain"), F.lit(7).alias("mon"),
     )
+
+
+def last_rows(history: DataFrame, by: str, order: str, n: int = 21) -> DataFrame:
+    """The last n rows of each series."""
+    return history.withColumn("back", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).filter(F.col("back") <= n).drop("back")

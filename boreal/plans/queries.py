@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from boreal.functions import fire_weather as fw
 from boreal.functions import forest as fo
 from boreal.functions import geo
-from boreal.operators import costs, fire, fleet, graph, grid, montecarlo, plan, sequence, site, spatial, text, trees, weather
+from boreal.operators import costs, discover, fire, fleet, graph, grid, montecarlo, plan, sequence, site, spatial, text, trees, weather
+from boreal.sources import sinks
 from boreal.sources.fixtures import source, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -742,3 +743,85 @@ def tree_cells(spark, sf):
     """Equi-join on derived cells."""
     t = source(spark, sf, "v_trees").select("tree_id", F.floor(F.col("y") / 10).cast("int").alias("iy"), F.floor(F.col("x") / 10).cast("int").alias("ix"))
     return t.join(source(spark, sf, "v_cells"), ["iy", "ix"]).select("tree_id", "n", "z_max")
+
+
+# ---- rules and small tables
+@query("""SELECT tree_id, CAST(CASE WHEN v<(CASE WHEN species=2 THEN 0.20 ELSE 0.15 END) THEN 2 WHEN v<(CASE WHEN species=2 THEN 0.45 ELSE 0.40 END) THEN 1 ELSE 0 END AS BIGINT) AS by_ndvi,
+ CAST(CASE WHEN z< -3.2 OR (d<0.45*40 AND z< -2) THEN 2 WHEN z< -2 THEN 1 ELSE 0 END AS BIGINT) AS by_intensity, CAST(CASE WHEN edge<0.11 AND emergent>0.35 THEN 1 WHEN h/10>1.45 THEN 2 ELSE 0 END AS BIGINT) AS species
+ FROM (SELECT *, (tree_id % 17)/16e0 AS v, (tree_id % 9)/1e0-6 AS z, (tree_id % 50)/1e0 AS d FROM v_trees) t""")
+def tree_rules(spark, sf):
+    """M05's rule, M06, M07: species and health where no model is at hand."""
+    k, t = F.col("tree_id"), source(spark, sf, "v_trees")
+    ndvi, z, density = (k % 17) / 16, (k % 9) - 6.0, (k % 50).cast("double")
+    return t.select("tree_id", big(trees.health_by_ndvi(ndvi, F.col("species"))).alias("by_ndvi"), big(trees.health_by_intensity(z, density, F.lit(40.0))).alias("by_intensity"), big(trees.species_rule(F.col("edge"), F.col("emergent"), F.col("h") / 10)).alias("species"))
+
+
+@query("SELECT CAST(iy AS BIGINT) AS iy, CAST(ix AS BIGINT) AS ix, round(greatest(0, cos(radians(45))*cos(radians(s))+sin(radians(45))*sin(radians(s))*cos(radians(315-a))),6) AS shade FROM (SELECT iy, ix, (n % 60)/1e0 AS s, (n_veg*7 % 360)/1e0 AS a FROM v_cells) c")
+def shaded(spark, sf):
+    """R16."""
+    c = source(spark, sf, "v_cells")
+    return c.select(big("iy").alias("iy"), big("ix").alias("ix"), r6(sinks.hillshade((F.col("n") % 60).cast("double"), (F.col("n_veg") * 7 % 360).cast("double"))).alias("shade"))
+
+
+@query("""SELECT CAST(iy AS BIGINT) AS iy, CAST(ix AS BIGINT) AS ix, CASE WHEN d>0.45 THEN 'dead' WHEN y+0.5*d>0.3 THEN 'stressed' ELSE 'healthy' END AS health,
+ CASE WHEN w OR p< -60 THEN 'above' WHEN p> -45 THEN 'ground' WHEN s>0.12 THEN 'ground' ELSE 'above' END AS view FROM (SELECT iy, ix, (n % 64)/64e0 AS d, (n_veg % 32)/64e0 AS y, ix % 7 = 0 AS w, -(n % 90)/1e0 AS p, (n_veg % 16)/64e0 AS s FROM v_cells) c""")
+def picture_rules(spark, sf):
+    """X01's view, X02's rule."""
+    c = source(spark, sf, "v_cells")
+    health = discover.aerial_health((F.col("n") % 64) / 64, (F.col("n_veg") % 32) / 64)
+    view = discover.photo_view(F.col("ix") % 7 == 0, -(F.col("n") % 90).cast("double"), (F.col("n_veg") % 16) / 64)
+    return c.select(big("iy").alias("iy"), big("ix").alias("ix"), health.alias("health"), view.alias("view"))
+
+
+@query("""SELECT tree_id, CASE WHEN corridor>=11.5 AND h*4>=60 THEN 'main' ELSE 'forest' END AS cls, round(greatest(3,least(8,corridor-5.5)),6) AS width, round(c,6) AS confidence
+ FROM (SELECT *, 0.45*emergent+0.25*edge*1.6+0.3*(1-least((crown_area/10)/0.6,1)) AS c, crown_area*3 AS corridor FROM v_trees) t WHERE round(c,9)>=0.6 AND emergent>=0.5 AND corridor>=5.5""")
+def road_network(spark, sf):
+    """Class, width and confidence of segments that pass the gates; a row per tree stands for a segment."""
+    t = source(spark, sf, "v_trees").select("tree_id", (F.col("h") * 4).alias("length"), (F.col("crown_area") * 3).alias("corridor"), F.col("emergent").alias("side"), (F.col("edge") * 1.6).alias("straight"), (F.col("crown_area") / 10).alias("width_cv"))
+    return discover.road_segments(t).select("tree_id", "cls", r6("width").alias("width"), r6("confidence").alias("confidence"))
+
+
+@query("SELECT round(sum(e*(24*d+(480+m)/60e0+2))/greatest(sum(e),1e-6),6) AS hours FROM (SELECT area_ha/100e0 AS e, task_id % 5 AS d, flight_min AS m FROM v_tasks) t")
+def hours_to_data(spark, sf):
+    """Q07: exposure-weighted hours from storm to data."""
+    t = source(spark, sf, "v_tasks").select((F.col("area_ha") / 100).alias("exposure"), (F.col("task_id") % 5).alias("days"), F.lit(480.0).alias("start"), F.col("flight_min").cast("double").alias("duration"))
+    return fleet.exposure_weighted_hours(t).select(r6("hours").alias("hours"))
+
+
+@query("SELECT CASE task_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS scenario, CAST(task_id % 44 AS BIGINT) AS day, count(*) AS n FROM v_tasks GROUP BY 1,2")
+def assignments_per_day(spark, sf):
+    """A29."""
+    t = source(spark, sf, "v_tasks").select(F.element_at(F.array(*map(F.lit, "abc")), (F.col("task_id") % 3 + 1).cast("int")).alias("scenario"), (F.col("task_id") % 44).alias("day"))
+    return fleet.per_day(t).select("scenario", big("day").alias("day"), "n")
+
+
+@query("SELECT series, CAST(seq AS BIGINT) AS seq, round(rain,6) AS rain FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY seq DESC) AS back FROM v_days) d WHERE back<=21")
+def last_days(spark, sf):
+    """The last 21 rows of each series."""
+    return weather.last_rows(source(spark, sf, "v_days"), "series", "seq").select("series", big("seq").alias("seq"), r6("rain").alias("rain"))
+
+
+@query("SELECT series, CAST(seq AS BIGINT) AS seq, round(0.6*greatest(0,least(1,(rh-70)/25))+0.4*greatest(0,least(1,t_c*3/80)),6) AS dryness FROM v_days")
+def dryness_of_days(spark, sf):
+    """H09."""
+    return source(spark, sf, "v_days").select("series", big("seq").alias("seq"), r6(fo.dryness(F.col("rh"), F.col("t_c") * 3)).alias("dryness"))
+
+
+@query("SELECT kind, discovered, count(*) AS n, count(r) AS n_r FROM (SELECT kind, r, false AS discovered FROM v_buildings UNION ALL SELECT cls, NULL, true FROM v_segments) u GROUP BY 1,2")
+def mapped_and_discovered(spark, sf):
+    """U02."""
+    u = discover.united(source(spark, sf, "v_buildings").select("kind", "r"), source(spark, sf, "v_segments").select(F.col("cls").alias("kind")))
+    return u.groupBy("kind", "discovered").agg(F.count(F.lit(1)).alias("n"), F.count("r").alias("n_r"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_extract(url, '[^/]*$'), '[^A-Za-z0-9._-]', '_', 'g') AS name, substr(sha1(url),1,24) AS key FROM pages")
+def landed_names(spark, sf):
+    """names and keys of landed files."""
+    return source(spark, sf, "pages").select("page_id", text.safe_name(F.col("url")).alias("name"), text.cache_key(F.col("url")).alias("key"))
+
+
+@query("""SELECT 'house_value' AS key, 12345e0 AS value, 'user' AS basis UNION ALL SELECT 'felling_cost_per_tree', 80e0, 'assumption'""")
+def user_costs(spark, sf):
+    """A user's value for a known key wins, unknown keys are ignored."""
+    user = source(spark, sf, "nation").filter("n_nationkey < 2").select(F.when(F.col("n_nationkey") == 0, "house_value").otherwise("nothing").alias("key"), F.lit(12345.0).alias("value"))
+    return costs.merged(costs.defaults(spark), user).filter(F.col("key").isin("house_value", "felling_cost_per_tree")).select("key", "value", "basis")

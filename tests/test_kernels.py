@@ -93,3 +93,20 @@ def test_nearest_fill_and_pits(spark):
     got = {(r.iy, r.ix): r.chm for r in grid.nearest_fill(t, "chm").collect()}
     assert got[0, 1] == 1.0 and got[0, 2] == 5.0
     assert {(r.iy, r.ix): r.chm for r in grid.fill_pits(table(spark, chm=np.where(np.isnan(a), 5, a))).collect()}[1, 1] == 5.0
+
+
+def test_spurs_go_and_ends_stay():
+    s = np.zeros((20, 60), bool)
+    s[10, 2:58] = True
+    s[7:10, 30] = True  # a spur of three cells
+    s[2:10, 45] = True  # a branch of eight
+    out = discover.pruned(s, 4)
+    assert out[10, 2:58].all() and not out[7:9, 30].any() and out[2:10, 45].all()
+    assert discover.longest_path(out)[0] in ((10, 2), (10, 57)) and len(discover.longest_path(out)) == 56
+
+
+def test_colour_scale(spark):
+    from boreal.operators import grid
+
+    r = grid.colour_scale(spark.range(1000), "id").first()
+    assert abs(r.low - 20) <= 1 and abs(r.high - 980) <= 1
