@@ -150,7 +150,7 @@ def shared(rows: DataFrame) -> DataFrame:
     """The rows of buckets with two sets at least, with the bucket's size."""
     rows = rows.dropDuplicates(["path", "key"])
     sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return rows.join(sizes, "path")
+    return rows.join(sizes.hint("merge"), "path")  # a plan for every size
 
 
 def likeness(large: DataFrame, classes: DataFrame) -> DataFrame:
@@ -310,6 +310,8 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     classes = keep(
         base.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "classes"
     )
+    base = keep(base.select("doc_id", "key"), "keys")
+    steps.drop("docs")
     pairable = classes.filter(F.col("n") >= threshold / (1 - threshold) - 1e-9)  # a smaller set is similar to equal ones alone
     rows = keep(shared(exploded(pairable)), "rows-0")
     needed = keep(rows.select("key").distinct().join(classes.select("key", "first_id"), "key"), "needed")
@@ -334,8 +336,8 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     placed = keep(placed.withColumn("whole", F.lit(False)).union(whole.withColumn("whole", F.lit(True))).select("path", "key", "size", "whole"), "placed")
     steps.drop(*written)
     lists = placed.groupBy("key").agg(F.array_sort(F.collect_set("path")).alias("list"))
-    known = keep(packed(lists).join(classes.select("key", "n", "copies", "sketch"), "key"), "known")
-    full = placed.join(known, "key")
+    known = keep(packed(lists).join(classes.select("key", "n", "copies", "sketch").hint("merge"), "key"), "known")
+    full = placed.join(known.hint("merge"), "key")
     pairs = keep(candidates(full.filter(~F.col("whole")), threshold), "pairs")
     paired = keep(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi"), "paired")
     links = keep(verified(pairs, paired, threshold), "links")
