@@ -184,16 +184,17 @@ def bucket_pairs(path: int, keys: list[int], n: np.ndarray, sketches: np.ndarray
 
 
 def candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) from rows (path, key, n, sketch, all_paths) of small buckets, read bucket by bucket in the order of path."""
+    """Distinct pairs (path, a, b) from rows (path, key, n, sketch, all_paths) of small buckets, read bucket by bucket in the order of path; path is the bucket."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, current = [], None
 
-        def flush() -> list[tuple[int, int]]:
+        def flush() -> list[tuple[int, int, int]]:
             if len(group) < 2:
                 return []
             keys, n, sketches, paths = zip(*group, strict=True)
-            return bucket_pairs(current, list(keys), np.array(n), np.stack([np.frombuffer(s, np.uint8) for s in sketches]), [np.frombuffer(p, np.int64) for p in paths], threshold)
+            found = bucket_pairs(current, list(keys), np.array(n), np.stack([np.frombuffer(s, np.uint8) for s in sketches]), [np.frombuffer(p, np.int64) for p in paths], threshold)
+            return [(current, a, b) for a, b in found]
 
         for batch in batches(it, 4096):
             found = []
@@ -205,27 +206,38 @@ def candidates(rows: DataFrame, threshold: float) -> DataFrame:
             yield pairs(found)
         yield pairs(flush())
 
-    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+    def pairs(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(3)], ["path", "a", "b"])
 
     rows = rows.select("path", "key", "n", "sketch", "all_paths").repartition("path").sortWithinPartitions("path")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "path long, a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose sets are similar, by the shingles themselves."""
+    """The pairs (a, b) of pairs (path, a, b) whose sets are similar, by the shingles themselves. A bucket's sets are sent to it once, however many pairs they are in, and come before its pairs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known = None, {}
         for batch in batches(it):
             good = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = unpack(x), unpack(y)
+            for path, key, other, packed_set in zip(*(batch.column(c).to_pylist() for c in ("path", "key", "other", "set")), strict=True):
+                if path != current:
+                    current, known = path, {}
+                if other is None:
+                    known[key] = packed_set
+                    continue
+                if key not in known or other not in known:  # a class without an id has no set
+                    continue
+                x, y = unpack(known[key]), unpack(known[other])
                 both = len(np.intersect1d(x, y))
-                good.append(both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                if both >= threshold * (len(x) + len(y) - both):
+                    good.append((key, other))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a")
-    return with_a.join(sets.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    members = pairs.select("path", F.explode(F.array("a", "b")).alias("key")).distinct()
+    held = members.join(sets.hint("merge"), "key").select("path", "key", F.lit(None).cast("long").alias("other"), "set")  # a plan for every size
+    rows = held.union(pairs.select("path", "a", "b", F.lit(None).cast("binary"))).repartition("path")
+    return rows.sortWithinPartitions("path", F.col("other").isNotNull()).mapInArrow(run, "a long, b long")
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -339,9 +351,8 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     known = keep(packed(lists).join(classes.select("key", "n", "copies", "sketch").hint("merge"), "key"), "known")
     full = placed.join(known.hint("merge"), "key")
     pairs = keep(candidates(full.filter(~F.col("whole")), threshold), "pairs")
-    paired = keep(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi"), "paired")
-    links = keep(verified(pairs, paired, threshold), "links")
-    steps.drop("pairs", "paired")
+    links = keep(verified(pairs, sets, threshold), "links")
+    steps.drop("pairs")
     blocks = keep(compare_blocks(full.filter("whole").drop("sketch"), sets, threshold), "blocks")
     steps.drop("sets", "placed", "known")
     copies = classes.select("key", "copies")
