@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boreal.functions.geo import haversine_km
+from boreal.functions.geo import haversine_km, in_ring
 from boreal.operators import text
 
 # Classes of the national topographic register, fixed values: code, class, width.
@@ -161,16 +161,26 @@ def observations(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def warnings(spark: SparkSession, path: str, region_words: list[str]) -> DataFrame:
-    """Entries of a landed warning feed that name the region, with their kind."""
-    e = spark.read.option("rowTag", "entry").schema("title string, updated string, summary string, polygon string").format("xml").load(path)
+def warnings(spark: SparkSession, path: str, region_words: list[str], lat: float | None = None, lon: float | None = None) -> DataFrame:
+    """Entries of a landed warning feed that concern the region, with their kind: where a place is given, by whether an entry's areas cover it; entries without areas, and all without a place, by the region's names."""
+    e = spark.read.option("rowTag", "entry").schema("title string, updated string, summary string, polygon array<string>").format("xml").load(path)
     body = F.lower(F.concat_ws(" ", "title", "summary"))
     near = F.lit(False)
     for w in region_words:
         near = near | body.contains(w.lower())
+    if lat is not None and lon is not None:
+        rings = F.filter(F.transform(F.coalesce("polygon", F.array().cast("array<string>")), lat_lon_ring), lambda r: F.size(r) > 0)
+        near = F.when(F.size(rings) > 0, F.exists(rings, lambda r: in_ring(F.lit(lat), F.lit(lon), r))).otherwise(near)
     return e.filter(near).select(F.substring("title", 1, 80).alias("title"), "updated", text.warning_kind(F.concat_ws(" ", "title", "summary")).alias("kind"), F.substring("summary", 1, 300).alias("summary"))
 
 
+def lat_lon_ring(area: Column) -> Column:
+    """The corners (x: latitude, y: longitude) of an area written as "lat,lon lat,lon ..."; none if it is null or empty."""
+    v = F.transform(F.filter(F.split(area, "[,\\s]+"), lambda c: c != ""), lambda c: c.try_cast("double"))
+    corners = F.transform(v, lambda a, i: F.struct(a.alias("x"), F.get(v, i + 1).alias("y"), (i % 2 == 0).alias("first")))
+    return F.coalesce(F.filter(corners, lambda c: c["first"] & c["x"].isNotNull() & c["y"].isNotNull()), F.array().cast("array<struct<x: double, y: double, first: boolean>>"))
+
+
 def scenes(spark: SparkSession, path: str, west: float, south: float, east: float, north: float, cloud: float = 25.0) -> DataFrame:
     """Satellite scenes under a cloud limit: those that cover the box first, then by cloud, then by date."""
     f = json_file(spark, path, "features array<struct<id: string, bbox: array<double>, properties: struct<datetime: string, `eo:cloud_cover`: double>>>").select(F.explode("features").alias("f"))

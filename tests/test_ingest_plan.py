@@ -55,6 +55,11 @@ def test_xml_scenes_photos_fleet(spark, tmp_path):
     assert [(r.param, r.value, r.lat, r.lon) for r in o] == [("gust", 11.8, 62.5, 27.5)]
     w = ingest.warnings(spark, put(tmp_path / "w.xml", "<feed><entry><title>Yellow wind warning: North</title><updated>u</updated><summary>s</summary></entry><entry><title>Sea wind</title><updated>u</updated><summary>x</summary></entry></feed>"), ["north"]).collect()
     assert [r.kind for r in w] == ["wind"]
+    entry = "<entry><title>{t}</title><updated>u</updated><summary>s</summary>{p}</entry>"
+    square, far, empty = "<polygon>62,27 62,28 63,28 63,27 62,27</polygon>", "<polygon>10,10 10,11 11,11</polygon>", "<polygon></polygon>"
+    feed = put(tmp_path / "areas.xml", "<feed>" + "".join(entry.format(t=t, p=p) for t, p in (("inside", square), ("north, far", far), ("either", far + square), ("north, empty", empty), ("north", ""), ("south", ""))) + "</feed>")
+    assert sorted(r.title for r in ingest.warnings(spark, feed, ["north"], 62.5, 27.5).collect()) == ["either", "inside", "north", "north, empty"]
+    assert sorted(r.title for r in ingest.warnings(spark, feed, ["north"]).collect()) == ["north", "north, empty", "north, far"]
     s = ingest.scenes(spark, put(tmp_path / "s.json", {"features": [{"id": "a", "bbox": [0, 0, 1, 1], "properties": {"datetime": "2026", "eo:cloud_cover": 1.0}}, {"id": "b", "bbox": [0, 0, 9, 9], "properties": {"datetime": "2026", "eo:cloud_cover": 9.0}}, {"id": "c", "bbox": [0, 0, 9, 9], "properties": {"datetime": "2026", "eo:cloud_cover": 90.0}}]}), 1, 1, 5, 5).collect()
     assert [r.id for r in s] == ["b", "a"]
     p = ingest.photos(spark, put(tmp_path / "p.json", {"query": {"pages": {"0": {"title": "File:A b.jpg", "coordinates": [{"lat": 1.0, "lon": 2.0}], "imageinfo": [{"thumburl": "t", "descriptionurl": "d", "extmetadata": {"Artist": {"value": "<b>Me</b>"}}}]}}}})).first()
