@@ -96,3 +96,13 @@ def test_sketch_estimates_similarity():
     a, b = shingle_set(w, 5), shingle_set(w[:2700], 5)
     x, y = (np.frombuffer(ngram_join.sketch(s), np.uint8) for s in (a, b))
     assert abs(((x == y) & (x > 0)).sum() / ((x | y) > 0).sum() - len(b) / len(a)) < 0.12
+
+
+def test_verified_pairs_of_buckets(spark):
+    """Pairs of two buckets by their shingles; a class without a set, as one without an id, is in no pair."""
+    x, y = np.arange(1, 41, dtype=np.uint64) << np.uint64(16), np.arange(3, 43, dtype=np.uint64) << np.uint64(16)
+    z = np.arange(30, 70, dtype=np.uint64) << np.uint64(16)
+    sets = spark.createDataFrame([(k, bytearray(ngram_join.pack(s))) for k, s in ((1, x), (2, y), (3, z))], "key long, set binary")
+    pairs = spark.createDataFrame([(7, 1, 2), (7, 1, 3), (7, 2, 3), (8, 1, 2), (8, 1, 9), (9, 4, 9)], "path long, a long, b long")
+    assert [tuple(r) for r in ngram_join.verified(pairs, sets, 0.8).collect()] == [(1, 2), (1, 2)]
+    assert ngram_join.verified(pairs.limit(0), sets, 0.8).count() == 0
