@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,16 @@ def batches(it, rows: int = 256):
             yield batch.slice(k, rows)
 
 
+def by_size(it, column: str, rows: int = 256, size: int = 4_000_000):
+    """Slices of at most `rows` rows and `size` bytes of a text column, one longer text beside them at most."""
+    for batch in batches(it, rows):
+        block = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 class Stages:
     """The written steps of one query, each under a name, so that a step's files can go once nothing reads them."""
 

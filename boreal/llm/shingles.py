@@ -6,23 +6,11 @@ import numpy as np
 import xxhash
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-CACHE = 400_000
 
 
-class WordHashes(dict):
-    """Word in UTF-8 -> its 64-bit hash; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], np.uint64)
-
-
-hashes = WordHashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The 64-bit hash of each word; hashing anew is cheaper than a lookup where rare words are many."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,7 +36,7 @@ def shingle_set(words: list[bytes], n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of words; a text of fewer words has one shingle, a text without words none."""
     if not words:
         return np.empty(0, np.uint64)
-    h = hashes.of(words)
+    h = word_hashes(words)
     if len(h) < n:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=1)], np.uint64)
     return np.unique(ngrams(h, n))

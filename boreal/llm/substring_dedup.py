@@ -25,32 +25,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boreal.llm.automaton import SuffixAutomaton
-from boreal.llm.common import batches, new_folder, release, remove, table, words
-from boreal.llm.shingles import hashes, ngrams
+from boreal.llm.common import batches, by_size, new_folder, release, remove, table, words
+from boreal.llm.shingles import ngrams, word_hashes
 
 WINDOW, K = 13, 6
 #: Different segments that one minimizer may have in an automaton.
 HOT = 1_000
 
 
-def segments(ws: list[bytes], window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first window and number of windows of each segment."""
-    if len(ws) < window:
-        return (np.empty(0, np.int64),) * 3
-    g = ngrams(hashes.of(ws), k).view(np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(g, window - k + 1).min(1)
-    at = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    return least[at], at, np.diff(np.r_[at, len(least)])
+def segments(texts: list[list[bytes]], window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, minimizer, first window and number of windows of each segment of texts given as words; all texts are hashed in one array, and windows across two of them left out."""
+    length = np.array([len(t) for t in texts], np.int64)
+    g = ngrams(word_hashes([w for t in texts for w in t]), k).view(np.int64)
+    width, span = 1, window - k + 1
+    while width < span:  # least of each `width` k-grams, up to `span` of them
+        step = min(width, span - width)
+        g, width = np.minimum(g[:-step], g[step:]), width + step
+    offset = np.cumsum(length) - length
+    many = np.maximum(length - window + 1, 0)
+    text = np.repeat(np.arange(len(texts)), many)
+    start = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    least = g[np.repeat(offset, many) + start] if len(text) else np.empty(0, np.int64)
+    at = np.flatnonzero((start == 0) | (least != np.roll(least, 1)))
+    return text[at], least[at], start[at], np.diff(np.r_[at, len(text)])
 
 
 def minimizers(docs: DataFrame) -> DataFrame:
     """(h, th): each text's minimizers; docs: th (hash of the text), text."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it):
-            found = [np.unique(segments(words(t))[0]) for t in batch.column("text").to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else np.empty(0, np.int64)), batch.column("th").take(at)], ["h", "th"])
+        for batch in by_size(it, "text"):
+            text, h, _, _ = segments([words(t) for t in batch.column("text").to_pylist()])
+            order = np.lexsort((h, text))
+            text, h = text[order], h[order]
+            new = np.flatnonzero((text != np.roll(text, 1)) | (h != np.roll(h, 1)) | (np.arange(len(h)) == 0))  # each once a text
+            yield pa.RecordBatch.from_arrays([pa.array(h[new]), batch.column("th").take(pa.array(text[new]))], ["h", "th"])
 
     return docs.mapInArrow(run, "h long, th long")
 
@@ -64,16 +73,15 @@ def extract(docs: DataFrame) -> DataFrame:
     schema = docs.select("doc_id", "tk").schema.add("h", "long").add("ch", "long").add("start", "integer").add("n", "integer").add("content", "binary")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(it):
+        for batch in by_size(it, "text"):
             at, rows = [], []
-            for k, (t, shared) in enumerate(zip(batch.column("text").to_pylist(), batch.column("shared"), strict=True)):
-                ws = words(t)
-                h, start, n = segments(ws)
-                for i in np.flatnonzero(np.isin(h, shared.values.to_numpy())).tolist():
-                    a, c = int(start[i]), int(n[i])
-                    content = b" ".join(ws[a : a + c + WINDOW - 1])
+            texts = [words(t) for t in batch.column("text").to_pylist()]
+            shared = [set(s) for s in batch.column("shared").to_pylist()]
+            for k, h, a, c in zip(*(x.tolist() for x in segments(texts)), strict=True):
+                if h in shared[k]:
+                    content = b" ".join(texts[k][a : a + c + WINDOW - 1])
                     at.append(k)
-                    rows.append((int(h[i]), content_hash(content), a, c, content))
+                    rows.append((h, content_hash(content), a, c, content))
             columns = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             at = pa.array(at, pa.int64())
