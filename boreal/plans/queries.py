@@ -571,31 +571,31 @@ def tree_fire_hazard(spark, sf):
     return fire.tree_hazard(t, 0.6).select("tree_id", r6("cbh").alias("cbh"), r6("p_torch").alias("p_torch"), r6("fire_hazard").alias("fire_hazard"))
 
 
-GRAPH = """WITH RECURSIVE c AS (SELECT y, x, y*12+x AS id, 1+(x*7+y*3)%5 AS v FROM (SELECT unnest(range(0,12)) AS y) a CROSS JOIN (SELECT unnest(range(0,12)) AS x) b),
- e AS (SELECT a.id AS s, b.id AS d, 0.5*sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))*100*(1/a.v::DOUBLE+1/b.v::DOUBLE)*0.06 AS w FROM c a JOIN c b ON abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 AND a.id<>b.id),
- r(k, id, dist) AS (SELECT 0, 0, 0e0 UNION ALL (SELECT k+1, d, min(dist+w) FROM r JOIN e ON r.id=e.s WHERE k<60 GROUP BY k+1, d))"""
+GRAPH = """WITH RECURSIVE c AS MATERIALIZED (SELECT iy AS y, ix AS x, iy*64+ix AS id, 1+n%5 AS v FROM v_cells),
+ e AS MATERIALIZED (SELECT a.id AS s, b.id AS d, 0.5*sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2))*100*(1/a.v::DOUBLE+1/b.v::DOUBLE)*0.06 AS w FROM c a JOIN c b ON abs(a.x-b.x)<=1 AND abs(a.y-b.y)<=1 AND a.id<>b.id),
+ r(k, id, dist) AS (SELECT 0, 0, 0e0 UNION ALL (SELECT k+1, d, min(dist+w) FROM r JOIN e ON r.id=e.s WHERE k<160 GROUP BY k+1, d))"""
 
 
-def speed_grid(spark: SparkSession) -> DataFrame:
-    return grid.full_grid(spark, 12, 12).withColumns({"v": (1 + (F.col("ix") * 7 + F.col("iy") * 3) % 5).cast("double"), "blocked": F.lit(False)})
+def speed_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return source(spark, sf, "v_cells").select("iy", "ix", (1 + F.col("n") % 5).cast("double").alias("v"), F.lit(False).alias("blocked"))
 
 
 @query(GRAPH + " SELECT CAST(id AS BIGINT) AS node, round(min(dist),6) AS dist FROM r GROUP BY id")
 def travel_times(spark, sf):
-    """Min-plus relaxation over the whole grid."""
+    """Min-plus relaxation over all cells."""
     seeds = spark.range(1).select(F.col("id").alias("node"), F.lit(0.0).alias("dist"))
-    return graph.relax(grid_edges(spark), seeds).select("node", r6("dist").alias("dist"))
+    return graph.relax(grid_edges(spark, sf), seeds).select("node", r6("dist").alias("dist"))
 
 
-def grid_edges(spark: SparkSession) -> DataFrame:
-    return graph.grid_edges(speed_grid(spark), 12, 100.0)
+def grid_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.grid_edges(speed_grid(spark, sf), 64, 100.0)
 
 
 @query(GRAPH + " SELECT CAST(id AS BIGINT) AS node, round(min(dist),6) AS dist, 'a' AS site FROM r GROUP BY id")
 def travel_times_per_site(spark, sf):
     """The same by a priority queue, one site a task."""
     seeds = spark.range(1).select(F.lit("a").alias("site"), F.col("id").alias("node"), F.lit(0.0).alias("dist"))
-    return graph.shortest_paths(grid_edges(spark).withColumn("site", F.lit("a")), seeds, "site").select("node", r6("dist").alias("dist"), "site")
+    return graph.shortest_paths(grid_edges(spark, sf).withColumn("site", F.lit("a")), seeds, "site").select("node", r6("dist").alias("dist"), "site")
 
 
 @query("""WITH v(vehicle, main, forest, off, bog_v, slope_m, w) AS (VALUES ('fire_engine',60,30,0,0,0,3.0),('ambulance',70,30,0,0,0,2.8),('pickup_4x4',70,40,0,0,0,2.6),('atv',40,30,12,0,20,1.5),('forwarder',20,20,5,2,27,3.0),('foot',5,5,3.5,2,45,0.8)),
@@ -671,36 +671,36 @@ def inventory(spark, sf):
 
 
 # ---- sites
-SPREAD = """WITH RECURSIVE c AS (SELECT y, x, y*10+x AS id, 1+(x*7+y*3)%5 AS ros, (x+2*y)::DOUBLE AS z FROM (SELECT unnest(range(0,10)) AS y) a CROSS JOIN (SELECT unnest(range(0,10)) AS x) b),
+SPREAD = """WITH RECURSIVE c AS MATERIALIZED (SELECT iy AS y, ix AS x, iy*64+ix AS id, 1+n%5 AS ros, (ix+2*iy)::DOUBLE AS z FROM v_cells),
  k AS (SELECT sqrt(1-1/(lb*lb)) AS ecc FROM (SELECT 1+8.729*pow(1-exp(-0.03*20),2.155) AS lb) q),
- e AS (SELECT a.id AS s, b.id AS d, 0.5*len*(1/a.ros::DOUBLE+1/b.ros::DOUBLE)/((1-ecc)/(1-ecc*cos(atan2(b.y-a.y,b.x-a.x)-radians(0)))*CASE WHEN b.z>a.z THEN exp(3.533*pow(least(1,(b.z-a.z)/len),1.2)) ELSE exp(-0.5*abs((b.z-a.z)/len)) END) AS w
+ e AS MATERIALIZED (SELECT a.id AS s, b.id AS d, 0.5*len*(1/a.ros::DOUBLE+1/b.ros::DOUBLE)/((1-ecc)/(1-ecc*cos(atan2(b.y-a.y,b.x-a.x)-radians(0)))*CASE WHEN b.z>a.z THEN exp(3.533*pow(least(1,(b.z-a.z)/len),1.2)) ELSE exp(-0.5*abs((b.z-a.z)/len)) END) AS w
    FROM (SELECT a.id AS ai, b.id AS bi, 20*sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)) AS len FROM c a JOIN c b ON a.id<>b.id AND abs(a.x-b.x)<=2 AND abs(a.y-b.y)<=2 AND (greatest(abs(a.x-b.x),abs(a.y-b.y))=1 OR abs(a.x-b.x)+abs(a.y-b.y)=3)) p JOIN c a ON a.id=ai JOIN c b ON b.id=bi CROSS JOIN k),
- r(k, id, dist) AS (SELECT 0, 33, 0e0 UNION ALL (SELECT k+1, d, min(dist+w) FROM r JOIN e ON r.id=e.s WHERE k<40 AND dist+w<=240 GROUP BY k+1, d)), m AS (SELECT id, min(dist) AS arrival FROM r GROUP BY id)"""
+ r(k, id, dist) AS (SELECT 0, 195, 0e0 UNION ALL (SELECT k+1, d, min(dist+w) FROM r JOIN e ON r.id=e.s WHERE k<160 AND dist+w<=240 GROUP BY k+1, d)), m AS (SELECT id, min(dist) AS arrival FROM r GROUP BY id)"""
 
 
-def spreading(spark: SparkSession) -> DataFrame:
-    c = grid.full_grid(spark, 10, 10).withColumns({"ros": (1 + (F.col("ix") * 7 + F.col("iy") * 3) % 5).cast("double"), "z": (F.col("ix") + 2 * F.col("iy")).cast("double")})
-    return site.fire_arrival(c, 10, 20.0, 20.0, 270.0, [(3, 3)])
+def spreading(spark: SparkSession, sf: str) -> DataFrame:
+    c = source(spark, sf, "v_cells").select("iy", "ix", (1 + F.col("n") % 5).cast("double").alias("ros"), (F.col("ix") + 2 * F.col("iy")).cast("double").alias("z"))
+    return site.fire_arrival(c, 64, 20.0, 20.0, 270.0, [(3, 3)])
 
 
-@query(SPREAD + " SELECT CAST(id//10 AS BIGINT) AS iy, CAST(id%10 AS BIGINT) AS ix, round(arrival,6) AS arrival, CAST(floor(arrival/30)*30 AS BIGINT) AS band FROM m")
+@query(SPREAD + " SELECT CAST(id//64 AS BIGINT) AS iy, CAST(id%64 AS BIGINT) AS ix, round(arrival,6) AS arrival, CAST(floor(arrival/30)*30 AS BIGINT) AS band FROM m")
 def fire_spread(spark, sf):
     """Wind-driven spread over sixteen neighbours, and its isochrones."""
-    a = spreading(spark)
+    a = spreading(spark, sf)
     return a.select(big("iy").alias("iy"), big("ix").alias("ix"), r6("arrival").alias("arrival"), big(fire.isochrone(F.col("arrival"))).alias("band"))
 
 
-@query(SPREAD + ", b AS (SELECT building_id AS asset_id, x/2 AS x, y/2 AS y, 30e0 AS r FROM v_buildings) SELECT asset_id, round(min(arrival),6) AS minutes FROM b LEFT JOIN (SELECT id%10 AS ix, id//10 AS iy, arrival FROM m) m ON pow((ix+0.5)*20-b.x,2)+pow((iy+0.5)*20-b.y,2)<=900 GROUP BY asset_id")
+@query(SPREAD + ", b AS (SELECT building_id AS asset_id, x/2 AS x, y/2 AS y, 30e0 AS r FROM v_buildings) SELECT asset_id, round(min(arrival),6) AS minutes FROM b LEFT JOIN (SELECT id%64 AS ix, id//64 AS iy, arrival FROM m) m ON pow((ix+0.5)*20-b.x,2)+pow((iy+0.5)*20-b.y,2)<=900 GROUP BY asset_id")
 def fire_impacts(spark, sf):
     """H11, A26, O03."""
     b = source(spark, sf, "v_buildings").select(F.col("building_id").alias("asset_id"), (F.col("x") / 2).alias("x"), (F.col("y") / 2).alias("y"), F.lit(30.0).alias("r"))
-    return site.fire_impacts(spreading(spark), b, 20.0).select("asset_id", r6("minutes").alias("minutes"))
+    return site.fire_impacts(spreading(spark, sf), b, 20.0).select("asset_id", r6("minutes").alias("minutes"))
 
 
 @query(SPREAD + " SELECT h::DOUBLE AS hours, round(count(*)*0.04e0,6) AS ha FROM m JOIN (SELECT unnest([0.5,1,2,4]) AS h) t ON ceil(arrival)<=h*60 GROUP BY h")
 def burned_area(spark, sf):
     """H11."""
-    return site.burned_area(spreading(spark), 20.0).select("hours", r6("ha").alias("ha"))
+    return site.burned_area(spreading(spark, sf), 20.0).select("hours", r6("ha").alias("ha"))
 
 
 @query(f"""WITH t AS (SELECT *, {DBH} AS dbh FROM v_trees), f AS (SELECT *, h/greatest(dbh/100,0.02) AS hd, (tree_id%8)/16e0 AS wp, (tree_id%4)/16e0 AS wb FROM t), p AS (SELECT *, {FAIL.format(g=25, soil="0.6*0.9")} AS p FROM f)
