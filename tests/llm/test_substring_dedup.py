@@ -70,3 +70,14 @@ def test_automaton():
         query = rng.integers(0, 3, 20).tolist()
         want = [next((d for d, s in enumerate(seqs) if any(s[j : j + 4] == query[i : i + 4] for j in range(len(s) - 3))), None) for i in range(17)]
         assert a.windows(query, 4) == want
+
+
+def test_segments_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(5)
+    texts = [[b"w%d" % k for k in rng.integers(0, 9, n)] for n in (0, 3, 12, 13, 14, 200, 1, 13, 0, 77)]
+    together = list(zip(*(x.tolist() for x in sd.segments(texts)), strict=True))
+    alone = [(k, *row[1:]) for k, t in enumerate(texts) for row in zip(*(x.tolist() for x in sd.segments([t])), strict=True)]
+    assert together == alone
+    for k, t in enumerate(texts):
+        assert sum(n for j, _, _, n in together if j == k) == max(0, len(t) - sd.WINDOW + 1)
+    assert all(len(x) == 0 for x in sd.segments([]))
