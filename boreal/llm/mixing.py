@@ -10,7 +10,8 @@ consecutive slots and documents summed within (source, hash bucket) cells of bou
 totals are summed across.
 
 Blocks grow with the corpus. Sources whose target is under `FEW` blocks have a schedule among themselves with a finer block, down to
-64 words, so that how near a source comes to its target does not depend on the size of the corpus.
+one word, so that how near a source comes to its target does not depend on the size of the corpus. Each level holds the largest source left and all of over half its size, so that there are
+few levels, and some two hundred slots a source at most beyond the first four million.
 
 A null text has size 0 and takes nothing; a null source is a source, last in the order. Repeated rows
 and repeated or null ids are laid out one after the other (equal rows are interchangeable). A very long text lies in many blocks and may be taken in part. A table without rows gives none; other columns are ignored.
@@ -34,10 +35,10 @@ GOLDEN = 2654435769
 CHUNK = 65_536
 #: Documents in one cell of the layout, about.
 CELL_ROWS = 1_000
-#: Cells that the line of cumulative targets is cut into, to find a slot's source by an equi-join.
+#: Cells that the line of cumulative targets is cut into, a source at least, to find a slot's source by an equi-join.
 LINE_CELLS = 4096
 MAX_BROADCAST_SOURCES = 100_000
-#: Blocks that a source has at least in its schedule, unless blocks are at their least.
+#: Blocks that a source has at least in its schedule, unless a block is a word.
 FEW = 100
 WORD_SPLIT = r"[^\x20\x09-\x0D]+"
 
@@ -76,13 +77,14 @@ def slots(spark: SparkSession, shares: DataFrame, n_sources: int, total: int, bl
     bounds = shares.select("ordinal", F.round("target").cast("long").alias("part"))
     upto = F.sum("part").over(Window.orderBy("ordinal"))
     bounds = bounds.select("ordinal", (upto - F.col("part")).alias("lo"), upto.alias("hi"), F.sum("part").over(Window.partitionBy()).alias("line")).filter("hi > lo")
-    cell = lambda c: F.floor(c * F.lit(float(LINE_CELLS)) / F.col("line"))
-    bounds = bounds.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi") - 1), F.lit(LINE_CELLS - 1)))))
+    cells = max(LINE_CELLS, n_sources)
+    cell = lambda c: F.floor(c * F.lit(float(cells)) / F.col("line"))
+    bounds = bounds.withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi") - 1), F.lit(cells - 1)))))
     phase = (F.pmod(F.col("id"), F.lit(1 << 31)) * GOLDEN % F.lit(1 << 32)) / F.lit(4294967296.0)
     n = -(-total // block)
     line = bounds.select(F.max("line").alias("all"))
     points = spark.range(0, n, 1, max(1, min(2000, n // 200_000))).crossJoin(F.broadcast(line))  # one row: the length of the line
-    points = points.select("id", F.floor(phase * F.col("all")).alias("at"), F.col("all")).select("id", "at", F.floor(F.col("at") * F.lit(float(LINE_CELLS)) / F.col("all")).alias("cell"))
+    points = points.select("id", F.floor(phase * F.col("all")).alias("at"), F.col("all")).select("id", "at", F.floor(F.col("at") * F.lit(float(cells)) / F.col("all")).alias("cell"))
     bounds = F.broadcast(bounds) if n_sources <= MAX_BROADCAST_SOURCES else bounds
     given = points.join(bounds, "cell").filter("at >= lo AND at < hi").select("id", "ordinal", F.floor(F.col("id") / CHUNK).alias("chunk"))
     counts = given.groupBy("ordinal", "chunk").agg(F.count(F.lit(1)).alias("n"))
@@ -98,7 +100,7 @@ def layout(sizes: DataFrame, shares: DataFrame) -> DataFrame:
     docs = docs.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * cells / F.lit(4294967296.0)))
     sums = docs.groupBy("ordinal", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select(F.col("ordinal").alias("o"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy("ordinal").orderBy("bucket")) - F.col("n")).alias("before"))
-    local = F.sum("size").over(Window.partitionBy("ordinal", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    local = F.sum("size").over(Window.partitionBy("ordinal", "bucket").orderBy("key", "doc_id", "size", *(["digest"] if "digest" in docs.columns else [])).rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     docs = docs.withColumn("local", local)
     return docs.join(sums, (F.col("ordinal") == F.col("o")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("before") + F.col("local")).drop("o", "b", "before", "local", "bucket", "docs")
 
@@ -116,16 +118,20 @@ def pieces(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def levels(shares: DataFrame) -> list[tuple[float, float, int, int]]:
-    """The schedules: least target, target that is too large for it, words in all, words a block. Sources of under FEW blocks go on to the next, finer one."""
+    """The schedules: least target, target that is too large for it, words in all, words a block. Sources of under FEW blocks go on to the next one, whose block is so fine that it holds the largest of them, down to one word."""
     out, upto = [], float("inf")
     while True:
-        total = round(shares.filter(F.col("target") < upto).agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
-        block = block_words(total)
-        least = 0.0 if block == 64 else float(FEW * block)
+        total, top = shares.filter(F.col("target") < upto).agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.coalesce(F.max("target"), F.lit(0.0))).first()
+        if round(total) == 0:
+            return out
+        block = block_words(round(total))
+        if top < FEW * block:  # no source is that large: the power of two that FEW of make up the largest
+            block = 1 << (max(1, int(top // FEW)).bit_length() - 1)
+        least = 0.0 if block == 1 else float(FEW * block)
         held = round(shares.filter((F.col("target") >= least) & (F.col("target") < upto)).agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
         if held:
             out.append((least, upto, held, block))
-        if not least or held == total:
+        if not least:
             return out
         upto = least
 
@@ -150,7 +156,8 @@ def mix(docs: DataFrame, block: int | None = None, extra: tuple[str, ...] = ())
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents (doc_id, text, lang, source, n_chars) that the mix consists of: a row for each pass that takes words of a document, with the whole text or, where the schedule ends within it, the words taken."""
-    placed, parts = mix(docs, extra=("text", "lang"))
+    digest = F.md5(F.to_json(F.struct("text", "lang")).cast("binary"))  # rows of one id and size keep one order
+    placed, parts = mix(docs.withColumn("digest", digest), extra=("text", "lang", "digest"))
     taken = parts.groupBy(F.col("ordinal").alias("o"), F.col("start").alias("p"), "pass").agg(F.min("first").alias("a"), F.max("end").alias("b"))  # a pass takes blocks that follow each other
     rows = placed.filter("size > 0").join(taken, (F.col("ordinal") == F.col("o")) & (F.col("start") == F.col("p")))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD_SPLIT), F.lit(0)), F.col("a").cast("int") + 1, (F.col("b") - F.col("a")).cast("int")), " ")
@@ -166,7 +173,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
          md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key FROM documents
 ), s0 AS (
@@ -183,19 +190,27 @@ WITH d AS (
   SELECT *, first_value(level) OVER (ORDER BY CASE WHEN level <= cap / w THEN 0 ELSE 1 END, cap / w, ordinal) AS fill FROM s3
 ), s AS (
   SELECT *, CASE WHEN fill * w < cap THEN fill * w ELSE CAST(cap AS DOUBLE) END AS target FROM s4
+), lv(upto, least, block, step) AS (
+  SELECT CAST('inf' AS DOUBLE), CAST('inf' AS DOUBLE), CAST(0 AS BIGINT), 0
+  UNION ALL
+  SELECT upto, CASE WHEN block = 1 THEN 0.0 ELSE 100.0 * block END, block, step + 1 FROM (
+    SELECT upto, step, CASE WHEN top >= 100 * b0 THEN b0 WHEN top < 200 THEN 1 ELSE CAST(pow(2, floor(log2(floor(top / 100)))) AS BIGINT) END AS block FROM (
+      SELECT lv.least AS upto, step, max(target) AS top, greatest(64, least(65536, CAST(round(sum(target)) AS BIGINT) >> 22)) AS b0
+      FROM lv JOIN s ON s.target < lv.least GROUP BY lv.least, step HAVING round(sum(target)) > 0))
 ), b0 AS (
-  SELECT *, CAST(round(target) AS BIGINT) AS part, greatest(64, least(65536, total >> 22)) AS block FROM s
+  SELECT s.*, CAST(round(target) AS BIGINT) AS part, lv.step, lv.block FROM s JOIN lv ON lv.step > 0 AND target >= lv.least AND target < lv.upto
 ), b AS (
-  SELECT *, CAST(sum(part) OVER (ORDER BY ordinal) AS BIGINT) AS hi, CAST(sum(part) OVER () AS BIGINT) AS line FROM b0
+  SELECT *, CAST(sum(part) OVER (PARTITION BY step ORDER BY ordinal) AS BIGINT) AS hi, CAST(sum(part) OVER (PARTITION BY step) AS BIGINT) AS line,
+         CAST(round(sum(target) OVER (PARTITION BY step)) AS BIGINT) AS words FROM b0
 ), n AS (
   SELECT ordinal, count(*) AS slots FROM (
-    SELECT CAST(floor((((t % 2147483648) * 2654435769 % 4294967296) / 4294967296e0) * line) AS BIGINT) AS pos
-    FROM (SELECT unnest(range(CAST(ceil(total / block) AS BIGINT))) AS t, line FROM (SELECT DISTINCT total, block, line FROM b))) AS p
-  JOIN b ON pos >= hi - part AND pos < hi GROUP BY ordinal
+    SELECT step, CAST(floor((((t % 2147483648) * 2654435769 % 4294967296) / 4294967296e0) * line) AS BIGINT) AS pos
+    FROM (SELECT step, line, unnest(range(CAST(ceil(words / block) AS BIGINT))) AS t FROM (SELECT DISTINCT step, words, block, line FROM b))) AS p
+  JOIN b ON p.step = b.step AND pos >= hi - part AND pos < hi GROUP BY ordinal
 ), p AS (
-  SELECT d.doc_id, d.size, b.source_size, b.target, coalesce(n.slots, 0) * b.block AS take,
-         CAST(sum(d.size) OVER (PARTITION BY b.ordinal ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start
-  FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN n ON n.ordinal = b.ordinal
+  SELECT d.doc_id, d.size, s.source_size, s.target, coalesce(n.slots, 0) * coalesce(b.block, 0) AS take,
+         CAST(sum(d.size) OVER (PARTITION BY s.ordinal ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - d.size AS start
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN b ON b.ordinal = s.ordinal LEFT JOIN n ON n.ordinal = b.ordinal
 )
 SELECT doc_id, size, source_size, target,
        CAST(greatest(0, least(size, take - start)) + greatest(0, least(size, take - start - source_size))

@@ -27,6 +27,31 @@ def test_whole_table_equals_sql(spark, name):
     assert rows(df.columns, map(tuple, df.collect())) == rows(rel.columns, rel.fetchall())
 
 
+def test_mix_levels_equal_sql(spark):
+    """The smallest table has sources of under a hundred blocks: several levels."""
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.001/documents.parquet')")
+    df, rel = mixing.op5_mix(spark, "/root/testdata/sf0.001"), con.sql(mixing.OP5_SQL)
+    got = rows(df.columns, map(tuple, df.collect()))
+    assert got == rows(rel.columns, rel.fetchall())
+    shares = spark.createDataFrame([(float(t),) for t in (9_000, 6_399, 6_000, 300, 70, 5)], "target double")
+    assert [(least, upto, block) for least, upto, _, block in mixing.levels(shares)] == [(6_400.0, float("inf"), 64), (3_200.0, 6_400.0, 32), (200.0, 3_200.0, 2), (0.0, 200.0, 1)]
+    assert mixing.levels(shares.limit(0)) == []
+
+
+def test_mix_of_many_small_sources(spark, monkeypatch):
+    """Every level holds a source, however many small ones there are and however long blocks of the whole corpus would be."""
+    monkeypatch.setattr(mixing, "block_words", lambda total: max(64, min(65_536, total >> 8)))
+    shares = spark.range(80_000).select((F.lit(4_000.0) * F.element_at(F.array(F.lit(1.9), F.lit(0.75), F.lit(0.37)), (F.col("id") % 3 + 1).cast("int"))).alias("target"))
+    found = mixing.levels(shares)
+    assert sum(h for _, _, h, _ in found) == round(shares.agg(F.sum("target")).first()[0]) and all(b >= a > 0 for (_, _, _, b), (_, _, _, a) in zip(found, found[1:]))
+    docs = [(k, "large", "w " * 1_000) for k in range(200)] + [(1_000 + 10 * k + j, f"s{k:03}", "w " * (2 + k % 40)) for k in range(300) for j in range(2)]
+    placed, parts = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"))
+    per = placed.groupBy("source").agg(F.first("target").alias("target"), F.first("ordinal").alias("o"))
+    got = per.join(parts.groupBy("ordinal").agg(F.sum(F.col("end") - F.col("first")).alias("n")), F.col("o") == F.col("ordinal"), "left").na.fill(0).collect()
+    assert len(got) == 301 and all(r.n > 0 and abs(r.n - r.target) <= max(0.03 * r.target, 5) for r in got), [r for r in got if abs(r.n - r.target) > max(0.03 * r.target, 5)]
+
+
 def test_url_edges(spark):
     urls = [None, "", "no scheme/x", "http://ORG/a", "http://org", "http://a.org?x=/y", "https://x.Example.org/es/1#f", "http://example.org/en/12", "http://notexample.org/en/12", "ftp://u@Example.ORG:80/en/1", "x://com/fr/", "x://b.com/de/z", "x://b.com/de/z", "://a.com/fr/y", "http://é.com/fr/", "h://" + "a." * 3000 + "com/de/" + "b" * 5000, "h://example.org./es/"]
     df = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, host string")
