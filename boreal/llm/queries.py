@@ -2,6 +2,7 @@
 
 from boreal.llm.ann import op1_nearest
 from boreal.llm.bpe import op9_bpe
+from boreal.llm.decontaminate import OP13_SQL, op13_decontaminate
 from boreal.llm.langid import op8_language_id
 from boreal.llm.mixing import OP5_SQL, op5_mix
 from boreal.llm.ngram_join import op2_ngram_join
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
+    "op13_decontaminate": op13_decontaminate,
 }
-ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL, "op6_quality_rules": OP6_SQL}
+ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL, "op6_quality_rules": OP6_SQL, "op13_decontaminate": OP13_SQL}
