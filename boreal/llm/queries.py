@@ -2,6 +2,7 @@
 
 from boreal.llm.ann import op1_nearest
 from boreal.llm.bpe import op9_bpe
+from boreal.llm.conversation_trie import OP11_SQL, op11_conversation_trie
 from boreal.llm.decontaminate import OP13_SQL, op13_decontaminate
 from boreal.llm.langid import op8_language_id
 from boreal.llm.merkle import OP12_SQL, op12_merkle_manifest
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_token_files": op10_token_files,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_decontaminate": op13_decontaminate,
 }
-ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL, "op6_quality_rules": OP6_SQL, "op12_merkle_manifest": OP12_SQL, "op13_decontaminate": OP13_SQL}
+ORACLE_SQL = {"op3_url_filter": OP3_SQL, "op5_mix": OP5_SQL, "op6_quality_rules": OP6_SQL, "op11_conversation_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_decontaminate": OP13_SQL}
