@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from boreal.llm.common import new_folder, remove
 
-MAX_ROUNDS = 60
-
 
 def _written(df: DataFrame, folder: str) -> DataFrame:
     df.write.parquet(folder)
@@ -20,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     both = _written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), kept := new_folder(spark, "cc-edges"))
     labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), last := new_folder(spark, "cc"))
-    for _ in range(MAX_ROUNDS):
+    while True:  # some log2 of the longest way rounds
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         nearer = labels.join(around, "node", "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
@@ -32,4 +30,3 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             remove(spark, kept)
             return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
