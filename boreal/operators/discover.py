@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boreal.operators import grid
 from boreal.operators.graph import dijkstra
-from boreal.operators.kernels import EIGHT, distance, label, per_tile, shifted, thinned
+from boreal.operators.kernels import EIGHT, label, shifted
 from boreal.operators.spatial import unmapped
 
 
@@ -77,27 +77,30 @@ def pruned(skeleton: np.ndarray, least: int) -> np.ndarray:
     return skeleton & ~spur[pieces]
 
 
-def find_tracks(cells: DataFrame, res: float, known: DataFrame, tile: int = 400, least_m: float = 50.0) -> DataFrame:
-    """Unmapped tracks in forest from cells (iy, ix, chm, forest, rough, slope, ground_share): open strips of 1 to 6.5 m half width, thinned, as long paths: (track, seq, x, y, straight, confidence). Vertices nearer than 9 m to a known road vertex (x, y) are dropped before a track is judged."""
-    c = cells.withColumn("open", (F.col("chm") < 1.5) & (F.col("forest") > 0.35) & (F.col("rough") < 0.25) & (F.col("slope") < 15) & (F.col("ground_share") > 0.3)).select("iy", "ix", "open")
-
-    def paths(a: dict, y0: int, x0: int) -> pd.DataFrame:
-        half = distance(~a["open"]) * res
-        core = thinned(a["open"]) & (half >= 1) & (half <= 6.5)
-        parts, n = label(pruned(core, 3), EIGHT)
-        rows = []
-        for k in range(1, n + 1):
-            p = longest_path(parts == k)
-            if len(p) * res >= least_m and a["core"][p[len(p) // 2]]:
-                rows += [(f"{y0}/{x0}/{k}", i, (x + x0 + 0.5) * res, (y + y0 + 0.5) * res) for i, (y, x) in enumerate(p)]
-        return pd.DataFrame(rows, columns=["track", "seq", "x", "y"])
-
-    found = per_tile(grid.halo(c, tile, math.ceil(60 / res)), "track string, seq int, x double, y double", paths)
-    found = unmapped(found.withColumn("v", F.concat_ws(":", "track", "seq")), "v", known, 9.0).drop("v")
-    ends = found.groupBy("track").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("x", "y"), "seq").alias("a"), F.max_by(F.struct("x", "y"), "seq").alias("b"))
-    chord = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
-    ends = ends.withColumn("straight", F.least(F.lit(1.0), chord / (F.col("n") * res))).filter((F.col("n") * res >= least_m) & (F.col("straight") >= 0.55))
-    return found.join(ends.select("track", "straight", (0.5 + 0.5 * F.least(F.col("straight") / 0.8, F.lit(1.0))).alias("confidence")), "track")
+def find_tracks(cells: DataFrame, res: float, known: DataFrame, tile: int = 400, least_m: float = 50.0, power: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Unmapped tracks in forest from cells (by, iy, ix, chm, forest, rough, slope, ground_share): open strips of 1 to 6.5 m half width, thinned, each part's longest path, whole across tiles: (by, track, seq, x, y, width, side, straight, confidence). Vertices nearer than 9 m to a known road vertex (x, y) divide a path, as do those
+    within 12 m of a power line's vertices (power: x, y); each stretch between is judged on its own, by its length, its straightness and the forest on both sides."""
+    from boreal.operators import network
+
+    keys = [*by, "iy", "ix"]
+    c = cells.withColumn("open", (F.col("chm") < 1.5) & (F.col("forest") > 0.35) & (F.col("rough") < 0.25) & (F.col("slope") < 15) & (F.col("ground_share") > 0.3))
+    thin = network.skeleton(c, "open", res, tile, by=by).filter(F.col("half").between(1.0, 6.5))
+    path = network.longest_lines(network.without_spurs(thin, 3, by), by).join(thin, keys)
+    path = path.select(*by, "line", "seq", "iy", "ix", "half", ((F.col("ix") + 0.5) * res).alias("x"), ((F.col("iy") + 0.5) * res).alias("y"))
+    v = path.withColumn("v", F.struct("line", "seq"))
+    left = unmapped(v, "v", known, 9.0)
+    left = (unmapped(left, "v", power, 12.0) if power is not None else left).drop("v")
+    w = Window.partitionBy(*by, "line").orderBy("seq")
+    left = left.withColumn("part", F.sum(F.when(F.col("seq") - F.lag("seq").over(w) > 1, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    left = left.withColumn("track", F.concat_ws("/", *[F.col(f"line.{k}").cast("string") for k in keys], F.col("part").cast("string"))).drop("line", "part")
+    key = [*by, "track"]
+    width = left.groupBy(*key).agg((F.median("half") * 2).alias("width"))
+    soft = network.smooth_line(left.select(*key, "seq", "x", "y"), key, 9)
+    length = network.straightness(left, key).select(*key, F.col("run").alias("length"))
+    judged = width.join(length, key).join(network.straightness(soft, key).select(*key, "straight"), key).join(network.side_contrast(soft, key, width, cells, res, by), key)
+    judged = judged.filter((F.col("length") >= least_m) & (F.col("straight") >= 0.55) & (F.col("side") >= 0.55))
+    judged = judged.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 * F.col("side") + 0.5 * F.least(F.col("straight") / 0.8, F.lit(1.0)))))
+    return soft.join(judged, key)
 
 
 def wire_candidates(points: DataFrame, res: float = 2.0) -> DataFrame:

@@ -152,7 +152,7 @@ def local_maxima(cells: DataFrame, value: str = "chm", least: float = 3.0, by: t
 
 
 def halo(cells: DataFrame, tile: int, width: int) -> DataFrame:
-    """Cells dealt to tiles of tile x tile with `width` more on each side: tile_y, tile_x, core (whether the cell is the tile's own)."""
+    """Cells dealt to tiles of tile x tile (per site, where they have one) with `width` more on each side: tile_y, tile_x, core (whether the cell is the tile's own)."""
     span = lambda c: F.sequence(F.floor((F.col(c) - width) / tile), F.floor((F.col(c) + width) / tile))
     rows = cells.withColumn("tile_y", F.explode(span("iy"))).withColumn("tile_x", F.explode(span("ix")))
     return rows.withColumn("core", (F.floor(F.col("iy") / tile) == F.col("tile_y")) & (F.floor(F.col("ix") / tile) == F.col("tile_x")))
@@ -172,52 +172,63 @@ def canopy_height(cells: DataFrame) -> DataFrame:
     return cells.withColumn("chm", F.greatest(F.lit(0.0), F.least(F.lit(45.0), F.col("dsm") - F.col("dtm"))).cast("double")).withColumn("chm", F.when(F.col("dsm").isNull() | F.col("dtm").isNull(), None).otherwise(F.col("chm")))
 
 
-def nearest_fill(cells: DataFrame, value: str, reach: int = 8) -> DataFrame:
-    """Missing values from the nearest cell that has one, within `reach` cells; of equally near ones the first in row order."""
-    donors = cells.filter(F.col(value).isNotNull()).select(F.col("iy").alias("qy"), F.col("ix").alias("qx"), F.col(value).alias("v"))
-    arms = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dy * dy + dx * dx).alias("d")) for dy, dx in disc(reach)])
-    holes = cells.filter(F.col(value).isNull()).select("iy", "ix", F.explode(arms).alias("o")).select("iy", "ix", (F.col("iy") + F.col("o.dy")).alias("qy"), (F.col("ix") + F.col("o.dx")).alias("qx"), F.col("o.d").alias("d"))
-    near = holes.join(donors, ["qy", "qx"]).groupBy("iy", "ix").agg(F.min_by("v", F.struct("d", "qy", "qx")).alias("fill"))
-    return cells.join(near, ["iy", "ix"], "left").withColumn(value, F.coalesce(value, "fill")).drop("fill")
-
-
-def distance_to(cells: DataFrame, mask: str, res: float, beyond: float = 1000.0) -> DataFrame:
-    """Exact distance to the nearest cell of the mask; `beyond` only if the mask is empty. Each row's columns go to the nearest mask cell of the row; then the cells of a column, one column a task, are read off the lower envelope of the rows' parabolas."""
+def nearest_cells(cells: DataFrame, mask: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each cell's nearest cell of the mask, at any distance: (by, iy, ix, qy, qx, d2: squared distance in cells); of equally near ones the first in row order. No row where the mask is empty. Each row's columns go to the nearest mask cell of the row; then the cells of a column, one column a task, are read off the lower envelope of the rows' parabolas."""
     import numpy as np
     import pandas as pd
 
+    names = [*by, "iy", "ix", "qy", "qx", "d2"]
+
     def envelope(c: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(c) or not len(m):
-            return pd.DataFrame({"iy": [], "ix": [], "d2": []})
+            return pd.DataFrame({k: [] for k in names})
         m = m.sort_values("iy")
         best, begin = [], []  # the rows on the envelope, and the first cell of which each is the nearest
-        for y, g in zip(m["iy"].tolist(), m["g"].tolist(), strict=True):
+        for y, x, g in zip(m["iy"].tolist(), m["at"].tolist(), m["g"].tolist(), strict=True):
             at = None
             while best:
-                v, h = best[-1]
+                v, _, h = best[-1]
                 at = (y * y - v * v + g - h) // (2 * (y - v)) + 1
                 if at > begin[-1]:
                     break
                 best.pop()
                 begin.pop()
                 at = None
-            best.append((y, g))
+            best.append((y, x, g))
             begin.append(-math.inf if at is None else at)
         q = c["iy"].to_numpy(np.int64)
-        y, g = np.array(best, np.int64)[np.searchsorted(np.array(begin), q, side="right") - 1].T
-        return pd.DataFrame({"iy": q, "ix": c["ix"], "d2": (q - y) ** 2 + g})
+        y, x, g = np.array(best, np.int64)[np.searchsorted(np.array(begin), q, side="right") - 1].T
+        return pd.DataFrame({**{k: c[k] for k in by}, "iy": q, "ix": c["ix"], "qy": y, "qx": x, "d2": (q - y) ** 2 + g}, index=c.index)
 
     kind = dict(cells.dtypes)
-    w = Window.partitionBy("iy").orderBy("ix")
-    ends = cells.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
+    w = Window.partitionBy(*by, "iy").orderBy("ix")
+    ends = cells.groupBy(*by).agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"))
     lo = F.coalesce(F.floor((F.lag("ix").over(w) + F.col("ix")) / 2) + 1, F.col("x0").cast("long"))
     hi = F.coalesce(F.floor((F.col("ix") + F.lead("ix").over(w)) / 2), F.col("x1").cast("long"))
-    rows = cells.filter(F.col(mask)).select("iy", "ix").distinct().crossJoin(F.broadcast(ends)).select("iy", F.col("ix").alias("at"), F.sequence(lo, hi).alias("c"))  # one row
-    rows = rows.select("iy", "at", F.explode("c").alias("ix")).select(F.col("iy").cast("long").alias("iy"), "ix", ((F.col("ix") - F.col("at")) * (F.col("ix") - F.col("at"))).cast("long").alias("g"))
-    keyed = cells.select("iy", F.col("ix").cast("long").alias("ix")).distinct()
-    near = keyed.groupBy("ix").cogroup(rows.groupBy("ix")).applyInPandas(envelope, "iy long, ix long, d2 long")
-    near = near.select(F.col("iy").cast(kind["iy"]).alias("iy"), F.col("ix").cast(kind["ix"]).alias("ix"), "d2")
-    return cells.join(near, ["iy", "ix"], "left").select(*cells.columns, F.coalesce(F.sqrt(F.col("d2").cast("double")) * res, F.lit(beyond)).alias("distance"))
+    rows = cells.filter(F.col(mask)).select(*by, "iy", "ix").distinct()
+    rows = rows.join(ends, list(by)) if by else rows.crossJoin(F.broadcast(ends))  # one row
+    rows = rows.select(*by, "iy", F.col("ix").cast("long").alias("at"), F.sequence(lo, hi).alias("c"))
+    rows = rows.select(*by, F.col("iy").cast("long").alias("iy"), "at", F.explode("c").alias("ix")).withColumn("g", (F.col("ix") - F.col("at")) * (F.col("ix") - F.col("at")))
+    keyed = cells.select(*[F.col(c).alias(c) for c in by], "iy", F.col("ix").cast("long").alias("ix")).distinct()
+    schema = ", ".join([*(f"{k} {kind[k]}" for k in by), "iy long", "ix long", "qy long", "qx long", "d2 long"])
+    near = keyed.groupBy(*by, "ix").cogroup(rows.groupBy(*by, "ix")).applyInPandas(envelope, schema)
+    return near.withColumns({"iy": F.col("iy").cast(kind["iy"]), "ix": F.col("ix").cast(kind["ix"])})
+
+
+def nearest_fill(cells: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Missing values from the nearest cell that has one, however far; of equally near ones the first in row order. Only where no cell has one are they left null."""
+    keys = [*by, "iy", "ix"]
+    near = nearest_cells(cells.select(*keys, F.col(value).isNotNull().alias("has")), "has", by).drop("d2")
+    donors = cells.filter(F.col(value).isNotNull()).select(*by, F.col("iy").alias("qy"), F.col("ix").alias("qx"), F.col(value).alias("fill"))
+    holes = cells.filter(F.col(value).isNull()).select(*keys).join(near, keys).join(donors, [*by, "qy", "qx"]).select(*keys, "fill")
+    return cells.join(holes, keys, "left").withColumn(value, F.coalesce(value, "fill")).drop("fill")
+
+
+def distance_to(cells: DataFrame, mask: str, res: float, beyond: float = 1000.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """cells with the exact distance to the nearest cell of the mask; `beyond` only if the mask is empty."""
+    keys = [*by, "iy", "ix"]
+    near = nearest_cells(cells, mask, by).select(*keys, "d2")
+    return cells.join(near, keys, "left").select(*cells.columns, F.coalesce(F.sqrt(F.col("d2").cast("double")) * res, F.lit(beyond)).alias("distance"))
 
 
 def canopy_change(pre: DataFrame, post: DataFrame, pixel_m: float) -> DataFrame:

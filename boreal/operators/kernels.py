@@ -17,9 +17,11 @@ FOUR = ((0, 1), (1, 0), (0, -1), (-1, 0))
 EIGHT = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0))
 
 
-def per_tile(cells: DataFrame, schema: str, f: Callable[[dict[str, np.ndarray], int, int], pd.DataFrame]) -> DataFrame:
-    """f(arrays, y0, x0) on each tile's dense arrays (NaN where there is no cell; `core` as booleans) with the cell of their corner."""
-    values = [c for c in cells.columns if c not in ("tile_y", "tile_x", "iy", "ix")]
+def per_tile(cells: DataFrame, schema: str, f: Callable[[dict[str, np.ndarray], int, int], pd.DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """f(arrays, y0, x0) on each tile's dense arrays (NaN where there is no cell; `core` as booleans) with the cell of their corner. by: columns of the site, which the result gets before those of the schema."""
+    values = [c for c in cells.columns if c not in ("tile_y", "tile_x", "iy", "ix", *by)]
+    kind = dict(cells.dtypes)
+    schema = ", ".join([*(f"{k} {kind[k]}" for k in by), schema])
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = int(p["iy"].min()), int(p["ix"].min())
@@ -30,9 +32,12 @@ def per_tile(cells: DataFrame, schema: str, f: Callable[[dict[str, np.ndarray],
             a = np.zeros(shape, bool) if c == "core" or p[c].dtype == bool else np.full(shape, np.nan)
             a[at] = p[c].to_numpy()
             arrays[c] = a
-        return f(arrays, y0, x0)
+        out = f(arrays, y0, x0)
+        for k, c in enumerate(by):
+            out.insert(k, c, p[c].iat[0])
+        return out
 
-    return cells.groupBy("tile_y", "tile_x").applyInPandas(run, schema)
+    return cells.groupBy(*by, "tile_y", "tile_x").applyInPandas(run, schema)
 
 
 def shifted(a: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:

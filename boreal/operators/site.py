@@ -144,8 +144,11 @@ def from_scans(spark: SparkSession, path: str, res: float = 0.5, max_points: int
     p = p.select((F.col("x") - lo.x0).alias("x"), (F.col("y") - lo.y0).alias("y"), "z", F.col("classification").alias("cls"))
     n = lambda a, b: max(1, math.ceil((b - a) / res))
     c = grid.surfaces(p, res, n(lo.x0, lo.x1), n(lo.y0, lo.y1))
-    dtm = grid.gaussian(grid.nearest_fill(c.select("iy", "ix", "dtm"), "dtm").filter("dtm IS NOT NULL"), "dtm", 0.7)
-    return grid.fill_pits(grid.canopy_height(c.drop("dtm").join(dtm, ["iy", "ix"])).filter("chm IS NOT NULL"))
+    nx, ny = n(lo.x0, lo.x1), n(lo.y0, lo.y1)
+    c = grid.full_grid(spark, nx, ny).join(c, ["iy", "ix"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "water_share": F.coalesce("water_share", F.lit(0.0))})
+    dtm = grid.gaussian(grid.nearest_fill(c.select("iy", "ix", "dtm"), "dtm"), "dtm", 0.7)
+    surface = grid.nearest_fill(grid.canopy_height(c.drop("dtm").join(dtm, ["iy", "ix"])), "chm")  # cells without a return take their neighbour's height
+    return grid.fill_pits(surface)
 
 
 def pixels_of(tiles: DataFrame, size: int = 256) -> DataFrame:

@@ -825,3 +825,6 @@ def user_costs(spark, sf):
     """A user's value for a known key wins, unknown keys are ignored."""
     user = source(spark, sf, "nation").filter("n_nationkey < 2").select(F.when(F.col("n_nationkey") == 0, "house_value").otherwise("nothing").alias("key"), F.lit(12345.0).alias("value"))
     return costs.merged(costs.defaults(spark), user).filter(F.col("key").isin("house_value", "felling_cost_per_tree")).select("key", "value", "basis")
+
+
+from boreal.plans import land  # noqa: E402, F401  registers its queries
