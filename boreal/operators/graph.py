@@ -51,36 +51,44 @@ def grid_edges(cells: DataFrame, nx: int, res: float, clearing: float | None = 0
     return e.select(*by, (F.col("ay") * nx + F.col("ax")).cast("long").alias("src"), (F.col("iy") * nx + F.col("ix")).cast("long").alias("dst"), w.alias("w"))
 
 
-def relax(edges: DataFrame, seeds: DataFrame, limit: float | None = None, before: bool = False) -> DataFrame:
-    """(node, dist) of the nodes that seeds (node, dist) reach, by rounds of min-plus relaxation from the nodes that improved last, until no node improves. Rounds grow with the hops of the longest path; weights are not negative. before: with the node that each shortest path comes from (null for seeds; of equally short ones the least), for paths_to()."""
+def relax(edges: DataFrame, seeds: DataFrame, limit: float | None = None, before: bool = False, per: tuple[str, ...] = ()) -> DataFrame:
+    """(per, node, dist) of the nodes that seeds (per, node, dist) reach, by rounds of min-plus relaxation from the nodes that improved last, until no node improves. Rounds grow with the hops of the longest path; weights are not negative. per: columns of the seeds that keep searches apart, all over the same edges.
+
+    before: with the node that each shortest path comes from, null where it begins, for paths_to(); of equally short ones the least. No ring of edges may then weigh nothing."""
     rounds = Rounds(edges.sparkSession, "relax")
+    keys = [*per, "node"]
     edges = rounds.keep(edges.select("src", "dst", "w"), "edges")
-    start = seeds.groupBy("node").agg(F.min("dist").alias("dist")).withColumn("before", F.lit(None).cast(dict(edges.dtypes)["src"]))
-    dist = rounds.keep(start.withColumn("fresh", F.lit(True)), "dist")
+    start = seeds.groupBy(*keys).agg(F.min("dist").alias("dist"))
+    dist = rounds.keep(start.withColumns({"seed": F.lit(True), "fresh": F.lit(True)}), "dist")
     while not dist.filter("fresh").isEmpty():
-        sent = dist.filter("fresh").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("before"), F.lit(True).alias("fresh"))
+        sent = dist.filter("fresh").join(edges, F.col("node") == F.col("src")).select(*per, F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(False).alias("seed"), F.lit(True).alias("fresh"))
         sent = sent.filter(F.col("dist") <= limit) if limit is not None else sent
-        # an old distance sorts before an equal new one: a seed keeps its null, and no cycle of equal distances arises
-        best = dist.withColumn("fresh", F.lit(False)).unionByName(sent).groupBy("node").agg(F.min(F.struct("dist", "fresh", "before")).alias("m"))
-        dist = rounds.keep(best.select("node", "m.dist", "m.before", "m.fresh"), "dist")
-    rounds.drop("edges")
-    return dist.select("node", "dist", *(["before"] if before else []))
-
-
-def paths_to(paths: DataFrame, ends: DataFrame) -> DataFrame:
-    """(end, seq, node): the path from a seed to each end (node), read back over predecessors by pointer doubling: log2 of the longest path rounds, whatever their number. paths: relax() with `before`."""
+        best = dist.withColumn("fresh", F.lit(False)).union(sent).groupBy(*keys).agg(F.min(F.struct("dist", "fresh", "seed")).alias("m"))  # an old distance sorts before an equal new one
+        dist = rounds.keep(best.select(*keys, "m.dist", "m.seed", "m.fresh"), "dist")
+    if not before:
+        rounds.drop("edges")
+        return dist.select(*keys, "dist")
+    reach = dist.select(*keys, "dist", "seed")
+    came = reach.select(*per, F.col("node").alias("src"), F.col("dist").alias("d")).join(edges, "src").select(*per, F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("dist"), "src")
+    came = came.join(reach.filter("NOT seed"), [*keys, "dist"]).groupBy(*keys).agg(F.min("src").alias("before"))
+    return rounds.keep(reach.join(came, keys, "left").select(*keys, "dist", "before"), "paths")
+
+
+def paths_to(paths: DataFrame, ends: DataFrame, per: tuple[str, ...] = ()) -> DataFrame:
+    """(per, end, seq, node): the path from its beginning to each end (per, node), read back over predecessors by pointer doubling: log2 of the longest path rounds, whatever the number of ends. paths: relax() with `before`."""
     rounds = Rounds(paths.sparkSession, "paths")
-    jump = rounds.keep(paths.filter("before IS NOT NULL").select("node", F.col("before").alias("to")), "jump0")
+    jump = rounds.keep(paths.filter("before IS NOT NULL").select(*per, "node", F.col("before").alias("to")), "jump0")
     jumps = [jump]
-    while not jump.isEmpty():  # jumps[k] goes back 2**k steps, from the nodes that are as far from their seed
-        jump = rounds.keep(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")), f"jump{len(jumps)}")
+    while not jump.isEmpty():  # jumps[k] goes back 2**k steps, from the nodes that are as far from their path's beginning
+        on = jump.select(*[F.col(c).alias(c) for c in per], F.col("node").alias("to"), F.col("to").alias("far"))
+        jump = rounds.keep(jump.join(on, [*per, "to"]).select(*per, "node", F.col("far").alias("to")), f"jump{len(jumps)}")
         jumps.append(jump)
-    found = ends.select("node").distinct().join(paths.select("node"), "node", "left_semi").select(F.col("node").alias("end"), "node", F.lit(0).cast("long").alias("back"))
+    found = ends.select(*per, "node").distinct().join(paths.select(*per, "node"), [*per, "node"], "left_semi").select(*per, F.col("node").alias("end"), "node", F.lit(0).cast("long").alias("back"))
     for k in range(len(jumps) - 2, -1, -1):  # each node found so far also stands for the one 2**k before it
-        far = found.join(jumps[k], "node").select("end", F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        far = found.join(jumps[k], [*per, "node"]).select(*per, "end", F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         found = rounds.keep(found.union(far), f"found{k}")
-    longest = Window.partitionBy("end")
-    return found.select("end", (F.max("back").over(longest) - F.col("back")).alias("seq"), "node")
+    longest = Window.partitionBy(*per, "end")
+    return found.select(*per, "end", (F.max("back").over(longest) - F.col("back")).alias("seq"), "node")
 
 
 def dijkstra(src: np.ndarray, dst: np.ndarray, w: np.ndarray, seeds: dict[int, float], limit: float = math.inf) -> tuple[dict[int, float], dict[int, int]]:

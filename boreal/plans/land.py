@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreal.operators import graph, grid, network
+from boreal.operators import graph, grid, network, routes
 from boreal.plans.queries import big, query, r6
 from boreal.sources.fixtures import source
 
@@ -92,3 +92,47 @@ def road_links(spark, sf):
     taken = network.chosen_links(found, SITE).select("site", "chain", "end_seq", F.lit(True).alias("chosen"))
     out = found.join(taken, ["site", "chain", "end_seq"], "left")
     return out.select(big("site").alias("site"), "chain", big("end_seq").alias("end_seq"), "to_chain", big("to_seq").alias("to_seq"), *[r6(x).alias(x) for x in ("d", "open_share", "firm_share", "steepest")], F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+# ---- driving and walking over the sites: one number for a cell of a site
+TRAVEL_SQL = """WITH RECURSIVE c AS MATERIALIZED (SELECT site, site*10000+iy*100+ix AS id, iy, ix, chm < 1.5 AS road, CASE WHEN chm < 1.5 THEN 30e0 ELSE 0e0 END AS vd, CASE WHEN chm < 2 THEN 5e0 WHEN chm < 15 THEN 4e0 ELSE 2.5e0 END AS vf, chm < 1.5 AND n % 7 = 0 AS blocked FROM v_land),
+ p AS MATERIALIZED (SELECT a.site, a.id AS s, b.id AS d, CASE WHEN a.iy=b.iy OR a.ix=b.ix THEN 5e0 ELSE sqrt(2e0)*5e0 END AS len, a.vd AS ad, b.vd AS bd, a.vf AS af, b.vf AS bf, b.blocked AND NOT a.blocked AS entering FROM c a JOIN c b ON a.site=b.site AND abs(a.iy-b.iy)<=1 AND abs(a.ix-b.ix)<=1 AND a.id<>b.id),
+ drive AS (SELECT s, d, 0.5*len*(1/ad+1/bd)*0.06+CASE WHEN entering THEN 15e0 ELSE 0e0 END AS w FROM p WHERE ad>0 AND bd>0), foot AS (SELECT s, d, 0.5*len*(1/af+1/bf)*0.06+0e0 AS w FROM p),
+ e AS MATERIALIZED (SELECT 0 AS l, s, 0 AS m, d, w FROM foot UNION ALL SELECT 1, s, 1, d, w FROM drive UNION ALL SELECT 2, s, 2, d, w FROM foot UNION ALL SELECT 0, id, 1, id, {change} FROM c WHERE road UNION ALL SELECT 1, id, 2, id, {change} FROM c WHERE road),"""
+
+
+def travel_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cells, edges of a vehicle that keeps to roads, edges of walkers, and the road cells. A fallen tree is cleared in a quarter of an hour."""
+    c = source(spark, sf, "v_land").select("site", "iy", "ix", (F.col("site") * 10000 + F.col("iy") * 100 + F.col("ix")).cast("long").alias("cell"), (F.col("chm") < 1.5).alias("road"), "chm", ((F.col("chm") < 1.5) & (F.col("n") % 7 == 0)).alias("blocked"))
+    by_cell = lambda e: e.select((F.col("site") * 10000 + F.floor(F.col("src") / 100) * 100 + F.col("src") % 100).cast("long").alias("src"), (F.col("site") * 10000 + F.floor(F.col("dst") / 100) * 100 + F.col("dst") % 100).cast("long").alias("dst"), "w")
+    drive = graph.grid_edges(c.withColumn("v", F.when(F.col("road"), 30.0).otherwise(0.0)), 100, RES, 15.0, SITE)
+    foot = graph.grid_edges(c.withColumns({"v": F.when(F.col("chm") < 2, 5.0).when(F.col("chm") < 15, 4.0).otherwise(2.5), "blocked": F.lit(False)}), 100, RES, 0.0, SITE)
+    return c, by_cell(drive), by_cell(foot), c.filter("road").select("cell")
+
+
+@query(TRAVEL_SQL.format(change="1e-6") + """ r(k, site, l, id, dist) AS (SELECT 0, site, 1, id, 0e0 FROM (SELECT site, min(id) AS id FROM c WHERE road GROUP BY site) q
+  UNION ALL (SELECT k+1, site, m, d, min(dist+w) FROM r JOIN e ON e.l=r.l AND e.s=r.id WHERE k<110 GROUP BY k+1, site, m, d))
+ SELECT site::BIGINT AS site, id::BIGINT AS cell, round(min(dist),6) AS minutes FROM r WHERE l=2 GROUP BY site, id""")
+def response_minutes(spark, sf):
+    """Driven from each site's entry point, walked from any road cell."""
+    c, drive, foot, stops = travel_layers(spark, sf)
+    depots = c.filter("road").groupBy("site").agg(F.min("cell").alias("cell")).withColumn("minutes", F.lit(0.0))
+    out = routes.response(drive, foot, stops, depots, site="site")
+    return out.select(big("site").alias("site"), "cell", r6("minutes").alias("minutes"))
+
+
+@query(TRAVEL_SQL.format(change="2e0") + """ q AS MATERIALIZED (SELECT site AS route, min(id) FILTER (chm>15 AND iy>24) AS a, max(id) FILTER (chm>15 AND iy<6) AS b FROM (SELECT c.*, chm FROM c JOIN v_land v ON v.site=c.site AND v.iy=c.iy AND v.ix=c.ix) x GROUP BY site),
+ r(k, route, l, id, dist) AS (SELECT 0, route, 0, a, 0e0 FROM q UNION ALL (SELECT k+1, route, m, d, min(dist+w) FROM r JOIN e ON e.l=r.l AND e.s=r.id WHERE k<130 GROUP BY k+1, route, m, d)),
+ best AS MATERIALIZED (SELECT route, l, id, min(dist) AS dist FROM r GROUP BY 1,2,3),
+ way(route, l, id, dist) AS (SELECT best.route, l, id, dist FROM best JOIN q ON q.route=best.route AND l=2 AND id=b
+  UNION ALL SELECT route, l, id, dist FROM (SELECT way.route, o.l, o.id, o.dist, row_number() OVER (PARTITION BY way.route ORDER BY o.l, o.id) AS k FROM way JOIN e ON e.m=way.l AND e.d=way.id JOIN best o ON o.route=way.route AND o.l=e.l AND o.id=e.s AND o.dist+e.w=way.dist WHERE way.dist>0) z WHERE k=1),
+ v AS (SELECT way.*, road, blocked, dist-coalesce(lag(dist) OVER o,0) AS took, lag(blocked) OVER o AS was, lag(l) OVER o AS was_l FROM way JOIN c ON c.id=way.id WINDOW o AS (PARTITION BY route ORDER BY dist, l))
+ SELECT route::BIGINT AS route, round(max(dist),6) AS minutes, round(sum(CASE WHEN l=1 AND coalesce(was_l,1)=1 THEN took ELSE 0 END),6) AS drive_minutes, count(*) FILTER (l=1) AS drive_cells, count(*) FILTER (l<>1) AS walk_cells,
+  round(avg(road::INT) FILTER (l=1),6) AS road_share, count(*) FILTER (l=1 AND was_l=1 AND blocked AND NOT was) AS clearings FROM v GROUP BY route""")
+def walk_drive_walk(spark, sf):
+    """One way a site from forest to forest, with two minutes to change; predecessors and pointer doubling."""
+    c, drive, foot, stops = travel_layers(spark, sf)
+    tall = F.col("chm") > 15
+    asked = c.groupBy(F.col("site").alias("route")).agg(F.min(F.when(tall & (F.col("iy") > 24), F.col("cell"))).alias("start"), F.max(F.when(tall & (F.col("iy") < 6), F.col("cell"))).alias("end")).withColumns({"start_on_road": F.lit(False), "end_on_road": F.lit(False)})
+    out, _ = routes.routes(drive, foot, stops, asked, c, 2.0)
+    return out.select(big("route").alias("route"), r6("minutes").alias("minutes"), r6("drive_minutes").alias("drive_minutes"), "drive_cells", "walk_cells", r6("road_share").alias("road_share"), "clearings")
