@@ -4,7 +4,7 @@ H is the lowercase hex SHA-256 of its inputs, concatenated. A row's leaf is H of
 while a source has several nodes, every three consecutive ones (the last run: fewer) become their H. The last one is the source's subroot, and the subroots, in the order of their sources, become the root in the same way.
 
 Vertices are RDD records keyed by (tree, place in its level), worked on in supersteps. Upward, every child sends its digest to its parent; a parent that has as many children as its level says hashes them and is a child of the next superstep. One that does not is an error.
-Downward, every vertex that knows its path sends each child the path with that child's siblings on top; a leaf with its path folds itself, or what has become of it since, up to a root. Each superstep is written to the shared folder, so that a lost
+A subroot is passed on until the highest tree is done. Downward, every vertex that knows its path sends each child the path with that child's siblings on top; a leaf with its path folds itself, or what has become of it since, up to a root. Each superstep is written to the shared folder, so that a lost
 executor costs a part of one superstep. A message goes to one of as many parents as there are nodes in a level, three to a parent at most, so no key is hot however large a source is; places come from ranges, not from a window over a source.
 
 Rows are ordered by source (null first, by bytes), id (null first) and leaf; repeated rows have a leaf each, and any of them takes any of their places. Null columns, empty and very long texts are hashed as they are. A table without rows has no root and gives none. Other columns are ignored.
@@ -64,57 +64,63 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 class Supersteps:
-    """Written supersteps; vertices are (tree, at, n, digest, load), families (tree, at, n, digest, children), children (digest, load) each."""
+    """Written supersteps. A vertex is (tree, at, n, digest, load, children): its place among the n of its level, what a lowest vertex carries, and a (digest, load) for each of its children, None for a vertex that was only passed on."""
 
     def __init__(self, spark: SparkSession):
         self.sc, self.spark, self.most = spark.sparkContext, spark, tasks(spark.range(0))
 
-    def keep(self, rdd: RDD, tag: str) -> RDD:
+    def keep(self, rdd: RDD, tag: str, rows: int) -> RDD:
+        """Written, and read in as many tasks as its rows ask for."""
         folder = new_folder(self.spark, f"merkle-{tag}")
         rdd.saveAsPickleFile(folder)
-        return self.sc.pickleFile(folder)
+        return self.sc.pickleFile(folder).coalesce(self.width(rows))
 
     def width(self, rows: int) -> int:
         return max(1, min(self.most, -(-rows // TASK_ROWS)))
 
-    def climb(self, vertices: RDD, levels: int, rows: int, tag: str) -> tuple[list[RDD], RDD]:
-        """The families of each level from 1 on, and the vertices that are alone in their level. rows: of the lowest level, for the number of tasks."""
+    def climb(self, vertices: RDD, levels: int, rows: int, trees: int, tag: str) -> tuple[list[RDD], RDD]:
+        """Vertices of each level from 1 on, and the last of them, one for each tree. A vertex that is alone in its level is passed on as it is. rows: of the lowest level, for the number of tasks."""
 
         def hashed(inbox):
             (tree, at), messages = inbox
-            children = sorted(messages)
+            children = sorted(messages, key=lambda c: c[0])
             n = children[0][1]
             if [c[0] for c in children] != list(range(min(FAN, n - FAN * at))):
                 raise ValueError(f"vertex {at} of tree {tree} lacks a child or has one twice")
-            return tree, at, -(-n // FAN), digest(c[2] for c in children), [c[2:] for c in children]
+            if n == 1:
+                return tree, at, n, *children[0][2:], None
+            return tree, at, -(-n // FAN), digest(c[2] for c in children), None, [c[2:] for c in children]
 
-        families, alone = [], [vertices.filter(lambda v: v[2] == 1)]
+        out = []
         for level in range(1, levels + 1):
-            sent = vertices.filter(lambda v: v[2] > 1).map(lambda v: ((v[0], v[1] // FAN), (v[1] % FAN, v[2], v[3], v[4])))
-            rows = -(-rows // FAN)
-            families.append(self.keep(sent.groupByKey(self.width(FAN * rows)).map(hashed), f"{tag}-up{level}"))
-            vertices = families[-1].map(lambda f: (*f[:4], None))
-            alone.append(vertices.filter(lambda v: v[2] == 1))
-        return families, self.sc.union(alone)
-
-    def descend(self, families: list[RDD], tops: RDD, rows: int, tag: str, leaf: Callable) -> RDD:
-        """What leaf(known, path, digest, load) makes of every lowest vertex. tops: ((tree, 0), (height, known, path)) of the single vertices whose path is known and that have families; path: (place, siblings) from the vertex up to the root, as one tuple of pairs."""
-        out, inbox = [], self.sc.emptyRDD()
-        for level in range(len(families), 0, -1):
-            due = tops.filter(lambda t, level=level: t[1][0] == level).mapValues(lambda t: t[1:])
-            held = families[level - 1].map(lambda f: ((f[0], f[1]), f[4]))
-            met = held.join(self.sc.union([inbox, due]), self.width(-(-rows // FAN**level) * 2))
+            sent = vertices.map(lambda v: ((v[0], v[1] // FAN), (v[1] % FAN, *v[2:5])))
+            met = sent.groupByKey(self.width(rows)).map(hashed)
+            rows = -(-rows // FAN) + trees
+            out.append(vertices := self.keep(met, f"{tag}-up{level}", rows))
+        return out, vertices
+
+    def descend(self, levels: list[RDD], tops: RDD, rows: int, trees: int, tag: str, leaf: Callable) -> RDD:
+        """What leaf(known, path, digest, load) makes of every lowest vertex of the trees of tops: ((tree, 0), (known, path)). path: (place, siblings) from a vertex up to the root. A message waits where its tree has no vertex as high as the level."""
+        out, inbox = [], tops
+        for level in range(len(levels), 0, -1):
+            held = levels[level - 1].filter(lambda v: v[5] is not None).map(lambda v: ((v[0], v[1]), v[5]))
 
             def sent(x):
-                (tree, at), (children, (known, path)) = x
-                names = [c[0] for c in children]
-                for k, (name, load) in enumerate(children):
-                    yield (tree, FAN * at + k), name, load, known, ((k, tuple(names[:k] + names[k + 1 :])), *path)
-
+                (tree, at), (children, messages) = x
+                for known, path in messages:
+                    if not children:
+                        yield (tree, at), None, None, known, path
+                    for family in children:
+                        names = [c[0] for c in family]
+                        for k, (name, load) in enumerate(family):
+                            yield (tree, FAN * at + k), name, load, known, ((k, tuple(names[:k] + names[k + 1 :])), *path)
+
+            below = -(-rows // FAN ** (level - 1)) + trees
+            met = held.cogroup(inbox, self.width(below)).mapValues(lambda v: tuple(map(list, v))).flatMap(sent)
             if level == 1:
-                out.append(met.flatMap(sent).map(lambda m: leaf(m[3], m[4], m[1], m[2])))
+                out.append(met.filter(lambda m: m[1] is not None).map(lambda m: leaf(m[3], m[4], m[1], m[2])))
             else:
-                inbox = self.keep(met.flatMap(sent).map(lambda m: (m[0], m[3:])), f"{tag}-down{level}")
+                inbox = self.keep(met.map(lambda m: (m[0], m[3:])), f"{tag}-down{level}", below)
         return self.sc.union(out) if out else self.sc.emptyRDD()
 
 
@@ -139,37 +145,23 @@ def manifest(docs: DataFrame, changed: Column | None = None) -> DataFrame:
     if not total:
         return spark.createDataFrame([], schema)
     steps = Supersteps(spark)
-    vertices = placed.rdd.map(lambda r: (r.tree, r.at, r.n, r.leaf, (r.doc_id, r.now)))
-    families, alone = steps.climb(vertices, height(most), total, "source")
-    # a source's subroot is a leaf of the tree over the sources, that keeps what the source's vertex had: the row of a source of one row
-    sizes = placed.filter("at = 0").rdd.map(lambda r: (r.tree, r.n))
-    subroots = alone.map(lambda v: (v[0], (v[3], v[4]))).join(sizes, steps.width(trees)).map(lambda x: (-1, x[0], trees, x[1][0][0], (height(x[1][1]), x[1][0][1])))
-    subroots = steps.keep(subroots, "subroots")
-    over, top = steps.climb(subroots, height(trees), trees, "top")
+    vertices = placed.rdd.map(lambda r: (r.tree, r.at, r.n, r.leaf, (r.doc_id, r.now), None))
+    levels, tops = steps.climb(vertices, height(most), total, trees, "source")
+    # a source's subroot is a leaf of the tree over the sources; it keeps what a source of one row carries
+    level0 = tops.map(lambda v: (-1, v[0], trees, v[3], (v[0], v[4]), None))
+    over, top = steps.climb(level0, height(trees), trees, 1, "top")
     root = top.map(lambda v: v[3]).first()
-    if trees == 1:
-        paths = subroots.map(lambda v: (v[1], v[4], v[3], ()))
-    else:
-        # the place in the tree over the sources is the source's ordinal, which the message's path holds; it is sent along
-        paths = steps.descend(over, steps.sc.parallelize([((-1, 0), (height(trees), None, ()))], 1), trees, "top", lambda known, path, name, load: (place(path), load, name, path))
-        paths = steps.keep(paths, "paths")
+    paths = steps.descend(over, steps.sc.parallelize([((-1, 0), (None, ()))], 1), trees, 1, "top", lambda known, path, name, load: (load, name, path)) if trees > 1 else level0.map(lambda v: (v[4], v[3], ()))
+    paths = steps.keep(paths, "paths", trees)
 
     def row(subroot, path, leaf, load):
         doc_id, now = load
         folded = fold(now or leaf, path)
         return doc_id, leaf, subroot, root, digest(s for _, siblings in path for s in siblings), [(k, list(siblings)) for k, siblings in path], folded, folded == root
 
-    tops = paths.filter(lambda p: p[1][0] > 0).map(lambda p: ((p[0], 0), (p[1][0], p[2], p[3])))
-    single = paths.filter(lambda p: p[1][0] == 0).map(lambda p: row(p[2], p[3], p[2], p[1][1]))
-    return spark.createDataFrame(steps.descend(families, tops, total, "source", row).union(single), schema)
-
-
-def place(path: tuple) -> int:
-    """The place in the lowest level that a path from it to the root of its tree begins at."""
-    at = 0
-    for k, _ in reversed(path):
-        at = FAN * at + k
-    return at
+    single = paths.filter(lambda p: p[0][1] is not None).map(lambda p: row(p[1], p[2], p[1], p[0][1]))
+    larger = paths.filter(lambda p: p[0][1] is None).map(lambda p: ((p[0][0], 0), (p[1], p[2])))
+    return spark.createDataFrame(steps.descend(levels, larger, total, trees, "source", row).union(single), schema)
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,9 +91,9 @@ def test_paths_verify_single_rows(spark):
 
 def test_missing_children_are_an_error(spark):
     steps = merkle.Supersteps(spark)
-    vertices = spark.sparkContext.parallelize([(0, k, 5, str(k), None) for k in (0, 1, 3, 4)], 2)
+    vertices = spark.sparkContext.parallelize([(0, k, 5, str(k), None, None) for k in (0, 1, 3, 4)], 2)
     with pytest.raises(Exception, match="lacks a child"):
-        steps.climb(vertices, 2, 5, "test")
+        steps.climb(vertices, 2, 5, 1, "test")
 
 
 def test_no_rows(spark):
