@@ -102,3 +102,45 @@ def ray_hits(trees: DataFrame, assets: DataFrame, bearings: int = 36, res: float
     )
     hits = rays.join(assets.withColumns({"ix": F.col("ix").cast("int"), "iy": F.col("iy").cast("int")}), ["iy", "ix"])
     return hits.groupBy("tree_id", "direction", "kind").agg(F.min(F.struct("step", "piece_id")).alias("m")).select("tree_id", "direction", "kind", "m.piece_id", "m.step")
+
+
+def first_apart(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(item, kept): what a walk through the items in their order keeps, if it drops every item that an earlier kept one rules out. items: item; pairs: early, late (early comes before late in the order, and rules it out if it is kept).
+
+    Decided in rounds for all items at once: an item is dropped as soon as an earlier one that rules it out is kept, and kept as soon as all of those are dropped. The result is that of the walk for any order; rounds grow with the longest chain of such pairs, a few for orders that are not spatial."""
+    from boreal.plans.rounds import Rounds
+
+    rounds = Rounds(items.sparkSession, "apart")
+    pairs = rounds.keep(pairs.select("early", "late").distinct(), "pairs")
+    state = rounds.keep(items.select("item", F.lit(None).cast("boolean").alias("kept")), "state")
+    while not state.filter("kept IS NULL").isEmpty():
+        early = pairs.join(state.select(F.col("item").alias("early"), "kept"), "early").groupBy(F.col("late").alias("item")).agg(F.coalesce(F.bool_or("kept"), F.lit(False)).alias("out"), F.bool_or(F.col("kept").isNull()).alias("open"))
+        now = state.withColumnRenamed("kept", "was").join(early, "item", "left")
+        kept = F.when(F.col("was").isNotNull(), F.col("was")).when(F.col("out"), False).when(F.coalesce("open", F.lit(False)), None).otherwise(True)
+        state = rounds.keep(now.select("item", kept.alias("kept")), "state")
+    return state
+
+
+def apart(points: DataFrame, key: str, order: list[Column], r: float) -> DataFrame:
+    """Points (key, x, y and what the order takes) without those that lie within r of one that comes earlier in the order and stays. The order names each point once."""
+    p = points.withColumn("place", F.struct(*order))
+    near = near_pairs(p.select(key, "x", "y", "place"), p.select(key, "x", "y", "place"), r).filter(F.col("r_place") < F.col("place"))
+    kept = first_apart(p.select(F.col(key).alias("item")), near.select(F.col(f"r_{key}").alias("early"), F.col(key).alias("late")))
+    return points.join(kept.filter("kept").select(F.col("item").alias(key)), key, "left_semi")
+
+
+def distinct_lines(lines: DataFrame, key: str, order: list[Column], near: float = 6.0, share: float = 0.6, samples: int = 10) -> DataFrame:
+    """Straight lines (key, ax, ay, bx, by_ and what the order takes) without those of which more than `share` of the sample points lie within `near` of an earlier line that stays: parallel phases of one conductor, pieces found twice."""
+    p = lines.withColumn("place", F.struct(*order)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    t = F.col("k") / (samples - 1)
+    p = p.select(key, "place", "k", (F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by_") - F.col("ay"))).alias("y"))
+    size = max(4 * near, 50.0)
+    span = lambda a, b: F.sequence(bucket(F.least(a, b) - near, size), bucket(F.greatest(a, b) + near, size))
+    q = lines.select(F.col(key).alias("early"), F.struct(*order).alias("first"), "ax", "ay", "bx", "by_", F.explode(span("ax", "bx")).alias("cx")).withColumn("cy", F.explode(span("ay", "by_")))
+    m = p.withColumns({"cx": bucket(F.col("x"), size), "cy": bucket(F.col("y"), size)}).join(q, ["cx", "cy"]).filter("first < place")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by_") - F.col("ay")
+    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-9))))
+    close = F.hypot(F.col("x") - F.col("ax") - u * dx, F.col("y") - F.col("ay") - u * dy) < near
+    pairs = m.filter(close).groupBy("early", F.col(key).alias("late")).agg(F.countDistinct("k").alias("n")).filter(F.col("n") > share * samples)
+    kept = first_apart(lines.select(F.col(key).alias("item")), pairs)
+    return lines.join(kept.filter("kept").select(F.col("item").alias(key)), key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreal.operators import graph, grid, network, routes
+from boreal.operators import assets, graph, grid, network, routes, spatial
 from boreal.plans.queries import big, query, r6
 from boreal.sources.fixtures import source
 
@@ -136,3 +136,57 @@ def walk_drive_walk(spark, sf):
     asked = c.groupBy(F.col("site").alias("route")).agg(F.min(F.when(tall & (F.col("iy") > 24), F.col("cell"))).alias("start"), F.max(F.when(tall & (F.col("iy") < 6), F.col("cell"))).alias("end")).withColumns({"start_on_road": F.lit(False), "end_on_road": F.lit(False)})
     out, _ = routes.routes(drive, foot, stops, asked, c, 2.0)
     return out.select(big("route").alias("route"), r6("minutes").alias("minutes"), r6("drive_minutes").alias("drive_minutes"), "drive_cells", "walk_cells", r6("road_share").alias("road_share"), "clearings")
+
+
+# ---- assets: the lines of the land as roads, and as conductors
+DENSE = CHAINS + """, v AS (SELECT site, chain, seq, (ix+0.5)*5 AS x, (iy+0.5)*5 AS y, (seq-diag)*5+diag*sqrt(50) AS m_at FROM c),
+ ed AS (SELECT *, lag(x) OVER o AS px, lag(y) OVER o AS py, lag(m_at) OVER o AS pat FROM v WINDOW o AS (PARTITION BY site, chain ORDER BY seq)),
+ dp AS (SELECT site, chain, coalesce(pat+(m_at-pat)*k/n, m_at) AS m_at, coalesce(px+(x-px)*(k/n::DOUBLE), x) AS x, coalesce(py+(y-py)*(k/n::DOUBLE), y) AS y FROM (SELECT *, unnest(CASE WHEN px IS NULL THEN [1] ELSE range(1, n+1) END) AS k FROM (SELECT *, greatest(1, CAST(ceil(coalesce(m_at-pat,0)-1e-9) AS INT)) AS n FROM ed) a) b),
+ dn AS (SELECT *, greatest(1, CAST(round(max(m_at) OVER (PARTITION BY site, chain)/{length}) AS INT)) AS n, max(m_at) OVER (PARTITION BY site, chain) AS whole FROM dp),
+ pc AS (SELECT DISTINCT site, chain, j AS piece, CAST(floor(y) AS INT) AS cy, CAST(floor(x) AS INT) AS cx FROM (SELECT *, unnest(range(n)) AS j FROM dn) q WHERE m_at >= j*whole/n-1e-6 AND m_at <= (j+1)*whole/n+1e-6),
+ bn AS MATERIALIZED (SELECT site, cy+dy AS iy, cx+dx AS ix, min({{'chain': chain, 'piece': piece}}) AS m FROM pc CROSS JOIN (SELECT a-5 AS dy FROM range(11) r(a)) p CROSS JOIN (SELECT a-5 AS dx FROM range(11) r(a)) q WHERE dy*dy+dx*dx <= {half}*{half} GROUP BY 1,2,3)"""
+
+
+def dense_lines(spark: SparkSession, sf: str, length: float) -> tuple[DataFrame, DataFrame]:
+    land, c = lines(spark, sf)
+    v = c.select("site", "chain", "seq", ((F.col("ix") + 0.5) * RES).alias("x"), ((F.col("iy") + 0.5) * RES).alias("y"))
+    return land, assets.line_pieces(assets.dense_line(v, ["site", "chain"]), ["site", "chain"], length)
+
+
+@query(DENSE.format(length=25.0, half=3.0) + " SELECT site::BIGINT AS site, iy::BIGINT AS iy, ix::BIGINT AS ix, m.chain AS chain, m.piece::BIGINT AS piece FROM bn")
+def road_cells(spark, sf):
+    """Roads of 5 m burnt into cells of 1 m, in pieces of 25 m; the first piece has the cell."""
+    _, pieces = dense_lines(spark, sf, assets.ROAD_PIECE_M)
+    out = assets.burnt(pieces, ["site", "chain"], 3.0, SITE)
+    return out.select(big("site").alias("site"), big("iy").alias("iy"), big("ix").alias("ix"), "chain", big("piece").alias("piece"))
+
+
+@query(DENSE.format(length=60.0, half=1.8) + """, tr AS (SELECT site, iy*100+ix AS tree_id, (ix+0.5)*5 AS x, (iy+0.5)*5 AS y, chm AS h FROM v_land WHERE chm > 12),
+ ry AS (SELECT site, tree_id, d, s, CAST(floor(round(x+s*cos(radians(d*30)),9)) AS INT) AS ix, CAST(floor(round(y+s*sin(radians(d*30)),9)) AS INT) AS iy FROM tr CROSS JOIN (SELECT unnest(range(12)) AS d) p CROSS JOIN (SELECT unnest(range(1,40)) AS s) q WHERE s <= sqrt(greatest(h*h-81,0))),
+ hi AS (SELECT ry.site, tree_id, d, min({'s': s, 'm': m}) AS k FROM ry JOIN bn ON bn.site=ry.site AND bn.iy=ry.iy AND bn.ix=ry.ix GROUP BY 1,2,3)
+ SELECT site::BIGINT AS site, tree_id::BIGINT AS tree_id, d::BIGINT AS direction, k.s::BIGINT AS step, k.m.chain AS line, k.m.piece::BIGINT AS piece FROM hi""")
+def conductor_strikes(spark, sf):
+    """What the tall trees of each site reach of a conductor at 9 m along its lines, in spans of 60 m."""
+    land, pieces = dense_lines(spark, sf, assets.SPAN_M)
+    raster = assets.burnt(pieces, ["site", "chain"], assets.SPAN_HALF_M, SITE).withColumnRenamed("chain", "line").withColumn("kind", F.lit("power"))
+    tall = land.filter("chm > 12").select("site", (F.col("iy") * 100 + F.col("ix")).cast("long").alias("tree_id"), ((F.col("ix") + 0.5) * RES).alias("x"), ((F.col("iy") + 0.5) * RES).alias("y"), F.col("chm").alias("h"))
+    out = assets.strikes(tall, raster, 9.0, 12, SITE)
+    return out.select(big("site").alias("site"), "tree_id", big("direction").alias("direction"), big("step").alias("step"), "line", big("piece").alias("piece"))
+
+
+@query("""WITH h AS MATERIALIZED (SELECT site, iy, ix, dtm FROM v_land WHERE ground_share >= 0.45), q AS (SELECT a.site, a.iy, a.ix, arg_min(h.dtm, CAST(pow(a.iy-h.iy,2)+pow(a.ix-h.ix,2) AS BIGINT)*100000000+h.iy*10000+h.ix) AS dtm FROM v_land a JOIN h ON h.site=a.site GROUP BY 1,2,3)
+ SELECT site::BIGINT AS site, iy::BIGINT AS iy, ix::BIGINT AS ix, round(dtm,6) AS dtm FROM q""")
+def ground_fill(spark, sf):
+    """Ground heights of cells with too few ground returns from the nearest cell that has enough, at any distance."""
+    land = source(spark, sf, "v_land").select("site", "iy", "ix", F.when(F.col("ground_share") >= 0.45, F.col("dtm")).alias("dtm"))
+    return grid.nearest_fill(land, "dtm", SITE).select(big("site").alias("site"), big("iy").alias("iy"), big("ix").alias("ix"), r6("dtm").alias("dtm"))
+
+
+@query("""WITH RECURSIVE o AS MATERIALIZED (SELECT tree_id, x, y, row_number() OVER (ORDER BY h DESC, tree_id) AS k FROM v_trees),
+ f(k, xs, ys, ids) AS (SELECT 0::BIGINT, []::DOUBLE[], []::DOUBLE[], []::BIGINT[] UNION ALL
+  SELECT f.k+1, CASE WHEN ok THEN list_append(xs, x) ELSE xs END, CASE WHEN ok THEN list_append(ys, y) ELSE ys END, CASE WHEN ok THEN list_append(ids, tree_id) ELSE ids END
+  FROM (SELECT f.*, o.tree_id, o.x, o.y, len(list_filter(list_zip(xs, ys), lambda p: pow(p[1]-o.x,2)+pow(p[2]-o.y,2) <= 36)) = 0 AS ok FROM f JOIN o ON o.k = f.k+1) f)
+ SELECT unnest(ids) AS tree_id FROM f WHERE k = (SELECT max(k) FROM o)""")
+def trees_apart(spark, sf):
+    """Trees by height, none within 6 m of a taller one that stays; decided in rounds, equal to the walk one by one."""
+    return spatial.apart(source(spark, sf, "v_trees"), "tree_id", [-F.col("h"), F.col("tree_id")], 6.0).select("tree_id")

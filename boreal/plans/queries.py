@@ -663,6 +663,23 @@ def fleet_plan(spark, sf):
     return fleet.kpis(fleet.schedule(t, s, m), t)
 
 
+@query()
+def storm_response(spark, sf):
+    """Q06, Q04, Q05: a storm in the midst of a running plan, three ways from one warm start, each region a plan of its own."""
+    nodes = source(spark, sf, "v_nodes").join(source(spark, sf, "nation").select(F.col("n_nationkey").alias("node_id"), F.col("n_regionkey").alias("region")), "node_id")
+    late = F.datediff("release_d", F.lit("1995-01-01").cast("date")) % 20
+    v = source(spark, sf, "v_tasks").join(nodes, "node_id")
+    t = v.select("region", "task_id", big("node_id").alias("node_id"), late.alias("release"), (late + 3 + F.col("task_id") % 7).cast("int").alias("due"), (F.col("setup_min") + F.col("flight_min")).cast("double").alias("duration"), "prio", "needs_ms")
+    hit = fleet.storm_tasks(v, 62.9, 27.7, 150.0, 32.0)
+    storm = hit.select("region", (F.col("task_id") + 10**9).alias("task_id"), "node_id", (10 + 0.6 * F.col("area")).alias("duration"), "exposure")
+    s = nodes.select("region", big("node_id").alias("op_id"), big("node_id").alias("home"), (F.col("node_id") % 3 == 0).alias("has_ms"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("day"), F.lit(480).alias("start"), F.lit(960).alias("end"))
+    m = fleet.travel_matrix(source(spark, sf, "v_nodes"), travel(spark, sf), 0.9, 5.0)
+    ends = nodes.select("region", F.col("node_id").alias("from")).join(nodes.select(F.col("region").alias("r"), F.col("node_id").alias("to")), F.col("region") == F.col("r"))
+    m = ends.join(m, ["from", "to"]).select("region", big("from").alias("from"), big("to").alias("to"), "minutes")
+    _, figures = fleet.storm_response(t, s, m, storm, 10)
+    return figures.select(big("region").alias("region"), "branch", "n_storm", "storm_done", "within_24h", "within_48h", r6("exposure_hours").alias("exposure_hours"), "regular_done", r6("regular_on_time").alias("regular_on_time"), r6("high_on_time").alias("high_on_time"), "delayed")
+
+
 @query("SELECT mode, CASE WHEN species IS NULL THEN -1 ELSE species END::BIGINT AS species, CASE WHEN health IS NULL THEN -1 ELSE health END::BIGINT AS health, n FROM (SELECT 'inventory' AS mode, species, health, count(*) AS n FROM v_trees GROUP BY ROLLUP (species, health)) q")
 def inventory(spark, sf):
     """Counts by species and health with subtotals."""
