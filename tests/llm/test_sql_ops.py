@@ -128,3 +128,31 @@ def test_cascade(spark):
     rare = {"cheap": lambda m: len(m.text) > 3, "dear": lambda m: len([w for w in m.words for _ in range(2000)]) < 0}
     assert quality.order_rules(["abcd e f g" * 30] * 20, rare) == ["cheap", "dear"]
     assert quality.cascade(df.limit(0), list(quality.RULES)).count() == 0
+
+
+def test_dear_rules_and_what_the_order_saves(spark):
+    """Rules over longer windows reject what the base rules let pass; with many rejections the learned order takes less time than its reverse, and verdicts are the same."""
+    import random
+    import time
+
+    rng = random.Random(1)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(30)
+    assert quality.first_rejection(quality.Measures(" ".join(fresh(60) + passage + fresh(10) + passage)), list(quality.RULES)) in ("repeats_6_words", "repeats_10_words")
+    assert quality.first_rejection(quality.Measures(" ".join(x for k in range(40) for x in ["the", "same", *fresh(2 + k % 3)])), list(quality.RULES)) == "top_2_words"
+    assert quality.first_rejection(quality.Measures(" ".join(fresh(400))), list(quality.RULES)) is None
+    for n in (2, 3, 6, 10):
+        ws = [f"v{rng.randrange(4)}" for _ in range(60)]
+        grams = [tuple(ws[k : k + n]) for k in range(len(ws) - n + 1)]
+        m = quality.Measures(" ".join(ws))
+        assert m.top(n) == max(map(grams.count, grams))
+        assert m.repeated(n) == len({k + d for k, g in enumerate(grams) if grams.count(g) > 1 for d in range(n)})
+    texts = [" ".join(fresh(3_000)) + " #" * (2_000 if k % 4 else 0) for k in range(60)]
+    order = quality.order_rules(texts)
+    took = []
+    for o in (order, order[::-1]):
+        began = time.perf_counter()
+        verdicts = [quality.first_rejection(quality.Measures(t), o) is None for t in texts]
+        took.append(time.perf_counter() - began)
+        assert verdicts == [k % 4 == 0 for k in range(60)]
+    assert order[0] == "symbols" and took[0] < 0.7 * took[1]
