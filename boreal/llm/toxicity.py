@@ -2,7 +2,7 @@
 
 Terms are the distinct lower-case words of a text and their first five letters, hashed to 2**`BITS` buckets. Inputs are those whose
 share among toxic documents differs from that among others by `MIN_Z` standard errors, and, as a term may tell something only beside another one, those
-of the `PAIR_TERMS` most frequent terms that interact with one of them: the labels' covariance with both together is `PAIR_Z` standard errors from none. The machine
+that interact with one: of all pairs of terms that `PAIR_ROWS` rows would have both of by chance, those with which the labels' covariance is `PAIR_Z` standard errors from none. Pairs are counted in the tasks that hold the rows, and summed there before they are shuffled. The machine
 is w0 + sum w_i + sum of <v_i, v_j> over pairs: the pairs let a word count for more beside another one, such as an insult beside a
 group's name, than both do alone. It is fitted on at most `TRAIN_ROWS` labelled rows and `TRAIN_TERMS` terms of theirs, taken in the order of
 a hash of their ids; everything else covers all rows.
@@ -29,8 +29,8 @@ from boreal.llm.common import batches, crc_mod, stage, table
 TRAIN_ROWS = 40_000
 TRAIN_TERMS = 20_000_000
 BITS, PREFIX, MIN_Z, MIN_ROWS = 18, 5, 3.5, 5
-#: Terms whose pairs are looked at, a pair's least expected number of rows, and its least z.
-PAIR_TERMS, PAIR_ROWS, PAIR_Z = 1024, 25.0, 7.0
+#: A pair's least expected number of rows, and its least z.
+PAIR_ROWS, PAIR_Z = 25.0, 7.0
 FACTORS, EPOCHS, BATCH, RATE, L2, SPREAD = 8, 20, 512, 0.05, 1e-4, 0.02
 THRESHOLD = 0.3
 CACHE = 300_000
@@ -135,9 +135,13 @@ def training(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tupl
     share, expected = F.col("n") / F.lit(float(n)), F.col("n") * F.lit(n1 / n)
     z = (F.col("a") - expected) / F.sqrt(expected * F.lit(1 - n1 / n) * F.greatest(1 - share, F.lit(1e-3)))
     telling = {r.b for r in per.filter(F.abs(z) >= MIN_Z).select("b").collect()}  # at most 2**BITS
-    frequent = [r.b for r in per.orderBy(F.desc("n"), "b").limit(PAIR_TERMS).select("b").collect()]
+    counts = np.zeros((2, 1 << BITS), np.int64)  # rows with a term, and toxic ones among them
+    for batch in per.select("b", "n", "a").toArrow().to_batches():
+        b, n_b, a_b = (batch.column(c).to_numpy() for c in ("b", "n", "a"))
+        counts[:, b] = n_b, a_b
     per.unpersist()
-    kept = np.array(sorted(telling.union(frequent)), np.int32)
+    chosen = sorted(telling | interacting(found, counts, n, n1))
+    kept = np.array(chosen, np.int32)
 
     def narrow(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -149,30 +153,47 @@ def training(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tupl
     terms = got.column("terms").combine_chunks()
     rows_ = np.split(terms.flatten().to_numpy(), np.cumsum(terms.value_lengths().to_numpy())[:-1])
     y = got.column("toxic").to_numpy().astype(float)
-    chosen = sorted(telling | set(interacting(np.array(frequent), rows_, y)))
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     return chosen, [x[x >= 0] for x in (place[r] for r in rows_)], y
 
 
-def interacting(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> list[int]:
-    """Those of terms that with another of them tell about y more than each alone: z of sum (y - mean) (a - share of a) (b - share of b)."""
-    place, k, n = np.full(1 << BITS, -1), len(terms), len(rows)
-    place[terms] = np.arange(k)
-    r = y - y.mean()
-    single, both, count = np.zeros(k), np.zeros((k, k)), np.zeros(k)
-    for s in range(0, n, 4096):
-        x = np.zeros((len(part := rows[s : s + 4096]), k), np.float32)
-        for i, t in enumerate(part):
-            x[i, (at := place[t])[at >= 0]] = 1
-        e = r[s : s + 4096, None].astype(np.float32)
-        single, both, count = single + (x * e).sum(0), both + x.T @ (x * e), count + x.sum(0)
-    share = count / n
-    spread = r.std() * np.sqrt(n * np.outer(share * (1 - share), share * (1 - share)))
-    z = np.abs(both - np.outer(share, single) - np.outer(single, share)) / np.maximum(spread, 1e-9)
-    z[n * np.outer(share, share) < PAIR_ROWS] = 0
-    np.fill_diagonal(z, 0)
-    return terms[z.max(0, initial=0) >= PAIR_Z].tolist()
+def interacting(found: DataFrame, counts: np.ndarray, n: int, n1: int) -> set[int]:
+    """The terms that with another one tell about the label more than each alone: z of sum (label - mean) (a - share of a) (b - share of b). found: toxic, terms of n rows, n1 of them toxic; counts: of each bucket, its rows and its toxic rows. A row's terms are taken in the order of their counts, so that those which may go with one are the first ones."""
+    mean = n1 / n
+    rows_of = counts[0].astype(float)
+    share, single, least = rows_of / n, counts[1] - rows_of * mean, PAIR_ROWS * n
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, sums = np.empty(0, np.int64), np.empty(0)
+        for batch in batches(it, 128):
+            more, weights = [codes], [sums]
+            for label, terms in zip(batch.column("toxic").to_pylist(), batch.column("terms"), strict=True):
+                t = terms.values.to_numpy()
+                t = t[counts[0][t] > 0]
+                c = rows_of[t]
+                order = np.lexsort((t, -c))
+                t, c = t[order], c[order]
+                upto = np.searchsorted(-c, -least / c, side="right")  # as many of the first as each may go with
+                many = np.maximum(upto - np.arange(len(t)) - 1, 0)
+                i = np.repeat(np.arange(len(t)), many)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + i + 1
+                more.append(t[i].astype(np.int64) << BITS | t[j])
+                weights.append(np.full(len(i), label - mean))
+            codes, at = np.unique(np.concatenate(more), return_inverse=True)
+            sums = np.bincount(at, np.concatenate(weights), len(codes))
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], ["code", "both"])
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            code = batch.column("code").to_numpy()
+            a, b = code >> BITS, code & ((1 << BITS) - 1)
+            spread = np.sqrt(mean * (1 - mean) * n * share[a] * (1 - share[a]) * share[b] * (1 - share[b]))
+            far = np.abs(batch.column("both").to_numpy() - share[a] * single[b] - single[a] * share[b]) >= PAIR_Z * np.maximum(spread, 1e-9)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.r_[a[far], b[far]]))], ["b"])
+
+    summed = found.select("toxic", "terms").mapInArrow(count, "code long, both double").groupBy("code").agg(F.sum("both").alias("both"))
+    return {r.b for r in summed.mapInArrow(judge, "b long").distinct().collect()}  # at most 2**BITS
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, factors: int = FACTORS) -> Machine:
