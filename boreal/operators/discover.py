@@ -13,6 +13,7 @@ from boreal.operators import grid
 from boreal.operators.graph import dijkstra
 from boreal.operators.kernels import EIGHT, label, shifted
 from boreal.operators.spatial import unmapped
+from boreal.plans.rounds import Rounds
 
 
 def neighbour_edges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +85,13 @@ def find_tracks(cells: DataFrame, res: float, known: DataFrame, tile: int = 400,
 
     keys = [*by, "iy", "ix"]
     c = cells.withColumn("open", (F.col("chm") < 1.5) & (F.col("forest") > 0.35) & (F.col("rough") < 0.25) & (F.col("slope") < 15) & (F.col("ground_share") > 0.3))
-    thin = network.skeleton(c, "open", res, tile, by=by).filter(F.col("half").between(1.0, 6.5))
+    rounds = Rounds(cells.sparkSession, "tracks")
+    thin = rounds.keep(network.skeleton(c, "open", res, tile, by=by).filter(F.col("half").between(1.0, 6.5)), "thin")
     path = network.longest_lines(network.without_spurs(thin, 3, by), by).join(thin, keys)
     path = path.select(*by, "line", "seq", "iy", "ix", "half", ((F.col("ix") + 0.5) * res).alias("x"), ((F.col("iy") + 0.5) * res).alias("y"))
     v = path.withColumn("v", F.struct("line", "seq"))
     left = unmapped(v, "v", known, 9.0)
-    left = (unmapped(left, "v", power, 12.0) if power is not None else left).drop("v")
+    left = rounds.keep((unmapped(left, "v", power, 12.0) if power is not None else left).drop("v"), "left")
     w = Window.partitionBy(*by, "line").orderBy("seq")
     left = left.withColumn("part", F.sum(F.when(F.col("seq") - F.lag("seq").over(w) > 1, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     left = left.withColumn("track", F.concat_ws("/", *[F.col(f"line.{k}").cast("string") for k in keys], F.col("part").cast("string"))).drop("line", "part")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreal.operators import assets, graph, grid, network, routes, spatial
+from boreal.operators import assets, graph, grid, imagery, network, routes, spatial
 from boreal.plans.queries import big, query, r6
 from boreal.sources.fixtures import source
 
@@ -190,3 +190,15 @@ def ground_fill(spark, sf):
 def trees_apart(spark, sf):
     """Trees by height, none within 6 m of a taller one that stays; decided in rounds, equal to the walk one by one."""
     return spatial.apart(source(spark, sf, "v_trees"), "tree_id", [-F.col("h"), F.col("tree_id")], 6.0).select("tree_id")
+
+
+@query("""WITH p AS (SELECT site, (ix+0.5)*5 AS x, (iy+0.5)*5 AS y FROM v_land WHERE chm < 1.5),
+ v AS MATERIALIZED (SELECT site, k, CAST(floor(round((x*cos(k*(pi()/36))+y*sin(k*(pi()/36)))/5,9)) AS BIGINT) AS bin, count(*) AS votes FROM p CROSS JOIN (SELECT unnest(range(36)) AS k) a GROUP BY 1,2,3 HAVING count(*) >= 8),
+ d AS (SELECT a AS da, b AS db FROM (SELECT unnest(range(-2,3)) AS a) a CROSS JOIN (SELECT unnest(range(-2,3)) AS b) b),
+ n AS (SELECT site, (k+da+36)%36 AS k, CASE WHEN k+da<0 OR k+da>=36 THEN -bin-1+db ELSE bin+db END AS bin, votes, k AS ok, bin AS ob FROM v CROSS JOIN d)
+ SELECT site::BIGINT AS site, k::BIGINT AS k, bin, votes FROM v WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.site=v.site AND n.k=v.k AND n.bin=v.bin AND (n.votes>v.votes OR n.votes=v.votes AND (n.ok<v.k OR n.ok=v.k AND n.ob<v.bin)))""")
+def straight_lines(spark, sf):
+    """Hough votes of open cells, without what lies beside a stronger line."""
+    p = source(spark, sf, "v_land").filter("chm < 1.5").select("site", ((F.col("ix") + 0.5) * RES).alias("x"), ((F.col("iy") + 0.5) * RES).alias("y"))
+    out = imagery.hough_peaks(imagery.hough_votes(p, 36, RES, SITE), 8, 36, 2, 2, SITE)
+    return out.select(big("site").alias("site"), big("k").alias("k"), "bin", "votes")
