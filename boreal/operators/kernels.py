@@ -177,22 +177,22 @@ def ground_surface(lowest: np.ndarray, res: float = 5.0) -> tuple[np.ndarray, np
     return a, np.hypot(gy, gx)
 
 
-def ground_filter(points: DataFrame, tile: int = 200, res: float = 5.0) -> DataFrame:
-    """points with `ground`: less than 0.5 m, and more on slopes, above the ground surface of their coarse cell."""
+def ground_filter(points: DataFrame, tile: int = 200, res: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """points with `ground`: less than 0.5 m, and more on slopes, above the ground surface of their coarse cell. by: columns of the site."""
     from pyspark.sql import functions as F
 
     from boreal.operators.grid import halo
 
     p = points.withColumns({"iy": F.floor(F.col("y") / res).cast("int"), "ix": F.floor(F.col("x") / res).cast("int")})
-    lowest = p.groupBy("iy", "ix").agg(F.min("z").alias("low"))
+    lowest = p.groupBy(*by, "iy", "ix").agg(F.min("z").alias("low"))
 
     def surface(a: dict, y0: int, x0: int) -> pd.DataFrame:
         s, t = ground_surface(a["low"], res)
         y, x = np.nonzero(a["core"])
         return pd.DataFrame({"iy": y + y0, "ix": x + x0, "surface": s[y, x], "rise": t[y, x]})
 
-    ground = per_tile(halo(lowest, tile, 8), "iy int, ix int, surface double, rise double", surface)
-    return p.join(ground, ["iy", "ix"]).withColumn("ground", F.col("z") - F.col("surface") < 0.5 + 0.35 * res * F.least(F.col("rise"), F.lit(1.0))).drop("iy", "ix", "surface", "rise")
+    ground = per_tile(halo(lowest, tile, 8), "iy int, ix int, surface double, rise double", surface, by)
+    return p.join(ground, [*by, "iy", "ix"]).withColumn("ground", F.col("z") - F.col("surface") < 0.5 + 0.35 * res * F.least(F.col("rise"), F.lit(1.0))).drop("iy", "ix", "surface", "rise")
 
 
 def crowns(chm: np.ndarray, res: float, least: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
