@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreal.operators import assets, graph, grid, imagery, network, routes, spatial
+from boreal.operators import assets, crowns, graph, grid, imagery, network, routes, spatial
 from boreal.plans.queries import big, query, r6
 from boreal.sources.fixtures import source
 
@@ -202,3 +202,48 @@ def straight_lines(spark, sf):
     p = source(spark, sf, "v_land").filter("chm < 1.5").select("site", ((F.col("ix") + 0.5) * RES).alias("x"), ((F.col("iy") + 0.5) * RES).alias("y"))
     out = imagery.hough_peaks(imagery.hough_votes(p, 36, RES, SITE), 8, 36, 2, 2, SITE)
     return out.select(big("site").alias("site"), big("k").alias("k"), "bin", "votes")
+
+
+CROWNS = """WITH t AS MATERIALIZED (SELECT site, iy*100+ix AS tree_id, chm AS h, 5e0+(n%7)*3 AS crown_area FROM v_land WHERE chm > 12),
+ p AS (SELECT t.site, t.tree_id, hag/greatest(h,1) AS rel, red, green, nir, intensity FROM v_returns r JOIN t ON t.site=r.site AND t.tree_id=r.iy*100+r.ix WHERE hag>1 AND cls NOT IN (2,6,9,14)),
+ a AS (SELECT site, tree_id, count(*) AS pts, avg((rel<0.6)::INT) AS low_frac, avg(rel) AS rel_mean, sum(CASE WHEN rel>0.5 THEN red ELSE 0 END)/greatest(sum((rel>0.5)::INT),1)::DOUBLE AS r, sum(CASE WHEN rel>0.5 THEN green ELSE 0 END)/greatest(sum((rel>0.5)::INT),1)::DOUBLE AS g,
+  sum(CASE WHEN rel>0.5 THEN nir ELSE 0 END)/greatest(sum((rel>0.5)::INT),1)::DOUBLE AS n, sum(CASE WHEN rel>0.5 THEN intensity ELSE 0 END)/greatest(sum((rel>0.5)::INT),1)::DOUBLE AS it FROM p GROUP BY 1,2),
+ se AS (SELECT site, max(nir)>0 AS ms, coalesce(var_pop(intensity),0)>1e-9 AS has_i FROM p GROUP BY 1),
+ f AS MATERIALIZED (SELECT t.site, t.tree_id, coalesce(pts,0) AS pts, coalesce(pts,0)/greatest(crown_area,1) AS dens, coalesce(low_frac,0) AS low_frac, coalesce(rel_mean,0) AS rel_mean, sqrt(crown_area/pi())/greatest(h,1) AS cr, coalesce((n-r)/greatest(n+r,1),0) AS ndvi, coalesce(g/greatest(r,1),0) AS gr, coalesce(n/256,0) AS nir, coalesce(it,0) AS it, coalesce(ms,false) AS ms, coalesce(has_i,false) AS has_i
+  FROM t LEFT JOIN a ON a.site=t.site AND a.tree_id=t.tree_id LEFT JOIN se ON se.site=t.site)"""
+
+
+def crown_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of the tall cells of each site, taken as crowns."""
+    tree = (F.col("iy") * 100 + F.col("ix")).cast("long").alias("tree_id")
+    t = source(spark, sf, "v_land").filter("chm > 12").select("site", tree, F.col("chm").alias("h"), (5.0 + (F.col("n") % 7) * 3).alias("crown_area"))
+    return crowns.crown_features(source(spark, sf, "v_returns").select("site", tree, "hag", "cls", "red", "green", "nir", "intensity"), t)
+
+
+@query(CROWNS + """, s AS MATERIALIZED (SELECT *, CASE WHEN cr<0.11 AND low_frac>0.35 THEN 1 WHEN ms AND gr>1.45 THEN 2 ELSE 0 END AS species FROM f),
+ u AS (SELECT site, median(dens) FILTER (dens>0) AS usual FROM s GROUP BY 1), m AS (SELECT site, species, median(it) FILTER (it>0) AS med, count(*) FILTER (it>0) AS k FROM s GROUP BY 1,2),
+ d AS (SELECT s.site, s.species, median(abs(it-med)) FILTER (it>0) AS mad FROM s JOIN m ON m.site=s.site AND m.species=s.species GROUP BY 1,2),
+ z AS (SELECT s.*, usual, CASE WHEN k>=20 AND it>0 THEN (it-med)/(1.4826*mad+1e-6) ELSE 0 END AS z FROM s JOIN u ON u.site=s.site JOIN m ON m.site=s.site AND m.species=s.species JOIN d ON d.site=s.site AND d.species=s.species)
+ SELECT site::BIGINT AS site, tree_id::BIGINT AS tree_id, pts, round(dens,6) AS pt_density, round(low_frac,6) AS low_frac, round(rel_mean,6) AS rel_mean, round(cr,6) AS crown_ratio, round(ndvi,6) AS ndvi, round(gr,6) AS gr_ratio, species::BIGINT AS species,
+  CASE WHEN ms THEN CASE WHEN ndvi<CASE WHEN species=2 THEN 0.20 ELSE 0.15 END THEN 2 WHEN ndvi<CASE WHEN species=2 THEN 0.45 ELSE 0.40 END THEN 1 ELSE 0 END WHEN has_i THEN CASE WHEN z < -3.2 OR dens<0.45*usual AND z < -2 THEN 2 WHEN z < -2 THEN 1 ELSE 0 END WHEN dens<0.45*usual THEN 2 ELSE 0 END::BIGINT AS health,
+  CASE WHEN ms THEN 'ndvi' WHEN has_i THEN 'intensity and density' ELSE 'density' END AS health_source FROM z""")
+def crown_health(spark, sf):
+    """Features, species by rules and health by what each site's sensor has."""
+    out = crowns.classified(crown_table(spark, sf))
+    return out.select(big("site").alias("site"), "tree_id", "pts", *[r6(c).alias(c) for c in ("pt_density", "low_frac", "rel_mean", "crown_ratio", "ndvi", "gr_ratio")], big("species").alias("species"), big("health").alias("health"), "health_source")
+
+
+@query(CROWNS + """, kn AS (SELECT *, tree_id % 3 AS sp FROM f WHERE tree_id % 4 = 1 AND site % 3 <> 2), l AS (SELECT site, tree_id, ms, unnest([{'feature':'crown_ratio','v':cr},{'feature':'low_frac','v':low_frac},{'feature':'rel_mean','v':rel_mean},{'feature':'gr_ratio','v':gr},{'feature':'nir_share','v':nir}]) AS q FROM f),
+ e AS MATERIALIZED (SELECT site, tree_id, q.feature AS feature, q.v AS v FROM l WHERE ms OR q.feature NOT IN ('gr_ratio','nir_share')),
+ mm AS (SELECT site, count(*) AS members FROM kn GROUP BY 1 HAVING count(*)>=15),
+ mo AS MATERIALIZED (SELECT e.site, sp, feature, avg(v) AS mu, var_pop(v)+1e-3 AS var, count(*)/any_value(members)::DOUBLE AS prior FROM e JOIN kn ON kn.site=e.site AND kn.tree_id=e.tree_id JOIN mm ON mm.site=e.site GROUP BY 1,2,3 HAVING count(*)>=2),
+ sc AS (SELECT e.site, tree_id, sp, sum(-0.5*(pow(v-mu,2)/var+ln(2*pi()*var)))+ln(any_value(prior)) AS s FROM e JOIN mo ON mo.site=e.site AND mo.feature=e.feature GROUP BY 1,2,3),
+ pr AS (SELECT site, tree_id, sp, exp(s-max(s) OVER w)/sum(exp(s-m)) OVER w AS conf, row_number() OVER (PARTITION BY site, tree_id ORDER BY s DESC, sp) AS k FROM (SELECT *, max(s) OVER (PARTITION BY site, tree_id) AS m FROM sc) q WINDOW w AS (PARTITION BY site, tree_id)),
+ ru AS (SELECT site, tree_id, CASE WHEN cr<0.11 AND low_frac>0.35 THEN 1 WHEN ms AND gr>1.45 THEN 2 ELSE 0 END AS sp FROM f WHERE site NOT IN (SELECT site FROM mo))
+ SELECT site::BIGINT AS site, tree_id::BIGINT AS tree_id, sp::BIGINT AS species, round(conf,6) AS species_conf, 'calibrated' AS species_source FROM pr WHERE k=1 UNION ALL SELECT site::BIGINT, tree_id::BIGINT, sp::BIGINT, 1.0::DOUBLE, 'rules' FROM ru""")
+def crown_species(spark, sf):
+    """Sites with enough known trees have a model of their own, the others the rules, in one plan."""
+    f = crown_table(spark, sf)
+    known = f.filter((F.col("tree_id") % 4 == 1) & (F.col("site") % 3 != 2)).select("site", "tree_id", (F.col("tree_id") % 3).alias("species"))
+    out = crowns.classified(f, known)
+    return out.select(big("site").alias("site"), "tree_id", big("species").alias("species"), r6("species_conf").alias("species_conf"), "species_source")

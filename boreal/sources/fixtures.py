@@ -33,6 +33,9 @@ VIEWS = {
  FROM (SELECT *, iy = 8 + abs((ix + 5*site) % 24 - 12) OR ix = 30 AND iy >= 8 + abs((30 + 5*site) % 24 - 12) OR iy = 33 AND ix <= 18 AS road, iy BETWEEN 31 AND 35 AND site % 3 < 2 AS field
   FROM (SELECT CAST(floor(l_orderkey/7500e0) AS INT) AS site, CAST(floor((l_partkey % 200 + l_linenumber/8e0)/5e0) AS INT) AS iy, CAST(floor((l_orderkey % 200 + l_quantity/64e0)/5e0) AS INT) AS ix,
    l_orderkey % 200 + l_quantity/64e0 AS x, l_partkey % 200 + l_linenumber/8e0 AS y, 5e0 + l_quantity/4e0 AS h, l_returnflag AS flag FROM lineitem) p) q GROUP BY site, iy, ix, road, field""",
+    # the returns over the same cells; every other site has no near infrared, every third of these no intensity
+    "v_returns": """SELECT site, iy, ix, h AS hag, CASE WHEN flag='R' THEN 2 ELSE 5 END AS cls, CAST(sk % 200 AS INT) AS red, CAST((sk*5) % 256 AS INT) AS green, CASE WHEN site % 2 = 0 THEN CAST((sk*3) % 256 AS INT) ELSE 0 END AS nir, CASE WHEN site % 6 = 5 THEN 0 ELSE CAST((pk*7 + iy*ix) % 1024 AS INT) END AS intensity
+ FROM (SELECT CAST(floor(l_orderkey/7500e0) AS INT) AS site, CAST(floor((l_partkey % 200 + l_linenumber/8e0)/5e0) AS INT) AS iy, CAST(floor((l_orderkey % 200 + l_quantity/64e0)/5e0) AS INT) AS ix, 5e0 + l_quantity/4e0 AS h, l_returnflag AS flag, l_suppkey AS sk, l_partkey AS pk FROM lineitem) p""",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
