@@ -29,7 +29,7 @@ VIEWS = {
     "v_nodes": "SELECT n_nationkey AS node_id, 60e0 + n_nationkey/4e0 AS lat, 21e0 + CAST((n_nationkey*7) % 25 AS DOUBLE)/4e0 AS lon FROM nation",
     "v_cells": """SELECT CAST(floor(y/5e0) AS INT) AS iy, CAST(floor(x/5e0) AS INT) AS ix, CAST(count(*) AS BIGINT) AS n, max(z) AS z_max, CAST(sum(CASE WHEN cls=5 THEN 1 ELSE 0 END) AS BIGINT) AS n_veg FROM v_points GROUP BY 1,2""",
     # sites of 200 m x 200 m, one for each 7,500 orders: forest with a winding road, a branch off it, a road apart from both, and in most sites a field between
-    "v_land": """SELECT site, iy, ix, count(*) AS n, CASE WHEN road THEN 0e0 WHEN field THEN 1.75e0 ELSE max(h) END AS chm, avg(100e0 + x/40e0 + y/50e0) AS dtm, avg(CASE WHEN road OR field OR flag='R' THEN 1e0 ELSE 0e0 END) AS ground_share
+    "v_land": """SELECT site, iy, ix, count(*) AS n, CASE WHEN road THEN 0e0 WHEN field THEN 1.75e0 ELSE max(h) END AS chm, avg(100e0 + x/41e0 + y/53e0) AS dtm, avg(CASE WHEN road OR field OR flag='R' THEN 1e0 ELSE 0e0 END) AS ground_share
  FROM (SELECT *, iy = 8 + abs((ix + 5*site) % 24 - 12) OR ix = 30 AND iy >= 8 + abs((30 + 5*site) % 24 - 12) OR iy = 33 AND ix <= 18 AS road, iy BETWEEN 31 AND 35 AND site % 3 < 2 AS field
   FROM (SELECT CAST(floor(l_orderkey/7500e0) AS INT) AS site, CAST(floor((l_partkey % 200 + l_linenumber/8e0)/5e0) AS INT) AS iy, CAST(floor((l_orderkey % 200 + l_quantity/64e0)/5e0) AS INT) AS ix,
    l_orderkey % 200 + l_quantity/64e0 AS x, l_partkey % 200 + l_linenumber/8e0 AS y, 5e0 + l_quantity/4e0 AS h, l_returnflag AS flag FROM lineitem) p) q GROUP BY site, iy, ix, road, field""",
