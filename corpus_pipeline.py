@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a DataFrame; run() writes each to
 the shared folder as Parquet and reads it again. All but the last return the columns of documents. Nulls: a null text has no language
-and goes in the first stage; rows with a null id, and rows that share one, are documents of their own; a null source is a source. An empty table gives
+and goes in the first stage; rows with a null id, and rows that share one, are documents of their own; a null source is a source. Very long texts are read whole in
+every stage. Ties: of near duplicates with one id the least digest of the text stays, and rows of one id and size keep the order of their digests in the mix; repeated rows are near duplicates of each other. An empty table gives
 an empty result. Columns besides those of documents are dropped.
 """
 
