@@ -5,7 +5,7 @@ has a merge; the least is popped, skipped if the pair at that place has changed
 are pushed. Decoding concatenates the vocabulary's byte strings. Each Python worker keeps the ids
 of pretokens that it has met in a bounded dictionary.
 
-A null text is empty and has no ids; texts of any length are encoded whole; repeated rows give repeated results;
+A null text is empty and has no ids; texts of any length are encoded whole; repeated rows give repeated results, rows without an id are encoded like others, and a table without rows gives none;
 added tokens in a text are found first, as the vocabulary file says. Columns besides the id are ignored.
 """
 

@@ -77,3 +77,11 @@ def test_token_files_on_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, token_files.op10_token_files(spark, sf).collect())) == expected(rows)
+
+
+def test_bpe_null_ids_and_very_long_texts(spark):
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    long = "".join(f"word{k % 977} né{k} " for k in range(60_000)) + "x" * 20_000
+    rows = [(None, "no id"), (None, None), (7, long), (7, long), (8, "tie"), (8, "tie")]
+    got = sorted(((r.doc_id, tuple(r.ids)) for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == sorted(((i, tuple(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows), key=repr)
