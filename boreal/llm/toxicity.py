@@ -31,6 +31,8 @@ TRAIN_TERMS = 20_000_000
 BITS, PREFIX, MIN_Z, MIN_ROWS = 18, 5, 3.5, 5
 #: A pair's least expected number of rows, and its least z.
 PAIR_ROWS, PAIR_Z = 25.0, 7.0
+#: Pairs that a task holds at a time, about, before they are summed.
+PAIRS = 500_000
 FACTORS, EPOCHS, BATCH, RATE, L2, SPREAD = 8, 20, 512, 0.05, 1e-4, 0.02
 THRESHOLD = 0.3
 CACHE = 300_000
@@ -165,9 +167,14 @@ def interacting(found: DataFrame, counts: np.ndarray, n: int, n1: int) -> set[in
     share, single, least = rows_of / n, counts[1] - rows_of * mean, PAIR_ROWS * n
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, sums = np.empty(0, np.int64), np.empty(0)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # sums of a code each, and pairs not yet summed
+        size = 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([w for _, w in held]), len(codes))
+
         for batch in batches(it, 128):
-            more, weights = [codes], [sums]
             for label, terms in zip(batch.column("toxic").to_pylist(), batch.column("terms"), strict=True):
                 t = terms.values.to_numpy()
                 t = t[counts[0][t] > 0]
@@ -176,13 +183,24 @@ def interacting(found: DataFrame, counts: np.ndarray, n: int, n1: int) -> set[in
                 t, c = t[order], c[order]
                 upto = np.searchsorted(-c, -least / c, side="right")  # as many of the first as each may go with
                 many = np.maximum(upto - np.arange(len(t)) - 1, 0)
-                i = np.repeat(np.arange(len(t)), many)
-                j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + i + 1
-                more.append(t[i].astype(np.int64) << BITS | t[j])
-                weights.append(np.full(len(i), label - mean))
-            codes, at = np.unique(np.concatenate(more), return_inverse=True)
-            sums = np.bincount(at, np.concatenate(weights), len(codes))
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], ["code", "both"])
+                ends = np.cumsum(many)
+                lo = 0
+                while lo < len(t) and ends[-1] > (ends[lo - 1] if lo else 0):
+                    done = ends[lo - 1] if lo else 0
+                    hi = max(lo + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
+                    i = np.repeat(np.arange(lo, hi), many[lo:hi])
+                    j = np.arange(len(i)) - (np.repeat(ends[lo:hi] - many[lo:hi], many[lo:hi]) - done) + i + 1
+                    held.append((t[i].astype(np.int64) << BITS | t[j], np.full(len(i), label - mean)))
+                    size, lo = size + len(i), hi
+                    if size > 4 * PAIRS:
+                        held = [summed()]
+                        size = len(held[0][0])
+                        if size > 2 * PAIRS:  # the rest is summed after the shuffle
+                            yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["code", "both"])
+                            held, size = [], 0
+        if held:
+            codes, sums = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], ["code", "both"])
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
