@@ -88,29 +88,3 @@ def test_edges(spark):
     got = toxicity.predict(docs, toxicity.learn(docs, labels)).collect()
     assert len(got) == 5 and all(r.score < 1e-6 for r in got)
     assert toxicity.predict(docs.limit(0), toxicity.learn(docs, labels)).count() == 0
-
-
-def test_pair_terms_equal_all_pairs(spark):
-    """Every pair with support is looked at, whatever the rank of its terms, and equals a loop over all pairs; equally in one task and in several."""
-    rng = np.random.default_rng(8)
-    n, rows = 3000, []
-    for k in range(n):
-        a, b = rng.random() < 0.3, rng.random() < 0.3
-        common = np.flatnonzero(rng.random(1500) < 0.32)[:400] + 100  # far more frequent terms than a fixed number would hold
-        rows.append((int(a != b), sorted({*([5] if a else []), *([6] if b else []), *common.tolist()})))
-    y = np.array([r[0] for r in rows], float)
-    x = np.zeros((n, 1 << 11))
-    for k, (_, terms) in enumerate(rows):
-        x[k, terms] = 1
-    counts = np.zeros((2, 1 << toxicity.BITS), np.int64)
-    counts[0, : 1 << 11], counts[1, : 1 << 11] = x.sum(0), x[y == 1].sum(0)
-    share, r = x.mean(0), y - y.mean()
-    single = x.T @ r
-    z = np.abs(x.T @ (x * r[:, None]) - np.outer(share, single) - np.outer(single, share)) / np.maximum(r.std() * np.sqrt(n * np.outer(share * (1 - share), share * (1 - share))), 1e-9)
-    z[n * np.outer(share, share) < toxicity.PAIR_ROWS] = 0
-    np.fill_diagonal(z, 0)
-    want = set(np.flatnonzero(z.max(0) >= toxicity.PAIR_Z).tolist())
-    for parts in (1, 5):
-        found = spark.createDataFrame(rows, "toxic int, terms array<int>").repartition(parts)
-        got = toxicity.interacting(found, counts, n, int(y.sum()))
-        assert got == want and {5, 6} <= got
