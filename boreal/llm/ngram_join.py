@@ -34,6 +34,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9998
 SPREAD, LIMIT, DEPTH = 0.5, 200, 24
 #: Sets, and shingles, in one block of a large bucket, about.
 BLOCK, BLOCK_SHINGLES = 1200, 4_000_000
+#: Sets of a large bucket whose sketches are counted in one group, about.
+PIECE = 10_000
 #: Bins of the sketch, and how many standard errors below the threshold it may estimate.
 BINS, ERRORS = 128, 4.5
 
@@ -154,12 +156,27 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def likeness(large: DataFrame, classes: DataFrame) -> DataFrame:
-    """(path, alike): the mean similarity of pairs in a bucket, from how often sketches agree in a quarter of their bins; counts only, whatever the bucket's size."""
-    bins = large.select("path", "key").join(classes.select("key", "sketch"), "key").select("path", "sketch", F.explode(F.sequence(F.lit(1), F.lit(BINS), F.lit(4))).alias("bin"))
-    cells = bins.select("path", "bin", F.substring("sketch", F.col("bin"), F.lit(1)).alias("v")).filter(F.col("v") != F.lit(b"\x00"))
-    counts = cells.groupBy("path", "bin", "v").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    per_bin = counts.groupBy("path", "bin").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1)).alias("same")).filter("n > 1")
-    return per_bin.groupBy("path").agg((F.sum("same") / F.sum(F.col("n") * (F.col("n") - 1))).alias("alike"))
+    """(path, alike): the mean similarity of pairs in a bucket, from how often sketches agree in a quarter of their bins. A piece of a bucket is one row, the counts of each bin's values, so that nothing is made per set and bin or per pair."""
+
+    def count(pdf):
+        import pandas as pd
+
+        values = np.stack([np.frombuffer(s, np.uint8)[::4] for s in pdf["sketch"]])
+        counts = np.bincount((values + 256 * np.arange(values.shape[1])).ravel(), minlength=256 * values.shape[1])
+        return pd.DataFrame({"path": pdf["path"].iloc[:1], "counts": [counts.astype(np.uint32).tobytes()]})
+
+    def mean(pdf):
+        import pandas as pd
+
+        c = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["counts"]).reshape(-1, 256)[:, 1:]  # 0: an empty bin
+        n = c.sum(1)
+        pairs = float((n * (n - 1)).sum())
+        return pd.DataFrame({"path": pdf["path"].iloc[:1], "alike": [float((c * (c - 1)).sum()) / pairs if pairs else 0.0]})
+
+    piece = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / PIECE)).alias("piece")
+    sketches = large.select("path", "key", piece).join(classes.select("key", "sketch"), "key").select("path", "piece", "sketch")
+    pieces = sketches.groupBy("path", "piece").applyInPandas(count, "path long, counts binary")
+    return pieces.groupBy("path").applyInPandas(mean, "path long, alike double")
 
 
 def first_shared(a: np.ndarray, b: np.ndarray) -> int:
