@@ -22,12 +22,13 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boreal.llm.bpe import vocabulary_path
-from boreal.llm.common import batches, new_folder, stage, table
+from boreal.llm.common import by_size, new_folder, stage, table
 
 #: Vocabulary of op10, a file of the public tokenizers, and the id that ends a document.
 VOCABULARY, END = "word_bpe_49k.json", 1
@@ -122,10 +123,13 @@ class Chunks:
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library = Tokenizer.from_file(vocabulary_path(vocabulary))
         self.library.no_truncation()
         self.library.no_padding()
+        self.merges = Tokenizer(self.library.model)  # for words that neither the normaliser nor the pattern changes or splits
+        self.merges.pre_tokenizer = WhitespaceSplit()
         vocab = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[k for t, k in vocab.items() if t.endswith("</w>")]] = True
@@ -153,31 +157,38 @@ class Chunks:
         return self.ids[np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())], n
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Words of small letters go through the library many at a time, as each is one pretoken and ends with one end-of-word id."""
-        texts = [c.decode("utf-8", "surrogatepass") for c in chunks]
-        plain = [k for k, t in enumerate(texts) if t.isalpha() and t.islower() and max(t) < "\u0300"]
-        rest = set(range(len(texts))).difference(plain)
-        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        for group, e in zip(groups, self.library.encode_batch([" ".join([texts[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, np.int32)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(group):
-                self.put([chunks[k] for k in group], ids, np.diff(ends, prepend=0))
+        """Words of small letters go through the library many at a time, as each is one pretoken and ends with one end-of-word id; those in ASCII are written in a byte-level vocabulary as they are, and need only its merges."""
+        ascii_words, words, rest = [], [], []
+        for c in chunks:
+            if c.isalpha() and c.islower():
+                ascii_words.append(c)
+            elif (t := c.decode("utf-8", "surrogatepass")).isalpha() and t.islower() and max(t) < "\u0300":
+                words.append(c)
             else:
-                rest.update(group)
-        if rest := sorted(rest):
-            found = self.library.encode_batch([texts[k] for k in rest], add_special_tokens=False)
-            self.put([chunks[k] for k in rest], np.array([i for e in found for i in e.ids], np.int32), np.array([len(e.ids) for e in found], np.int64))
+                rest.append(c)
+        for plain, encode in ((ascii_words, self.merges.encode_batch_fast), (words, self.library.encode_batch_fast)):
+            groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
+            for group, e in zip(groups, encode([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(group):
+                    self.put(group, ids, np.diff(ends, prepend=0))
+                else:
+                    rest += group
+        if rest:
+            found = self.library.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in rest], add_special_tokens=False)
+            self.put(rest, np.array([i for e in found for i in e.ids], np.int32), np.array([len(e.ids) for e in found], np.int64))
 
     def ids_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids with their end ids, in one array, and where each text ends."""
+        """All texts' ids with their end ids, in one array, and where each text ends. Each different chunk of the texts is looked up once."""
         if len(self.known) > CACHE:
             self.forget()
-        split = [self.chunks(t) for t in texts]
-        flat = [c for s in split for c in s]
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        split = pc.ascii_split_whitespace(pa.array([self.lowered(t) for t in texts], pa.binary()).view(pa.string()))  # an empty chunk at an end has no ids
+        coded = split.values.dictionary_encode()
+        chunks = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
         missing = np.flatnonzero(at < 0).tolist()
-        new = list({flat[k] for k in missing})
+        new = [chunks[k] for k in missing]
         two = [(c, w, c[len(w) :]) for c in new if len(w := c.rstrip(PUNCTUATION)) < len(c) and w.isalpha() and w.islower()]
         apart = {c for c, _, _ in two}
         parts = {x for _, w, p in two for x in (w, p)}.union(c for c in new if c not in apart).difference(self.known)
@@ -186,20 +197,20 @@ class Chunks:
         if two:  # a run of letters, then one of marks: two pretokens
             ids, n = self.take(np.array([self.known[x] for _, w, p in two for x in (w, p)], np.int64))
             self.put([c for c, _, _ in two], ids, n.reshape(-1, 2).sum(1))
-        at[missing] = [self.known[flat[k]] for k in missing]
-        ids, n = self.take(at)
-        text_of = np.repeat(np.repeat(np.arange(len(split)), [len(s) for s in split]), n)
-        out = np.full(len(ids) + len(split), END, np.int64)
+        at[missing] = [self.known[c] for c in new]
+        ids, n = self.take(at[coded.indices.to_numpy()])
+        text_of = np.repeat(np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy())), n)
+        out = np.full(len(ids) + len(texts), END, np.int64)
         out[np.arange(len(ids)) + text_of] = ids
-        return out, np.cumsum(np.bincount(text_of, minlength=len(split)) + 1)
+        return out, np.cumsum(np.bincount(text_of, minlength=len(texts)) + 1)
 
     @staticmethod
-    def chunks(text: str | None) -> list[bytes]:
+    def lowered(text: str | None) -> bytes:
         if not text:
-            return []
+            return b""
         raw = text.encode("utf-8", "surrogatepass")
         # lower case first, if nothing can compose with a letter (from U+0300 on, whose first byte is 0xCC) or be an added token
-        return (raw.lower() if b"<|" not in raw and (text.isascii() or np.frombuffer(raw, np.uint8).max() < 0xCC) else raw).split()
+        return raw.lower() if b"<|" not in raw and (text.isascii() or np.frombuffer(raw, np.uint8).max() < 0xCC) else raw
 
 
 _loaded: dict[str, Chunks] = {}
@@ -226,7 +237,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFra
         name, n, ids = f"shard-{shard:06d}-{uuid.uuid4().hex[:8]}.pfr", 0, []
         with store.open_output_stream(f"{root}/{name}") as sink:
             out = Writer(sink)
-            for batch in batches(it, 128):
+            for batch in by_size(it, "text", 512):
                 out.add(*chunks.ids_of(batch.column("text").to_pylist()))
                 ids.append(batch.column("doc_id"))
                 n += batch.num_rows

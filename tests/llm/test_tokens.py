@@ -73,6 +73,27 @@ def test_token_files_null_and_repeated_ids(spark):
     assert [r.start for r in got] == np.cumsum([0, *map(len, ids)])[:-1].tolist()
 
 
+def test_each_chunk_of_a_batch_is_looked_up_once():
+    """Repeated chunks cost one lookup a batch; ids equal the library's for white space at the ends and between, marks and letters beyond ASCII."""
+
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *a):
+            Counted.lookups += 1
+            return super().get(*a)
+
+    t, chunks = Tokenizer.from_file(P.path("word_bpe_49k.json")), token_files.Chunks("word_bpe_49k.json")
+    texts = ["  the cat\x0b sat,\x0c sat ", None, "", " \t\r\n", "été\x1cété naïve straße Été", "THE don't zqxjvk zqxjvk... ﬁ a\u0300b", "n" * 300] * 200
+    ids = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    for _ in range(2):
+        chunks.known = Counted(chunks.known)
+        Counted.lookups = 0
+        got, ends = chunks.ids_of(texts)
+        assert got.tolist() == [i for x in ids for i in x] and ends.tolist() == np.cumsum([len(x) for x in ids]).tolist()
+        assert Counted.lookups <= len({w for x in texts if x for w in x.encode().split()}) + 3
+
+
 def test_token_files_on_whole_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
