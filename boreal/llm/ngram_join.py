@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boreal.llm.common import Stages, batches, table, words
+from boreal.llm.common import Stages, arrow_bytes, batches, table, words
 from boreal.llm.components import components
 from boreal.llm.shingles import mix, shingle_set
 
@@ -34,6 +34,8 @@ N, THRESHOLD, RECALL = 5, 0.8, 0.9998
 SPREAD, LIMIT, DEPTH = 0.5, 200, 24
 #: Sets, and shingles, in one block of a large bucket, about.
 BLOCK, BLOCK_SHINGLES = 1200, 4_000_000
+#: Shingles of two blocks that are numbered at a time, about, and bytes of an Arrow batch of any step.
+SLICE, BATCH = 500_000, 4_000_000
 #: Sets of a large bucket whose sketches are counted in one group, about.
 PIECE = 10_000
 #: Bins of the sketch, and how many standard errors below the threshold it may estimate.
@@ -258,18 +260,24 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each set of x has in common with each of y."""
-    known, code = np.unique(np.concatenate([*x, *y]), return_inverse=True)
-    many = np.bincount(code, minlength=len(known)) > 1
-    place = np.where(many, np.cumsum(many) - 1, -1)
-    at, width = np.cumsum([0, *map(len, x), *map(len, y)]), 4096
+    """How many shingles each set of x has in common with each of y. Ascending 48-bit numbers, as evenly spread as hashes are, come in as many equal ranges as it takes to number about `SLICE` at a time."""
+    sets, width = [*x, *y], 4096
+    parts = max(1, -(-sum(map(len, sets)) // SLICE))
+    bounds = np.array([2**48 * k // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(s, bounds), len(s)] for s in sets]
     out = np.zeros((len(x), len(y)), np.float32)
-    columns = [c[c >= 0] for c in (place[code[a:b]] for a, b in zip(at[:-1], at[1:], strict=True))]
-    for s in range(0, int(many.sum()), width):
-        dense = np.zeros((len(columns), width), np.float32)
-        for k, c in enumerate(columns):
-            dense[k, c[(c >= s) & (c < s + width)] - s] = 1
-        out += dense[: len(x)] @ dense[len(x) :].T
+    for k in range(parts):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        known, code = np.unique(np.concatenate(own), return_inverse=True)
+        many = np.bincount(code, minlength=len(known)) > 1
+        place = np.where(many, np.cumsum(many) - 1, -1)
+        at = np.cumsum([0, *map(len, own)])
+        columns = [c[c >= 0] for c in (place[code[a:b]] for a, b in zip(at[:-1], at[1:], strict=True))]
+        for s in range(0, n := int(many.sum()), width):
+            dense = np.zeros((len(columns), min(width, n - s)), np.float32)
+            for j, c in enumerate(columns):
+                dense[j, c[(c >= s) & (c < s + width)] - s] = 1
+            out += dense[: len(x)] @ dense[len(x) :].T
     return np.rint(out)
 
 
@@ -333,6 +341,12 @@ def compare_blocks(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFr
 
 def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row per document (doc_id, class_id, n_links): the least id of its connected component, and the number of other documents similar to it."""
+    with arrow_bytes(docs.sparkSession, BATCH):
+        return joined(docs, n, threshold, recall)
+
+
+def joined(docs: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """similarity_join's rows. Every step in Python is written here; what is left is joins."""
     steps = Stages(docs.sparkSession, "join")
     keep = steps.keep
     base = keep(prepared(docs, n, threshold, n_runs(recall)), "docs")
@@ -375,8 +389,8 @@ def similarity_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     copies = classes.select("key", "copies")
     ends = links.select(F.col("a").alias("to"), F.col("b").alias("key")).union(links.select("b", "a"))
     counts = ends.join(copies, "key").select(F.col("to").alias("key"), F.col("copies").alias("links")).union(blocks.select("key", "links")).groupBy("key").agg(F.sum("links").alias("links"))
-    joined = components(links.union(blocks.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))))
-    ids = joined.join(classes.select(F.col("key").alias("node"), "first_id"), "node")
+    connected = components(links.union(blocks.filter("other IS NOT NULL").select(F.col("key").alias("a"), F.col("other").alias("b"))))
+    ids = connected.join(classes.select(F.col("key").alias("node"), "first_id"), "node")
     least = ids.groupBy("component").agg(F.min("first_id").alias("class_id"))
     result = classes.join(counts, "key", "left").join(ids.join(least, "component").select(F.col("node").alias("key"), "class_id"), "key", "left")
     result = result.select("key", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

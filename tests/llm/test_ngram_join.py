@@ -127,3 +127,33 @@ def test_verified_pairs_of_buckets(spark):
     pairs = spark.createDataFrame([(7, 1, 2), (7, 1, 3), (7, 2, 3), (8, 1, 2), (8, 1, 9), (9, 4, 9)], "path long, a long, b long")
     assert [tuple(r) for r in ngram_join.verified(pairs, sets, 0.8).collect()] == [(1, 2), (1, 2)]
     assert ngram_join.verified(pairs.limit(0), sets, 0.8).count() == 0
+
+
+def test_overlaps_hold_a_slice_at_a_time(monkeypatch):
+    """Numbering two blocks' shingles takes memory for a slice of them, whatever their number; the counts stay."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**48, 24_000, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(24_000) < 0.1, rng.integers(0, 2**48, 24_000, dtype=np.uint64), base)) for _ in range(60)] + [np.array([base[0]]), np.array([0, 2**48 - 1], np.uint64)]
+    monkeypatch.setattr(ngram_join, "SLICE", 50_000, raising=False)
+    tracemalloc.start()
+    got = ngram_join.overlaps(sets[:31], sets[31:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[31:]] for a in sets[:31]]
+    assert peak < 2 * sum(s.nbytes for s in sets)
+    assert ngram_join.overlaps([sets[0]], [np.empty(0, np.uint64)]).tolist() == [[0]]
+
+
+def test_steps_send_small_batches(spark, monkeypatch):
+    """Every step of the join gets Arrow batches of a few MB, and the session's own size comes back, after a failure too."""
+    name, seen, keep = "spark.sql.execution.arrow.maxBytesPerBatch", [], ngram_join.Stages.keep
+    before = spark.conf.get(name)
+    monkeypatch.setattr(ngram_join.Stages, "keep", lambda self, df, step: seen.append(int(spark.conf.get(name).rstrip("b"))) or keep(self, df, step))
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None)], "doc_id long, text string")
+    assert result(ngram_join.similarity_join(df)) == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
+    assert len(seen) > 5 and max(seen) <= 8_000_000 and spark.conf.get(name) == before
+    with pytest.raises(ValueError):
+        ngram_join.similarity_join(df, recall=1.0)
+    assert spark.conf.get(name) == before
