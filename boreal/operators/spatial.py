@@ -19,13 +19,16 @@ def near_pairs(left: DataFrame, right: DataFrame, r: float, prefix: str = "r_")
     right = right.withColumn("cx", F.explode(F.transform(around, lambda d: bucket(F.col(prefix + "x"), r) + d))).withColumn("cy", F.explode(F.transform(around, lambda d: bucket(F.col(prefix + "y"), r) + d)))
     left = left.withColumns({"cx": bucket(F.col("x"), r), "cy": bucket(F.col("y"), r)})
     dx, dy = F.col("x") - F.col(prefix + "x"), F.col("y") - F.col(prefix + "y")
+    right = right.hint("merge")  # the size of its rows before they are copied would let it be broadcast
     return left.join(right, ["cx", "cy"]).drop("cx", "cy").withColumn("d", F.sqrt(dx * dx + dy * dy)).filter(F.col("d") <= r)
 
 
 def nearest_within(left: DataFrame, key: str, right: DataFrame, right_key: str, r: float) -> DataFrame:
-    """Each left key's nearest right row within r: key, right key, distance; of equally near ones the least key."""
-    pairs = near_pairs(left, right, r)
-    return pairs.groupBy(key).agg(F.min(F.struct("d", F.col(f"r_{right_key}").alias(right_key))).alias("m")).select(key, f"m.{right_key}", "m.d")
+    """Each left key's nearest right row within r: key, right key, distance; of equally near ones the least key. Searched once for all left rows at one position, among right positions, each with its least key."""
+    sites = right.groupBy("x", "y").agg(F.min(right_key).alias(right_key))
+    pairs = near_pairs(left.select("x", "y").distinct(), sites, r)
+    best = pairs.groupBy("x", "y").agg(F.min(F.struct("d", F.col(f"r_{right_key}").alias(right_key))).alias("m"))
+    return left.select(key, "x", "y").join(best, ["x", "y"]).groupBy(key).agg(F.min("m").alias("m")).select(key, f"m.{right_key}", "m.d")
 
 
 def k_nearest_within(left: DataFrame, key: str, right: DataFrame, right_key: str, r: float, k: int) -> DataFrame:
