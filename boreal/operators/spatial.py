@@ -32,11 +32,16 @@ def nearest_within(left: DataFrame, key: str, right: DataFrame, right_key: str,
 
 
 def k_nearest_within(left: DataFrame, key: str, right: DataFrame, right_key: str, r: float, k: int) -> DataFrame:
-    """At most k of them, with their rank."""
+    """At most k of them, with their rank. Searched once a position, as nearest_within(), among right positions, each with its k least keys."""
     from pyspark.sql import Window
 
-    pairs = near_pairs(left, right, r).select(key, F.col(f"r_{right_key}").alias(right_key), "d")
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("d", right_key))).filter(F.col("rank") <= k)
+    def first(rows: DataFrame, by: list[str], *order: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
+
+    sites = first(right.select(right_key, "x", "y"), ["x", "y"], right_key).drop("rank")
+    pairs = near_pairs(left.select("x", "y").distinct(), sites, r).select("x", "y", F.col(f"r_{right_key}").alias(right_key), "d")
+    best = first(pairs, ["x", "y"], "d", right_key).drop("rank")
+    return first(left.select(key, "x", "y").join(best, ["x", "y"]).select(key, right_key, "d"), [key], "d", right_key)
 
 
 def no_taller_neighbour(trees: DataFrame, r: float = 1.5) -> DataFrame:

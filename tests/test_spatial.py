@@ -41,3 +41,11 @@ def test_nearest_among_rows_at_one_position(spark):
     want = {p[0]: min((apart(p, q), q[0]) for q in b) for p in a}
     assert {(r.a, (r.d, r.b)) for r in got.collect()} == {(k, v) for k, v in want.items() if v[0] <= 6}
     assert joined_rows(got) <= 500
+
+
+def test_three_nearest_among_rows_at_one_position(spark):
+    a, b = crowd(3, 500, 9), crowd(4, 300, 7)
+    got = spatial.k_nearest_within(table(spark, a, "a"), "a", table(spark, b, "b"), "b", 6.0, 3)
+    want = {p[0]: sorted((apart(p, q), q[0]) for q in b if apart(p, q) <= 6)[:3] for p in a}
+    assert sorted((r.a, r["rank"], r.d, r.b) for r in got.collect()) == [(k, i, *x) for k, v in sorted(want.items()) for i, x in enumerate(v, 1)]
+    assert joined_rows(got) <= 3 * 500
