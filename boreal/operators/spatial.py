@@ -45,10 +45,19 @@ def k_nearest_within(left: DataFrame, key: str, right: DataFrame, right_key: str
 
 
 def no_taller_neighbour(trees: DataFrame, r: float = 1.5) -> DataFrame:
-    """Trees with none taller within r: those seen from above."""
-    other = trees.select(F.col("tree_id").alias("id"), "x", "y", "h")
-    taller = near_pairs(trees.select("tree_id", "x", "y", "h"), other, r).filter((F.col("r_h") > F.col("h")) & (F.col("r_id") != F.col("tree_id")))
-    return trees.join(taller.select("tree_id").distinct(), "tree_id", "left_anti")
+    """Trees with none taller within r: those seen from above. A position is compared with the two tallest of each position within r, of different ids, as a tree is not compared with itself."""
+    from pyspark.sql import Window
+
+    def tallest(rows: DataFrame) -> DataFrame:
+        top = F.row_number().over(Window.partitionBy("x", "y").orderBy(F.desc("h"), "id"))
+        return rows.groupBy("x", "y", "id").agg(F.max("h").alias("h")).withColumn("place", top).filter("place <= 2")
+
+    tops = tallest(trees.filter("tree_id IS NOT NULL AND h IS NOT NULL").select("x", "y", F.col("tree_id").alias("id"), "h")).drop("place")
+    near = near_pairs(trees.select("x", "y").distinct(), tops, r).select("x", "y", F.col("r_id").alias("id"), F.col("r_h").alias("h"))
+    at = lambda k: F.max(F.when(F.col("place") == k, F.struct("h", "id")))
+    above = tallest(near).groupBy("x", "y").agg(at(1).alias("first"), at(2).alias("second"))
+    taller = F.when(F.col("first.id") != F.col("tree_id"), F.col("first.h")).when(F.col("first.id") == F.col("tree_id"), F.col("second.h"))
+    return trees.join(above, ["x", "y"], "left").filter(~F.coalesce(taller > F.col("h"), F.lit(False))).select(*trees.columns)
 
 
 def unmapped(found: DataFrame, key: str, known: DataFrame, r: float) -> DataFrame:

@@ -49,3 +49,14 @@ def test_three_nearest_among_rows_at_one_position(spark):
     want = {p[0]: sorted((apart(p, q), q[0]) for q in b if apart(p, q) <= 6)[:3] for p in a}
     assert sorted((r.a, r["rank"], r.d, r.b) for r in got.collect()) == [(k, i, *x) for k, v in sorted(want.items()) for i, x in enumerate(v, 1)]
     assert joined_rows(got) <= 3 * 500
+
+
+def test_visible_trees_at_one_position(spark):
+    """Trees that share an id are not compared with each other, and stay or go one by one."""
+    rows = crowd(5, 400, 60)
+    rows += [(k, x, y, h + 2) for k, x, y, h in rows[:40]] + [(None, *p[1:]) for p in rows[50:60]] + [(500 + k, *p[1:3], None) for k, p in enumerate(rows[60:70])]
+    got = spatial.no_taller_neighbour(table(spark, rows, "tree_id"), 1.5)
+    hides = lambda q, p: None not in (p[0], q[0], p[3], q[3]) and q[0] != p[0] and q[3] > p[3] and apart(p, q) <= 1.5
+    want = [p for p in rows if not any(hides(q, p) for q in rows)]
+    assert 0 < len(want) < len(rows) and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    assert joined_rows(got) <= len(rows)
