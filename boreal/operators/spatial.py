@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boreal.functions.geo import segment_distance
+from boreal.plans.rounds import Rounds
 
 
 def bucket(c: Column, size: float) -> Column:
@@ -125,8 +126,6 @@ def first_apart(items: DataFrame, pairs: DataFrame) -> DataFrame:
     """(item, kept): what a walk through the items in their order keeps, if it drops every item that an earlier kept one rules out. items: item; pairs: early, late (early comes before late in the order, and rules it out if it is kept).
 
     Decided in rounds for all items at once: an item is dropped as soon as an earlier one that rules it out is kept, and kept as soon as all of those are dropped. The result is that of the walk for any order; rounds grow with the longest chain of such pairs, a few for orders that are not spatial."""
-    from boreal.plans.rounds import Rounds
-
     rounds = Rounds(items.sparkSession, "apart")
     pairs = rounds.keep(pairs.select("early", "late").distinct(), "pairs")
     state = rounds.keep(items.select("item", F.lit(None).cast("boolean").alias("kept")), "state")
@@ -139,11 +138,15 @@ def first_apart(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def apart(points: DataFrame, key: str, order: list[Column], r: float) -> DataFrame:
-    """Points (key, x, y and what the order takes) without those that lie within r of one that comes earlier in the order and stays. The order names each point once."""
-    p = points.withColumn("place", F.struct(*order))
-    near = near_pairs(p.select(key, "x", "y", "place"), p.select(key, "x", "y", "place"), r).filter(F.col("r_place") < F.col("place"))
-    kept = first_apart(p.select(F.col(key).alias("item")), near.select(F.col(f"r_{key}").alias("early"), F.col(key).alias("late")))
-    return points.join(kept.filter("kept").select(F.col("item").alias(key)), key, "left_semi")
+    """Points (key, x, y and what the order takes) without those that lie within r of one that comes earlier in the order and stays. The order names each point once.
+
+    What drops a point drops the later ones at its position too, and so does the point itself if it stays: only the first of a position is walked. A point without a position stays."""
+    whole = F.struct(*points.columns).alias("row")
+    first = points.filter("x IS NOT NULL AND y IS NOT NULL").select("x", "y", F.struct(*order).alias("place"), whole).groupBy("x", "y").agg(F.min("place").alias("place"), F.min_by("row", "place").alias("row"))
+    first = Rounds(points.sparkSession, "first").keep(first.select(F.struct("x", "y").alias("item"), "x", "y", "place", "row"), "first")
+    near = near_pairs(first.drop("row"), first.drop("row"), r).filter(F.col("r_place") < F.col("place"))
+    kept = first_apart(first.select("item"), near.select(F.col("r_item").alias("early"), F.col("item").alias("late")))
+    return first.join(kept.filter("kept").select("item"), "item", "left_semi").select("row.*").unionByName(points.filter("x IS NULL OR y IS NULL"))
 
 
 def distinct_lines(lines: DataFrame, key: str, order: list[Column], near: float = 6.0, share: float = 0.6, samples: int = 10) -> DataFrame:

@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from boreal.operators import spatial
 
 
@@ -60,3 +62,17 @@ def test_visible_trees_at_one_position(spark):
     want = [p for p in rows if not any(hides(q, p) for q in rows)]
     assert 0 < len(want) < len(rows) and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
     assert joined_rows(got) <= len(rows)
+
+
+def test_apart_at_one_position(spark, monkeypatch):
+    """As the walk does it; of a position only the first point enters a pair."""
+    rows = crowd(6, 400, 60)
+    kept = []
+    for p in sorted(rows, key=lambda p: (-p[3], p[0])):
+        if all(apart(p, q) > 2 for q in kept):
+            kept.append(p)
+    pairs, walk = [], spatial.first_apart
+    monkeypatch.setattr(spatial, "first_apart", lambda items, near: pairs.append(near.count()) or walk(items, near))
+    got = spatial.apart(table(spark, rows, "id"), "id", [-F.col("h"), F.col("id")], 2.0)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, kept))
+    assert 0 < pairs[0] <= 60 * 59 / 2
