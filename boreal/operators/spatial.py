@@ -95,14 +95,16 @@ def densify(segments: DataFrame, step: float) -> DataFrame:
 
 
 def points_in_polygons(points: DataFrame, key: str, polygons: DataFrame, polygon_key: str, size: float) -> DataFrame:
-    """(key, polygon key) by the even-odd rule; polygons: an array `ring` of structs (x, y). A polygon goes to the buckets of its box."""
+    """(key, polygon key) by the even-odd rule; polygons: an array `ring` of structs (x, y). A polygon goes to the buckets of its box. The rule is applied once to a position and a ring, whatever the points and polygons that have them."""
     from boreal.functions.geo import in_ring
 
     lo = lambda f, a: f(F.transform("ring", lambda p: p[a]))
     span = lambda a: F.sequence(bucket(lo(F.array_min, a), size), bucket(lo(F.array_max, a), size))
-    q = polygons.select(polygon_key, "ring", F.explode(span("x")).alias("cx"), span("y").alias("ys")).withColumn("cy", F.explode("ys")).drop("ys")
-    p = points.withColumns({"cx": bucket(F.col("x"), size), "cy": bucket(F.col("y"), size)})
-    return p.join(q, ["cx", "cy"]).filter(in_ring(F.col("x"), F.col("y"), F.col("ring"))).select(key, polygon_key)
+    q = polygons.select("ring").distinct().select("ring", F.explode(span("x")).alias("cx"), span("y").alias("ys")).withColumn("cy", F.explode("ys")).drop("ys")
+    p = points.select("x", "y").distinct().withColumns({"cx": bucket(F.col("x"), size), "cy": bucket(F.col("y"), size)})
+    inside = p.join(q.hint("merge"), ["cx", "cy"]).filter(in_ring(F.col("x"), F.col("y"), F.col("ring"))).select("x", "y", "ring")
+    owned = inside.join(polygons.select(polygon_key, "ring"), "ring").select("x", "y", polygon_key)
+    return points.select(key, "x", "y").join(owned, ["x", "y"]).select(key, polygon_key)
 
 
 def ray_hits(trees: DataFrame, assets: DataFrame, bearings: int = 36, res: float = 1.0) -> DataFrame:

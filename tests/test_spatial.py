@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from boreal.functions import geo
 from boreal.operators import spatial
 
 
@@ -76,3 +77,19 @@ def test_apart_at_one_position(spark, monkeypatch):
     got = spatial.apart(table(spark, rows, "id"), "id", [-F.col("h"), F.col("id")], 2.0)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, kept))
     assert 0 < pairs[0] <= 60 * 59 / 2
+
+
+def test_points_in_polygons_at_one_position(spark, monkeypatch):
+    """The rule is applied to a position and a ring once; every point and polygon that has them is in the result."""
+    points = crowd(7, 300, 12)
+    rings = [[(x, y), (x + 4.0, y), (x + 4.0, y + 3.0), (x, y + 3.0)] for x, y in ((0.25, 0.25), (3.25, 5.25), (9.25, 8.25), (14.25, 2.25))]
+    plots = [(k, rings[k % 4]) for k in range(60)]
+    inside = lambda p, ring: p[1] is not None and ring[0][0] <= p[1] < ring[2][0] and ring[0][1] <= p[2] < ring[2][1]
+    asked, rule = spark.sparkContext.accumulator(0), geo.in_ring
+    ask = F.udf(lambda hit: asked.add(1) or hit, "boolean")
+    monkeypatch.setattr(geo, "in_ring", lambda x, y, ring: ask(rule(x, y, ring)))
+    polygons = spark.createDataFrame(plots, "plot long, ring array<struct<x: double, y: double>>")
+    got = spatial.points_in_polygons(table(spark, points, "id"), "id", polygons, "plot", 10.0)
+    want = [(p[0], k) for p in points for k, ring in plots if inside(p, ring)]
+    assert want and sorted(map(tuple, got.collect())) == sorted(want)
+    assert 0 < asked.value <= 12 * 4
