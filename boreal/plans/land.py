@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boreal.operators import assets, crowns, graph, grid, imagery, network, routes, spatial
 from boreal.plans.queries import big, query, r6
+from boreal.plans.rounds import Rounds
 from boreal.sources.fixtures import source
 
 SITE = ("site",)
@@ -104,10 +105,11 @@ TRAVEL_SQL = """WITH RECURSIVE c AS MATERIALIZED (SELECT site, site*10000+iy*100
 def travel_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Cells, edges of a vehicle that keeps to roads, edges of walkers, and the road cells. A fallen tree is cleared in a quarter of an hour."""
     c = source(spark, sf, "v_land").select("site", "iy", "ix", (F.col("site") * 10000 + F.col("iy") * 100 + F.col("ix")).cast("long").alias("cell"), (F.col("chm") < 1.5).alias("road"), "chm", ((F.col("chm") < 1.5) & (F.col("n") % 7 == 0)).alias("blocked"))
-    by_cell = lambda e: e.select((F.col("site") * 10000 + F.floor(F.col("src") / 100) * 100 + F.col("src") % 100).cast("long").alias("src"), (F.col("site") * 10000 + F.floor(F.col("dst") / 100) * 100 + F.col("dst") % 100).cast("long").alias("dst"), "w")
+    c = Rounds(spark, "land").keep(c, "cells")  # every layer reads the cells
+    by_cell = lambda e: e.select("site", (F.col("site") * 10000 + F.floor(F.col("src") / 100) * 100 + F.col("src") % 100).cast("long").alias("src"), (F.col("site") * 10000 + F.floor(F.col("dst") / 100) * 100 + F.col("dst") % 100).cast("long").alias("dst"), "w")
     drive = graph.grid_edges(c.withColumn("v", F.when(F.col("road"), 30.0).otherwise(0.0)), 100, RES, 15.0, SITE)
     foot = graph.grid_edges(c.withColumns({"v": F.when(F.col("chm") < 2, 5.0).when(F.col("chm") < 15, 4.0).otherwise(2.5), "blocked": F.lit(False)}), 100, RES, 0.0, SITE)
-    return c, by_cell(drive), by_cell(foot), c.filter("road").select("cell")
+    return c, by_cell(drive), by_cell(foot), c.filter("road").select("site", "cell")
 
 
 @query(TRAVEL_SQL.format(change="1e-6") + """ r(k, site, l, id, dist) AS (SELECT 0, site, 1, id, 0e0 FROM (SELECT site, min(id) AS id FROM c WHERE road GROUP BY site) q
@@ -133,8 +135,8 @@ def walk_drive_walk(spark, sf):
     """One way a site from forest to forest, with two minutes to change; predecessors and pointer doubling."""
     c, drive, foot, stops = travel_layers(spark, sf)
     tall = F.col("chm") > 15
-    asked = c.groupBy(F.col("site").alias("route")).agg(F.min(F.when(tall & (F.col("iy") > 24), F.col("cell"))).alias("start"), F.max(F.when(tall & (F.col("iy") < 6), F.col("cell"))).alias("end")).withColumns({"start_on_road": F.lit(False), "end_on_road": F.lit(False)})
-    out, _ = routes.routes(drive, foot, stops, asked, c, 2.0)
+    asked = c.groupBy(F.col("site").alias("route")).agg(F.min(F.when(tall & (F.col("iy") > 24), F.col("cell"))).alias("start"), F.max(F.when(tall & (F.col("iy") < 6), F.col("cell"))).alias("end")).withColumns({"site": F.col("route"), "start_on_road": F.lit(False), "end_on_road": F.lit(False)})
+    out, _ = routes.routes(drive, foot, stops, asked, c, 2.0, "site")
     return out.select(big("route").alias("route"), r6("minutes").alias("minutes"), r6("drive_minutes").alias("drive_minutes"), "drive_cells", "walk_cells", r6("road_share").alias("road_share"), "clearings")
 
 

@@ -1,12 +1,15 @@
 """Joins on grid buckets where many rows share a position: the same rows as pair by pair, and no pair of rows made."""
 
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from boreal.functions import geo
-from boreal.operators import spatial
+from boreal.operators import routes, spatial
+from boreal.plans.queries import QUERIES
+from boreal.plans.rounds import Rounds
 
 
 def crowd(seed, n, places):
@@ -93,3 +96,27 @@ def test_points_in_polygons_at_one_position(spark, monkeypatch):
     want = [(p[0], k) for p in points for k, ring in plots if inside(p, ring)]
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
     assert 0 < asked.value <= 12 * 4
+
+
+def test_ways_of_sites_are_searched_in_one_step(spark, monkeypatch):
+    """The query's ways are written once, whatever their length; before, every step along them was."""
+    written, keep = [], Rounds.keep
+    monkeypatch.setattr(Rounds, "keep", lambda self, df, name: written.append(name) or keep(self, df, name))
+    QUERIES["walk_drive_walk"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")).collect()
+    assert 0 < len(written) <= 4
+
+
+def test_ways_by_site_equal_those_of_rounds(spark):
+    """Equal weights, so that ways tie; ends that nothing reaches, and a start that is its end."""
+    rng = random.Random(9)
+    edge = lambda s, k: (s, 100 * s + rng.randrange(k), 100 * s + rng.randrange(k), float(rng.choice([1, 1, 2])))
+    schema = "site int, src long, dst long, w double"
+    foot, drive = (spark.createDataFrame([edge(s, 30) for s in (1, 2, 3) for _ in range(n)], schema) for n in (60, 70))
+    stops = spark.createDataFrame([(s, 100 * s + k) for s in (1, 2, 3) for k in range(0, 30, 4)], "site int, cell long")
+    asked = [(10 * s + i, s, 100 * s + rng.randrange(30), 100 * s + rng.randrange(32), i % 3 == 1, i % 4 == 1) for s in (1, 2, 3) for i in range(6)] + [(90, 1, 105, 105, False, False), (91, 1, 108, 108, True, True), (92, 1, None, 101, False, False)]
+    requests = spark.createDataFrame(asked, "route int, site int, start long, end long, start_on_road boolean, end_on_road boolean")
+    cells = spark.createDataFrame([(100 * s + k, k % 2 == 0, k % 5 == 0) for s in (1, 2, 3) for k in range(32)], "cell long, road boolean, blocked boolean")
+    a, b = (routes.routes(drive, foot, stops, requests, cells, 0.5, site) for site in ("site", None))
+    for x, y in zip(a, b, strict=True):
+        assert sorted(map(repr, map(tuple, x.collect()))) == sorted(map(repr, map(tuple, y.select(*x.columns).collect())))
+    assert 5 < a[0].count() < len(asked)
